@@ -36,7 +36,7 @@ BLOCK_DOCS, BLOCK_BYTES = 1024, 8 << 20
 #: The dictionary is trained on at most so many documents (those of the smallest hash of their id), on so many characters of each.
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 512, 4000, 32 << 10
 #: Words (and parts of words) whose ids a worker remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 #: What the tokenizer's own splitting gives on lower-case Latin-1 text, where its normalisation only lowers and joins space.
 _SPACE, _LETTER, _NUMBER = r"\x09-\x0d \x85\xa0", r"a-zªµºß-öø-ÿ", r"0-9²³¹¼-¾"
