@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, licenses, mixing, quality, secrets, sharding, tokens, toxicity
+from vellum.llm import decontaminate, html_extract, licenses, mixing, quality, secrets, sharding, tokens, toxicity
 from vellum.llm.shared import table
 
 
@@ -56,9 +56,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (toxicity.fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_license_scan": op3_license_scan,
+    "op4_html_extract": op4_html_extract,
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality_rules": op7_quality_rules,
