@@ -131,8 +131,10 @@ def mix(
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mix, with their columns: one copy for each epoch in which half of a document's words or more are taken.
 
-    Only the document at the end of a source's share can be taken in part.
+    Only the document at the end of a source's share can be taken in part. The mix is made of ids and sizes; texts are
+    joined once. doc_id names a document: rows that repeat one share its copies.
     """
-    made = mix(docs.select(F.col("doc_id"), F.col("source"), F.col("text"), F.struct(*docs.columns).alias("whole")), keep=["whole"], **settings)
-    copies = F.filter("takes", lambda t: 2 * t >= F.col("size"))
-    return made.where(F.col("size") > 0).select("whole", F.explode(copies)).select("whole.*")
+    made = mix(docs.select("doc_id", "source", "text"), **settings)
+    copies = made.where(F.col("size") > 0).select("doc_id", F.size(F.filter("takes", lambda t: 2 * t >= F.col("size"))).alias("copies")).groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    kept = docs.join(copies.where(F.col("copies") > 0), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return kept.select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, html_extract, licenses, mixing, quality, secrets, sharding, tokens, toxicity
+from vellum.llm import decontaminate, html_extract, jaccard, licenses, mixing, quality, secrets, sharding, tokens, toxicity
 from vellum.llm.shared import table
 
 
@@ -31,6 +31,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,6 +65,7 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_mix_sources": op2_mix_sources,
     "op3_license_scan": op3_license_scan,
     "op4_html_extract": op4_html_extract,
