@@ -1,4 +1,388 @@
-"""Application queries by name, and their DuckDB SQL."""
+"""Application queries by name, and the DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import datetime as dt
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum import functions as S
+from vellum.operators import mutate as M
+from vellum.operators import policy as P
+from vellum.operators import relation as R
+from vellum.operators import validate as V
+from vellum.sources import site
+
+AS_OF = dt.datetime(2024, 6, 1, tzinfo=dt.UTC)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Register a query under its function's name. In sql, {blog_posts} and the like stand for the site's tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = re.sub(r"\{(\w+)\}", lambda m: f"({site.SQL[m[1]]}) AS {m[1]}", sql)
+        return f
+
+    return add
+
+
+def _time(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+# The blog.
+
+
+@query("""SELECT id, title, slug, CASE WHEN content = '' THEN 1 ELSE CAST(greatest(ceil(len(string_split(trim(content, ' '), ' ')) / 200.0), 1) AS INTEGER) END AS reading_time,
+    array_to_string(tags[1:3], ',') AS first_tags, array_to_string(categories[1:2], ',') AS first_categories, CAST(CASE WHEN len(categories) > 3 THEN len(categories) - 3 END AS INTEGER) AS more,
+    strftime(created_at, '%-m/%-d/%Y') AS shown_date FROM {blog_posts} WHERE published""")
+def blog_list(spark, d):
+    posts = P.secure(site.blog_posts(spark, d), "blog_posts", P.Principal(), None)
+    shown = posts.select(
+        "id", "title", "slug", S.reading_time(F.col("content")).alias("reading_time"), F.array_join(S.first_items(F.col("tags"), 3), ",").alias("first_tags"), F.array_join(S.first_items(F.col("categories"), 2), ",").alias("first_categories"),
+        S.overflow(F.col("categories"), 3).alias("more"), S.date_short(F.col("created_at")).alias("shown_date"), "created_at",
+    )
+    return R.Relation(shown).order("created_at", ascending=False).frame().drop("created_at")
+
+
+@query("""SELECT id, title, slug, excerpt, published, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM {blog_posts} WHERE slug LIKE '%-17' AND id = '17'""")
+def blog_post_by_slug(spark, d):
+    return R.Relation(site.blog_posts(spark, d).where(F.col("slug").endswith("-17"))).eq("id", "17").select("id, title, slug, excerpt, published, created_at").frame().withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""SELECT p.id AS post_id, c.id AS comment_id, c.author_name, strftime(c.created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM {blog_comments} c JOIN {blog_posts} p ON c.blog_post_id = p.id WHERE c.approved""".replace("{blog_comments} c", "(SELECT * FROM {blog_comments}) c").replace("{blog_posts} p", "(SELECT * FROM {blog_posts}) p"))
+def post_with_comments(spark, d):
+    c = P.secure(site.blog_comments(spark, d), "blog_comments", P.Principal(), None)
+    p = site.blog_posts(spark, d).select(F.col("id").alias("post_id"))
+    return c.join(p, c.blog_post_id == p.post_id).select("post_id", F.col("id").alias("comment_id"), "author_name", _time("created_at"))
+
+
+@query("SELECT blog_post_id, count(*) AS n FROM {blog_comments} WHERE approved GROUP BY blog_post_id")
+def comment_count_per_post(spark, d):
+    return site.blog_comments(spark, d).where("approved").groupBy("blog_post_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN text = '' THEN 1 ELSE CAST(greatest(ceil(len(string_split(trim(text, ' '), ' ')) / 200.0), 1) AS INTEGER) END AS minutes FROM documents")
+def reading_time(spark, d):
+    return site.raw(spark, d, "documents").select("doc_id", S.reading_time(F.col("text")).alias("minutes"))
+
+
+# Text.
+
+
+@query(f"SELECT doc_id, {site._SLUG.format(t='text')} AS slug FROM documents")
+def slugify(spark, d):
+    return site.raw(spark, d, "documents").select("doc_id", S.slugify(F.col("text")).alias("slug"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(lower(p_name), '\s+', '-', 'g') AS slug FROM part")
+def slugify_simple(spark, d):
+    return site.raw(spark, d, "part").select("p_partkey", S.slugify_simple(F.col("p_name")).alias("slug"))
+
+
+@query("SELECT p_partkey, upper(array_to_string(list_transform(string_split(p_name, ' '), lambda t: substr(t, 1, 1)), '')) AS initials, substr(upper(array_to_string(list_transform(string_split(p_name, ' '), lambda t: substr(t, 1, 1)), '')), 1, 2) AS two FROM part")
+def initials(spark, d):
+    return site.raw(spark, d, "part").select("p_partkey", S.initials(F.col("p_name")).alias("initials"), S.initials(F.col("p_name"), 2).alias("two"))
+
+
+@query("SELECT id, coalesce(nullif(excerpt, ''), nullif(meta_description, ''), '') AS summary FROM {blog_posts}")
+def coalesce_falsy(spark, d):
+    return site.blog_posts(spark, d).select("id", S.first_truthy(F.col("excerpt"), F.col("meta_description")).alias("summary"))
+
+
+@query("SELECT id, coalesce(published, false) AS published, nullif(excerpt, '') AS excerpt, coalesce(excerpt, '') AS edited FROM {blog_posts}")
+def coalesce_nullish(spark, d):
+    return site.blog_posts(spark, d).select("id", F.coalesce("published", F.lit(False)).alias("published"), S.falsy_null(F.col("excerpt")).alias("excerpt"), F.coalesce("excerpt", F.lit("")).alias("edited"))
+
+
+@query("SELECT p_partkey, p_name AS js, chr(160) || chr(9) || p_name || chr(9) AS pg FROM part")
+def trims(spark, d):
+    padded = F.concat(F.lit("   \t"), F.col("p_name"), F.lit("\t  "))
+    return site.raw(spark, d, "part").select("p_partkey", S.js_trim(padded).alias("js"), F.trim(padded).alias("pg"))
+
+
+@query("SELECT p_partkey, p_name || ', ' || p_brand || ', ' || p_type AS joined, CAST(3 AS INTEGER) AS n FROM part")
+def csv_split_join(spark, d):
+    parts = S.split_list(F.concat(F.lit(" "), F.concat_ws(" ,", "p_name", "p_brand", "p_type"), F.lit("  ")))
+    return site.raw(spark, d, "part").select("p_partkey", F.array_join(parts, ", ").alias("joined"), F.size(parts).alias("n"))
+
+
+@query("SELECT page_id, list_last(string_split(url, '.')) AS extension FROM pages")
+def file_extension(spark, d):
+    return site.raw(spark, d, "pages").select("page_id", S.file_extension(F.col("url")).alias("extension"))
+
+
+@query("""SELECT page_id, 'https://twitter.com/intent/tweet?text=' || replace(replace(replace(replace(replace(url_encode(url || ' !(*)'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') || '&url=' || replace(replace(replace(replace(replace(url_encode(url), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS shared FROM pages""")
+def url_encode_component(spark, d):
+    return site.raw(spark, d, "pages").select("page_id", S.share_url(F.lit("twitter"), F.col("url"), F.concat("url", F.lit(" !(*)"))).alias("shared"))
+
+
+@query("SELECT event_id, 'Re: Your message from' || name AS subject, email || ' at' || name AS place, CASE WHEN event_id % 3 <> 1 THEN 's' ELSE '' END AS plural FROM {contacts}")
+def templates(spark, d):
+    return site.contacts(spark, d).select("event_id", F.concat(F.lit("Re: Your message from"), "name").alias("subject"), F.concat("email", F.lit(" at"), "name").alias("place"), S.plural(F.col("event_id") % 3).alias("plural"))
+
+
+# Lists.
+
+
+@query("SELECT id, array_to_string(tech_stack[1:2], '|') AS first_two, CAST(CASE WHEN len(tech_stack) > 3 THEN len(tech_stack) - 3 END AS INTEGER) AS more FROM {projects}")
+def array_prefix_more(spark, d):
+    return site.projects(spark, d).select("id", F.array_join(S.first_items(F.col("tech_stack"), 2), "|").alias("first_two"), S.overflow(F.col("tech_stack"), 3).alias("more"))
+
+
+@query("SELECT id, array_to_string(list_transform(range(0, 5), lambda i: CASE WHEN i < rating THEN '*' ELSE '-' END), '') AS stars FROM {testimonials} WHERE rating IS NOT NULL")
+def star_array(spark, d):
+    shown = F.transform(S.stars(F.col("rating")), lambda x: F.when(x, "*").otherwise("-"))
+    return site.testimonials(spark, d).where(F.col("rating").isNotNull()).select("id", F.array_join(shown, "").alias("stars"))
+
+
+@query("SELECT id, array_to_string(CASE WHEN list_contains(tech_stack, 'red') THEN tech_stack ELSE list_append(tech_stack, 'red') END, '|') AS added, array_to_string(list_filter(tech_stack, lambda x: x <> tech_stack[1]), '|') AS removed, array_to_string(tech_stack[1:1] || tech_stack[3:], '|') AS cut, array_to_string(['set'] || tech_stack[2:], '|') AS put, array_to_string(tech_stack || tech_stack[1:1], '|') AS joined FROM {projects}")
+def array_edits(spark, d):
+    a = F.col("tech_stack")
+    show = lambda c, n: F.array_join(c, "|").alias(n)
+    return site.projects(spark, d).select(
+        "id", show(S.append_absent(a, F.lit(" red ")), "added"), show(S.without_item(a, F.get(a, 0)), "removed"), show(S.without_index(a, 1), "cut"), show(S.with_index(a, 0, F.lit("set")), "put"), show(S.concat_lists(a, F.lit(None).cast("array<string>"), S.first_items(a, 1)), "joined")
+    )
+
+
+@query("SELECT id, CAST(i - 1 AS INTEGER) AS place, tech_stack[i] AS item FROM (SELECT id, tech_stack, unnest(range(1, len(tech_stack) + 1)) AS i FROM {projects})")
+def array_explode(spark, d):
+    return site.projects(spark, d).select("id", F.posexplode("tech_stack").alias("place", "item"))
+
+
+@query("SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) * 100 AS INTEGER) AS delay FROM {testimonials}")
+def view_model_order(spark, d):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.orderBy("id"))  # a section of a page: a few rows
+    return site.testimonials(spark, d).select("id", ((place - 1) * 100).alias("delay"))
+
+
+# JSON.
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_extract(spark, d):
+    return site.raw(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a|b' ELSE '' END AS skills, CASE event_id % 3 WHEN 0 THEN 't:c:d1, d2' ELSE '' END AS positions, CASE event_id % 3 WHEN 0 THEN 'plain|named|' ELSE '' END AS certifications FROM events")
+def json_resume(spark, d):
+    good = '{"technical":["a"],"tools":["b"],"positions":[{"title":"t","company":"c","responsibilities":["d1","d2"],"description":"x"}],"certifications":["plain",{"name":"named"},{}]}'
+    c = F.when(F.col("event_id") % 3 == 0, good).when(F.col("event_id") % 3 == 1, "not json").otherwise('["a","b"]')
+    positions = F.transform(S.resume_positions(c), lambda p: F.concat_ws(":", p.title, p.company, p.description))
+    return site.raw(spark, d, "events").select("event_id", F.array_join(S.resume_skills(c), "|").alias("skills"), F.array_join(positions, "|").alias("positions"), F.array_join(S.resume_certifications(c), "|").alias("certifications"))
+
+
+# Dates.
+
+
+@query("""SELECT event_id, strftime(created_at, '%-m/%-d/%Y') AS short, strftime(created_at, '%B %-d, %Y') AS long, strftime(created_at, '%B %-d, %Y at %I:%M %p') AS timed, CAST(2024 AS INTEGER) AS year_now FROM {contacts}""")
+def dates(spark, d):
+    t = F.col("created_at")
+    return site.contacts(spark, d).select("event_id", S.date_short(t).alias("short"), S.date_long(t).alias("long"), S.date_time_long(t).alias("timed"), F.year(F.lit(AS_OF)).alias("year_now"))
+
+
+@query("SELECT event_id, CAST(1717200000000 - epoch_us(created_at) // 1000 AS BIGINT) AS age_ms, 1717200000000 - epoch_us(created_at) // 1000 < 86400000 AS valid FROM {contacts}")
+def ttl_valid(spark, d):
+    as_of = F.lit(AS_OF).cast("timestamp")
+    return site.contacts(spark, d).select("event_id", (F.unix_millis(as_of) - F.unix_millis("created_at")).alias("age_ms"), S.within_hours(F.col("created_at"), as_of).alias("valid"))
+
+
+# Filters.
+
+
+@query("SELECT id FROM {blog_comments} WHERE approved AND blog_post_id = '7'")
+def filter_eq_chain(spark, d):
+    return R.Relation(site.blog_comments(spark, d)).eq("blog_post_id", "7").eq("approved", True).select("id").frame()
+
+
+@query("SELECT event_id FROM {contacts} WHERE status IN ('unread', 'read')")
+def filter_in(spark, d):
+    return R.Relation(site.contacts(spark, d)).is_in("status", ["unread", "read"]).select("event_id").frame()
+
+
+@query("SELECT id FROM {testimonials} WHERE rating BETWEEN 2 AND 4")
+def filter_between(spark, d):
+    return site.testimonials(spark, d).where(F.col("rating").between(2, 4)).select("id")
+
+
+@query("SELECT id FROM {projects} WHERE featured IS NOT NULL AND NOT featured")
+def filter_not_null(spark, d):
+    return site.projects(spark, d).where(F.col("featured").isNotNull() & ~F.col("featured")).select("id")
+
+
+# Joins and subqueries.
+
+
+@query("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
+def exists_semi(spark, d):
+    o = site.raw(spark, d, "orders").where(F.col("o_totalprice") > 200000)
+    return site.raw(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
+def not_exists_anti(spark, d):
+    o = site.raw(spark, d, "orders").where(F.col("o_totalprice") > 200000)
+    return site.raw(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT ur.*, u.email FROM (SELECT * FROM {user_roles}) ur JOIN (SELECT * FROM {users}) u ON ur.user_id = u.id")
+def roles_join_users(spark, d):
+    ur, u = site.user_roles(spark, d).alias("ur"), site.users(spark, d).alias("u")
+    return ur.join(u, F.col("ur.user_id") == F.col("u.id")).select("ur.*", "u.email")
+
+
+@query("SELECT ur.*, u.email FROM (SELECT * FROM {user_roles}) ur JOIN (SELECT * FROM {users}) u ON ur.user_id = u.id WHERE u.email LIKE '%7@mail.example'")
+def roles_join_users_by_email(spark, d):
+    return roles_join_users(spark, d).where(F.col("email").endswith("7@mail.example"))
+
+
+@query("SELECT (SELECT min(id) FROM {users} WHERE email = 'nobody@mail.example') AS user_id, EXISTS (SELECT 1 FROM {user_roles} WHERE role = 'admin') AS any_admin")
+def scalar_lookup(spark, d):
+    found = site.users(spark, d).where(F.col("email") == "nobody@mail.example").agg(F.min("id").alias("user_id"))
+    return found.withColumn("any_admin", F.lit(P.has_any_admin(site.user_roles(spark, d))))
+
+
+# Order and limit.
+
+
+@query("SELECT event_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM {contacts} ORDER BY contacts.created_at DESC NULLS FIRST, event_id LIMIT 5")
+def top_recent(spark, d):
+    return R.Relation(site.contacts(spark, d).select("event_id", "created_at")).order("created_at", False).order("event_id").limit(5).frame().select("event_id", _time("created_at"))
+
+
+@query("SELECT id, featured FROM {projects} ORDER BY featured DESC NULLS FIRST, created_at DESC NULLS FIRST, id LIMIT 40")
+def featured_order_topk(spark, d):
+    return R.Relation(site.projects(spark, d)).order("featured", False).order("created_at", False).order("id").limit(40).select("id, featured").frame()
+
+
+@query("SELECT id FROM {blog_comments} ORDER BY approved ASC NULLS LAST, created_at ASC NULLS LAST, id LIMIT 30")
+def asc_order_topk(spark, d):
+    return R.Relation(site.blog_comments(spark, d)).order("approved").order("created_at").order("id").limit(30).select("id").frame()
+
+
+# Changes.
+
+
+@query("SELECT user_id, role FROM {user_roles} UNION ALL SELECT id, 'admin' FROM {users} WHERE CAST(id AS BIGINT) % 3 = 0 OR NOT EXISTS (SELECT 1 FROM {user_roles} WHERE user_roles.user_id = users.id AND user_roles.role = 'admin')")
+def upsert_ignore(spark, d):
+    new = site.users(spark, d).select(F.concat(F.lit("n"), "id").alias("id"), F.col("id").alias("user_id"), F.lit("admin").alias("role"))
+    return M.insert_ignoring(site.user_roles(spark, d), new.union(new), [["user_id", "role"]]).select("user_id", "role")
+
+
+@query("SELECT id, CASE WHEN rating IS NULL THEN 'null' ELSE CAST(rating AS VARCHAR) END AS rating, featured FROM {testimonials} UNION ALL SELECT id + 1000000, '5', false FROM {testimonials}")
+def insert_defaults(spark, d):
+    old = site.testimonials(spark, d).select(F.col("id").cast("string"), "name", "rating", "featured")
+    new = old.select((F.col("id").cast("long") + 1000000).cast("string").alias("id"), "name")
+    made = M.with_defaults(new, M.TABLES["testimonials"], AS_OF).select("id", "name", "rating", "featured")
+    return old.unionByName(made).select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("rating").cast("string"), F.lit("null")).alias("rating"), "featured")
+
+
+@query("SELECT event_id, CASE WHEN event_id = 12 THEN 'archived' ELSE status END AS status FROM {contacts}")
+def update_by_key(spark, d):
+    return M.update(site.contacts(spark, d), F.col("event_id") == 12, {"status": F.lit("archived")}, AS_OF).select("event_id", "status")
+
+
+@query("SELECT event_id FROM {contacts} WHERE event_id <> 12")
+def delete_by_key(spark, d):
+    return M.delete(site.contacts(spark, d), F.col("event_id") == 12).select("event_id")
+
+
+@query("SELECT id FROM {blog_comments} WHERE CAST(blog_post_id AS BIGINT) % 2 = 1")
+def cascade_delete(spark, d):
+    gone = site.blog_posts(spark, d).where(F.col("id").cast("long") % 2 == 0)
+    all_ids = site.blog_comments(spark, d).select(F.col("blog_post_id").alias("id")).where(F.col("id").cast("long") % 2 == 0)
+    return M.cascade(M.cascade(site.blog_comments(spark, d), "blog_post_id", gone), "blog_post_id", all_ids).select("id")
+
+
+# Checks.
+
+
+@query("SELECT event_id, status FROM {contacts} WHERE status NOT IN ('unread', 'read', 'archived')")
+def check_violations(spark, d):
+    return V.check_violations(site.contacts(spark, d), "status IN ('unread', 'read', 'archived')").select("event_id", "status")
+
+
+@query("SELECT text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+def unique_violations(spark, d):
+    return V.unique_violations(site.raw(spark, d, "documents"), ["text"])
+
+
+@query("SELECT excerpt, count(*) AS n FROM (SELECT CASE WHEN excerpt <> '' THEN excerpt END AS excerpt FROM {blog_posts}) WHERE excerpt IS NOT NULL GROUP BY excerpt HAVING count(*) > 1")
+def partial_unique_violations(spark, d):
+    return V.unique_violations(site.blog_posts(spark, d).select(S.falsy_null(F.col("excerpt")).alias("excerpt")), ["excerpt"])
+
+
+@query("SELECT id FROM {blog_comments} WHERE NOT EXISTS (SELECT 1 FROM labels WHERE CAST(labels.doc_id AS VARCHAR) = blog_comments.blog_post_id)")
+def fk_violations(spark, d):
+    parents = site.raw(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    return V.reference_violations(site.blog_comments(spark, d), "blog_post_id", parents).select("id")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'Name is required' END AS name, CASE WHEN event_id % 2 = 0 THEN 'Invalid email address' END AS email,
+    CASE WHEN length(repeat(message, 120)) > 1000 THEN 'Message must be less than 1000 characters' END AS message FROM {contacts}""")
+def contact_validation(spark, d):
+    c = site.contacts(spark, d).withColumn("name", F.when(F.col("event_id") % 5 == 0, "   ").otherwise(F.col("name"))).withColumn("email", F.when(F.col("event_id") % 2 == 0, "no mail").otherwise(F.lit(" a.b@c.example ")))
+    return c.select("event_id", V.contact_faults(F.col("name"), F.col("email"), F.repeat("message", F.lit(120))).alias("f")).select("event_id", "f.*")
+
+
+@query("SELECT event_id, CASE status WHEN 'unread' THEN 'read' WHEN 'read' THEN 'archived' END AS next, CASE status WHEN 'unread' THEN 'new' ELSE 'seen' END AS badge FROM {contacts}")
+def contact_transitions(spark, d):
+    return site.contacts(spark, d).select("event_id", M.next_status(F.col("status")).alias("next"), F.when(F.col("status") == "unread", "new").otherwise("seen").alias("badge"))
+
+
+@query("SELECT * FROM (VALUES (CAST(-1 AS BIGINT), 'Sample shop'), (-2, 'Sample board'), (-3, 'Sample feed')) v(id, title)")
+def fallback_when_empty(spark, d):
+    none = site.projects(spark, d).select("id", "title").where(F.col("title") == "")
+    return R.or_else(none, site.sample_projects(spark))
+
+
+@query("SELECT * FROM (VALUES ('Backend', 'APIs'), ('Backend', 'Databases'), ('Frontend', 'Pages'), ('Frontend', 'Forms'), ('Frontend', 'Charts')) v(category, skill)")
+def literal_nested(spark, d):
+    return site.skill_groups(spark).select("category", F.explode("skills").alias("skill"))
+
+
+@query("SELECT 'Database setup completed' AS message")
+def constant_select(spark, d):
+    return spark.sql("SELECT 'Database setup completed' AS message")
+
+
+# Policies.
+
+
+@query("SELECT id FROM {blog_comments} WHERE approved")
+def rls_comments_public(spark, d):
+    return P.secure(site.blog_comments(spark, d), "blog_comments", P.Principal(), site.user_roles(spark, d)).select("id")
+
+
+@query("SELECT event_id FROM {contacts} WHERE EXISTS (SELECT 1 FROM {user_roles} WHERE user_id = (SELECT min(user_id) FROM {user_roles} WHERE role = 'admin') AND role = 'admin')")
+def rls_contacts_admin(spark, d):
+    roles = site.user_roles(spark, d)
+    admin = roles.where(F.col("role") == "admin").agg(F.min("user_id")).first()[0]
+    return P.secure(site.contacts(spark, d), "contacts", P.Principal(admin), roles).select("event_id")
+
+
+@query("SELECT event_id FROM {contacts} WHERE false")
+def rls_contacts_public(spark, d):
+    return P.secure(site.contacts(spark, d), "contacts", P.Principal(), None).select("event_id")
+
+
+@query("SELECT id, user_id FROM {user_roles} WHERE user_id = (SELECT min(user_id) FROM {user_roles} WHERE role = 'user')")
+def rls_roles_own(spark, d):
+    roles = site.user_roles(spark, d)
+    me = roles.where(F.col("role") == "user").agg(F.min("user_id")).first()[0]
+    return P.secure(roles, "user_roles", P.Principal(me), roles).select("id", "user_id")
+
+
+@query("SELECT role, count(*) AS n FROM (SELECT 'admin' AS role FROM {users} WHERE id = '1') GROUP BY role")
+def first_admin(spark, d):
+    roles = site.user_roles(spark, d)
+    return M.appoint_first_admin(roles.where(F.lit(False)), site.users(spark, d)).groupBy("role").agg(F.count("*").alias("n"))

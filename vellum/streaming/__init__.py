@@ -1,0 +1 @@
+"""The content site has no streams: its only events are sign-in changes, and a batch principal stands for those."""
