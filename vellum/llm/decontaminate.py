@@ -56,13 +56,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, keep: list
     probes = rows.select("row", "kept", "words", F.explode("places").alias("place"))
     pos, size = F.col("place").bitwiseAND(0xFFFFFFFF).cast("int"), F.shiftright("place", 32).cast("int")
     own = F.slice("words", F.greatest(pos, F.lit(1)), size)
+    first = F.when(F.col("place") == 0, F.col("kept"))  # what is kept travels once, with the marker
     hits = (
         probes.select("row", "kept", "words", "place", F.when(F.col("place") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(own)).alias("p"))
         .join(wins, (F.col("p") == F.col("h")) & (size == F.col("w_len")))
         .where((F.col("place") == 0) | (own == F.col("win")))
-        .select("row", "kept", F.size("words").cast("long").alias("n_words"), F.when(F.col("place") > 0, F.struct(pos.alias("pos"), size.alias("len"))).alias("span"), "items")
+        .select("row", first.alias("kept"), F.size("words").cast("long").alias("n_words"), F.when(F.col("place") > 0, F.struct(pos.alias("pos"), size.alias("len"))).alias("span"), "items")
     )
-    found = hits.groupBy("row", "kept", "n_words").agg(F.collect_list("span").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = hits.groupBy("row").agg(F.first("kept", ignorenulls=True).alias("kept"), F.first("n_words").alias("n_words"), F.collect_list("span").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     hit = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.pos - 1, s.pos + s.len - 2)))))
     return found.select("kept.*", "n_words", hit.alias("hit"), "items").withColumn("n_hit", F.size("hit").cast("long"))
 
@@ -78,12 +79,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> Dat
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13, text_col: str = "text") -> DataFrame:
-    """All documents, without the words that lie in benchmark windows; what stands between words stays."""
+    """All documents, without the words that lie in benchmark windows and what stands right before each."""
     found = contamination(docs, benchmark, n, keep=docs.columns)
     text = F.coalesce(F.col(text_col), F.lit(""))
     gaps, words = F.split(text, CASED_WORD, -1), F.regexp_extract_all(text, F.lit(CASED_WORD), F.lit(0))
-    gone = F.map_from_arrays("hit", F.transform("hit", lambda _: F.lit(True)))
-    kept = F.transform(words, lambda w, i: F.when(F.map_contains_key(gone, i), F.lit("")).otherwise(w))
-    joined = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(words)), lambda i: F.array(F.get(gaps, i), F.coalesce(F.get(kept, i), F.lit(""))))), "")
+    left = F.array_except(F.transform(words, lambda _, i: i), F.col("hit"))
+    # A one-element array binds the three lists, so that they are made once and not for each word.
+    bound = F.array(F.struct(gaps.alias("gaps"), words.alias("words"), left.alias("left")))
+    joined = F.get(F.transform(bound, lambda s: F.concat(F.array_join(F.transform(s.left, lambda i: F.concat(F.get(s.gaps, i), F.get(s.words, i))), ""), F.element_at(s.gaps, -1))), 0)
     cut = F.when(F.col("n_hit") > 0, joined).otherwise(F.col(text_col))
     return found.select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -52,10 +52,10 @@ def _log(c: Column) -> Column:
 
 def entropy_span(value: Column, bits: Column) -> Column:
     """First and last+1 place of the windows in value whose entropy reaches bits (null, null where none does)."""
-    codes = F.transform(F.split(value, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
+    made = F.transform(F.split(value, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
     zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
 
-    def step(st: Column, i: Column) -> Column:
+    def step(codes: Column, st: Column, i: Column) -> Column:
         new, old = F.get(codes, i), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(-1))
         c_new = F.get(st.n, new)
         c_old = F.when(old >= 0, F.get(st.n, old)).otherwise(F.lit(0))
@@ -65,7 +65,9 @@ def entropy_span(value: Column, bits: Column) -> Column:
         hit = (i >= WINDOW - 1) & (F.log2(F.lit(float(WINDOW))) - s / WINDOW >= bits)
         return F.struct(n.alias("n"), s.alias("s"), F.when(hit, F.coalesce(st.a, i - WINDOW + 1)).otherwise(st.a).alias("a"), F.when(hit, i + 1).otherwise(st.b).alias("b"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), zero, step, lambda st: F.struct(st.a.alias("a"), st.b.alias("b")))
+    # A one-element array binds the codes, so that they are made once and not at each step.
+    places = F.sequence(F.lit(0), F.length(value) - 1)
+    return F.get(F.transform(F.array(made), lambda codes: F.aggregate(places, zero, lambda st, i: step(codes, st, i), lambda st: F.struct(st.a.alias("a"), st.b.alias("b")))), 0)
 
 
 def spans(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -78,7 +80,8 @@ def spans(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text"
     every = [_found(k, text, p) for k, p in enumerate([ASSIGN, ACCESS, HEX, CANDIDATE])]
     none = F.array().cast("array<struct<kind:int,i:int,gap:int,value:string>>")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*keep).alias("kept"), F.concat(*[F.coalesce(x, none) for x in every]).alias("found"))
-    rows = rows.select("row", "kept", F.explode_outer("found").alias("m")).select("row", "kept", "m.*").repartition("row")
+    rows = rows.select("row", "kept", F.posexplode_outer("found").alias("at", "m"))
+    rows = rows.select("row", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("kept")).alias("kept"), "m.*").repartition("row")  # what is kept travels once
     run = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(run).cast("int")).withColumn("start", F.col("end") - F.length("value"))
 
@@ -99,10 +102,10 @@ def spans(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text"
         F.coalesce(F.min(F.when(base, F.col("start"))).over(by.rowsBetween(1, Window.unboundedFollowing)), F.lit(2**31 - 1)) < F.col("end")
     )
     rows = rows.withColumn("over", over).withColumn("span", F.when(F.col("good") & ((F.col("kind") < 3) | ~F.col("over")), F.struct("start", "kind", "end")))
-    return rows.groupBy("row").agg(F.first("kept").alias("kept"), F.array_sort(F.collect_list("span")).alias("spans")).select("kept.*", "spans")
+    return rows.groupBy("row").agg(F.first("kept", ignorenulls=True).alias("kept"), F.array_sort(F.collect_list("span")).alias("spans")).select("kept.*", "spans")
 
 
-def written_as(spans: Column) -> Column:
+def written_as(spans: Column | str) -> Column:
     name = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s.kind), s.start, s.end)), ",")
 
