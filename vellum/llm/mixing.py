@@ -26,7 +26,7 @@ from vellum.llm.shared import written
 BLOCK_WORDS = 1024
 SLOT_BIN = 1 << 16
 #: Documents in a bin of one source, about.
-DOC_BIN = 20_000
+DOC_BIN = 2_000
 #: 2**32 / golden ratio: the k-th point is k times this modulo 2**32, over 2**32. k goes round after 2**31, so that no product overflows.
 GOLDEN = 2654435769
 
