@@ -2,19 +2,22 @@
 
 A set is the sorted 64-bit hashes of its distinct shingles; equal sets are one set from the start. Steps:
 
-1. Index. The shingles below LOW of the hash range (a fixed share of any set) go, packed, from blocks of documents to
-   buckets of hash values, which return how many sets hold each; a shingle that several sets of a block hold is sent once
-   with their number, so no bucket holds a posting for each document of a hot shingle.
-2. Prefixes. Sets are ordered rarest shingle first, shingles from LOW on last. Two linked sets share one of their first
-   n/4 + 1 shingles, so a set whose prefix holds only shingles of its own has no link and is out; the others post the
-   shared shingles of their prefix with their positions.
+1. Index. Shingles go, packed, from blocks of documents to buckets of hash values, which return how many sets hold each; a
+   shingle that several sets of a block hold is sent once with their number, so no bucket holds a posting for each document
+   of a hot shingle.
+2. Prefixes. Sets are ordered rarest shingle first. Two linked sets share one of their first n/4 + 1 shingles, so a set
+   whose prefix holds only shingles of its own has no link and is out; the others post the shared shingles of their prefix
+   with their positions. Both steps run twice: over all sets with the shingles below LOW of the hash range (a fixed share
+   of any set; the others come last in the order), then over the sets still in with all of their shingles.
 3. Index-level skipping. Each posting list is cut into blocks by size and position: of two sets the smaller one's common
    shingle lies in its first n/7 + 1, sizes differ by a third at most, and what follows both positions must reach the
    overlap required. Blocks that can't meet are skipped.
-4. Answer-level skipping. Each block's first set is compared with the others, and those found linked take its component
-   as their answer. Afterwards only sets of one list with different components are compared, against all of the list: sets
-   that share a component need no comparison of their own. So a group of copies costs comparisons in proportion to
-   its size, and still every link between two different components is found.
+4. Answer-level skipping. Each block's head, the set with the fewest shingles rarer than the list's, which is the one most
+   like the text that others were copied from, is compared with the others, and those found linked take its component as
+   their answer. In each list that still has several components, the heads of the largest and of the others are then
+   compared with the sets outside the largest. Afterwards only sets of one list with different components are compared,
+   against all of the list: sets that share a component need no comparison of their own. So a group of copies costs
+   comparisons in proportion to its size, and still every link between two different components is found.
 
 Exact but for collisions of 64-bit hashes. Cases: a null or empty text, or one without words, has an empty set and is its
 own component; a text with fewer words than a shingle is one shingle; repeated rows and equal texts share a component;
@@ -24,7 +27,7 @@ ties go to the smallest doc_id; a text of any length is read whole; empty tables
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ from vellum.llm.shared import shuffle_parts, written
 WORDS = 5
 #: Similarity in per cent; the prefix and skip lengths below are those of 75.
 LIMIT = 75
-#: Shingles whose hash lies below are counted: three eighths of a set, more than the quarter that a prefix needs.
+#: Shingles whose hash lies below are counted first: three eighths of a set, more than the quarter that a prefix needs.
 LOW = np.uint64(3 << 61)
 #: Shingles in a block of documents, about.
 BLOCK = 1_000_000
@@ -58,7 +61,7 @@ def prefix(n):
     return n // 4 + 1
 
 
-def _sent(docs: list[int | None], sets: list[np.ndarray], block: int, buckets: int) -> pa.RecordBatch:
+def _sent(docs: list[int | None], sets: list[np.ndarray], block: int, buckets: int, limit: np.uint64 | None) -> pa.RecordBatch:
     """What a block of documents sends: for each bucket its shingles, and once what is known of its documents."""
     sigs = [signature(s) for s in sets]
     number: dict[bytes, int] = {}
@@ -67,7 +70,7 @@ def _sent(docs: list[int | None], sets: list[np.ndarray], block: int, buckets: i
         if sig is not None and sig not in number:
             number[sig] = len(own)
             own.append(s)
-    low = [int(np.searchsorted(s, LOW)) for s in own]
+    low = [len(s) if limit is None else int(np.searchsorted(s, limit)) for s in own]
     n = np.array([len(s) for s in own], np.int64)
     h = np.concatenate([s[:q] for s, q in zip(own, low, strict=True)] or [np.zeros(0, np.uint64)])
     ref = np.repeat(np.arange(len(own), dtype=np.uint32), low)
@@ -158,27 +161,40 @@ def _prefixes(block: pa.Table) -> pa.Table:
     })
 
 
-def _indexed(docs: DataFrame, words: int) -> DataFrame:
-    buckets = 1 << max(10, (4 * shuffle_parts(docs.sparkSession)).bit_length())
+def _indexed(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], limit: np.uint64 | None) -> DataFrame:
+    """Steps 1 and 2 over rows, whose first column is doc_id, with the shingles below limit (None: with all)."""
+    buckets = 1 << max(10, (4 * shuffle_parts(rows.sparkSession)).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, ids, sets, held = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
-            for i, s in zip(batch.column(0).to_pylist(), K.shingle_sets(*K.buffers(batch.column(1)), words), strict=True):
+            for i, s in zip(batch.column(0).to_pylist(), sets_of(batch), strict=True):
                 ids.append(i)
                 sets.append(s)
                 held += len(s)
                 if held >= BLOCK or len(ids) >= 60_000:
-                    yield _sent(ids, sets, (part << 24) + seq, buckets)
+                    yield _sent(ids, sets, (part << 24) + seq, buckets, limit)
                     seq, ids, sets, held = seq + 1, [], [], 0
         if ids:
-            yield _sent(ids, sets, (part << 24) + seq, buckets)
+            yield _sent(ids, sets, (part << 24) + seq, buckets, limit)
 
-    sent = docs.mapInArrow(run, _SENT)
+    sent = rows.mapInArrow(run, _SENT)
     back = sent.groupBy("bucket").applyInArrow(_counted, _BACK)
     return back.groupBy("block").applyInArrow(_prefixes, _FOUND)
 
 
+def _from_set_column(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    col = batch.column(1)
+    for k in range(len(col)):
+        yield col[k].values.to_numpy().view(np.uint64)
+
+
+def _listed(posts: DataFrame) -> DataFrame:
+    """The postings of shingles that several sets post."""
+    lists = posts.groupBy("h").agg(F.min("sig").alias("one"), F.max("sig").alias("other")).where(F.col("one") != F.col("other")).select("h")
+    return posts.join(lists, "h")
+
+
 def _overlap(n_a: Column, n_b: Column) -> Column:
     """Least number of common shingles of linked sets."""
     return F.ceil((n_a + n_b) * LIMIT / (100 + LIMIT))
@@ -223,44 +239,70 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _fits(n_a: Column, p_a: Column, n_b: Column, p_b: Column) -> Column:
+    """Whether sets of these sizes can be linked when their first common shingle has these positions."""
+    sizes = F.least(n_a, n_b) * 100 >= LIMIT * F.greatest(n_a, n_b)
+    return sizes & (F.least(n_a - p_a, n_b - p_b) >= _overlap(n_a, n_b))
+
+
+def _pairs(matched: DataFrame) -> DataFrame:
+    return matched.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _with_head(posts: DataFrame, heads: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of each posting's set with the head of its list or part of a list."""
+    head = {c: F.col(f"head.{c}") for c in ("sig", "n", "pos")}
+    matched = posts.join(heads, on).where((F.col("sig") != head["sig"]) & _fits(F.col("n"), F.col("pos"), head["n"], head["pos"]))
+    return _pairs(matched.select(head["sig"].alias("a"), F.col("sig").alias("b")))
+
+
+def _open(posts: DataFrame, comp: DataFrame) -> DataFrame:
+    """The postings of lists with several components, with comp and whether it is the list's largest (in_main)."""
+    known = posts.join(comp.select(F.col("v").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    known = written(known, "jaccard-known")
+    sizes = known.groupBy("h", "comp").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("h").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where(F.col("comps") > 1)
+    return known.join(main.select("h", "main"), "h").withColumn("in_main", F.col("comp") == F.col("main")).drop("main")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id that links reach from it)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(_indexed(docs, words), "jaccard-index")
+    found = written(_indexed(docs, lambda batch: K.shingle_sets(*K.buffers(batch.column(1)), words), LOW), "jaccard-index")
     rows = found.where(F.col("h").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "sig")
-    posts = found.where(F.col("h").isNotNull()).groupBy("h", "sig").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    posts = written(posts, "jaccard-posts")
-    lists = posts.groupBy("h").agg(F.min("sig").alias("one"), F.max("sig").alias("other")).where(F.col("one") != F.col("other")).select("h")
-    posts = written(posts.join(lists, "h").withColumn("block", _size_block(F.col("n"))), "jaccard-lists")
+    posts = written(found.where(F.col("h").isNotNull()).select("h", "sig").distinct(), "jaccard-posts")
     reps = written(rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
 
-    wanted = posts.select("sig").distinct().join(reps, "sig").select(F.col("rep").alias("doc_id"), "sig")
+    # The sets still in, ordered anew among themselves by all of their shingles.
+    wanted = _listed(posts).select("sig").distinct().join(reps, "sig").select(F.col("rep").alias("doc_id"), "sig")
     sets = written(_sets(docs, wanted, words), "jaccard-sets")
-
-    # First answers: each block's first set against the others of the block.
-    heads = posts.groupBy("h", "block").agg(F.min(F.struct("sig", "n", "pos")).alias("head"))
-    fits = (F.least("n", "head.n") * 100 >= LIMIT * F.greatest("n", "head.n")) & (F.least(F.col("n") - F.col("pos"), F.col("head.n") - F.col("head.pos")) >= _overlap(F.col("n"), F.col("head.n")))
-    pairs = posts.join(heads, ["h", "block"]).where((F.col("sig") != F.col("head.sig")) & fits).select(F.col("head.sig").alias("a"), F.col("sig").alias("b")).distinct()
-    pairs = written(pairs, "jaccard-pairs")
-    first = written(_links(pairs, sets), "jaccard-links")
-    comp = components(first)
+    again = _indexed(sets.select(F.lit(None).cast("long").alias("doc_id"), "set"), _from_set_column, None)
+    posts = written(again.where(F.col("h").isNotNull()).select("h", "sig", "n", "pos"), "jaccard-posts")
+    posts = written(_listed(posts).withColumn("block", _size_block(F.col("n"))), "jaccard-lists")
+
+    # First answers: each block's head against the others of the block.
+    head = F.min(F.struct("pos", "sig", "n")).alias("head")
+    done = written(_with_head(posts, posts.groupBy("h", "block").agg(head), ["h", "block"]), "jaccard-pairs")
+    links = written(_links(done, sets), "jaccard-links")
+
+    # Then in lists with several components, the heads of the largest and of the others against the others.
+    open_ = written(_open(posts, components(links)), "jaccard-open")
+    pairs = _with_head(open_.where(~F.col("in_main")), open_.groupBy("h", "in_main").agg(head).select("h", "head"), ["h"])
+    pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+    links = written(links.union(_links(pairs, sets)), "jaccard-links")
+    done = done.union(pairs)
 
     # Then what is left open: sets of one list with different components, those outside its largest component against all.
-    known = posts.join(comp.select(F.col("v").alias("sig"), "comp"), "sig", "left").select("h", "sig", "n", "pos", "block", F.coalesce("comp", "sig").alias("comp"))
-    known = written(known, "jaccard-known")
-    sizes = known.groupBy("h", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("h").agg(F.max_by("comp", "k").alias("main"), F.count("*").alias("comps")).where(F.col("comps") > 1)
-    open_ = known.join(main.select("h", "main"), "h")
-    minor = open_.where(F.col("comp") != F.col("main")).withColumn("side", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    comp = components(links)
+    open_ = written(_open(posts, comp), "jaccard-open")
+    minor = open_.where(~F.col("in_main")).withColumn("side", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
     x = minor.select("h", F.col("side").alias("block"), F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("comp").alias("c_a"))
-    y = open_.select("h", "block", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("comp").alias("c_b"), (F.col("comp") == F.col("main")).alias("in_main"))
-    meet = (F.col("c_a") != F.col("c_b")) & (F.col("in_main") | (F.col("a") < F.col("b")))
-    meet = meet & (F.least("n_a", "n_b") * 100 >= LIMIT * F.greatest("n_a", "n_b"))
-    meet = meet & (F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= _overlap(F.col("n_a"), F.col("n_b")))
-    rest = x.join(y, ["h", "block"]).where(meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(done, ["a", "b"], "left_anti"), "jaccard-rest")
-    comp = components(first.union(_links(rest, sets)))
+    y = open_.select("h", "block", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("comp").alias("c_b"), "in_main")
+    meet = (F.col("c_a") != F.col("c_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _fits(F.col("n_a"), F.col("p_a"), F.col("n_b"), F.col("p_b"))
+    rest = written(_pairs(x.join(y, ["h", "block"]).where(meet)).join(done, ["a", "b"], "left_anti"), "jaccard-rest")
+    more = written(_links(rest, sets), "jaccard-links")
+    if not more.isEmpty():
+        comp = components(links.union(more))
 
     of = comp.select(F.col("v").alias("sig"), "comp").join(reps, "sig")
     least = of.groupBy("comp").agg(F.min("rep").alias("least"))
