@@ -119,6 +119,18 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_embedded_and_dated(spark):
+    apache, prose = "Licensed under the Apache License, Version 2.0.", "The weather was fine on the hill and the old men sang."
+    dated = "Copyright 2021. All rights reserved. No part of this publication may be reproduced without permission."
+    rows = [f"{prose} {apache} {prose}", dated, "Copyright 2019 Bob Smith. All rights reserved.", "x " * 5_000 + "Released under the MIT License. " + "y " * 5_000 + apache]
+    rows += [f"{prose} Licensed under the GNU General Public License, version 2. {prose}", "This work is licensed under the state's mining act of 1872.", f"{prose} Licensed under CC BY-ND 4.0. {prose}"]
+    got = {r.doc_id: (r.licenses, r.spans) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    at = len(prose) + 1
+    assert got[0] == ("Apache-2.0", f"Apache-2.0:{at}:{at + len(apache)}") and got[1] == ("All-Rights-Reserved", f"All-Rights-Reserved:0:{len(dated)}")
+    assert got[2][0] == "All-Rights-Reserved" and got[3] == ("Apache-2.0,MIT", f"MIT:10000:10031,Apache-2.0:20032:{20032 + len(apache)}")
+    assert [got[k][0] for k in (4, 5, 6)] == ["", "", ""]
+
+
 def test_html(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r.page_id: r for r in QUERIES["op4_html_extract"](spark, DATA).collect()}

@@ -1,14 +1,16 @@
 """License scans by conditional compression.
 
-A line with a licence cue is a candidate block. It is compressed alone and with each template as a zstandard raw
-dictionary; templates are ranked by how much they reduce its size, and a winner counts only if the exact difference in
-wording between block and template, word by word, leaves enough in common. One pass, no shuffle.
-Cases: a null or empty text has no blocks; every line of a text of any length is looked at; repeated rows get one result
-each; equal reductions rank by the templates' order; extra columns are ignored.
+A line with a licence cue is a candidate block. The stretches of it around a cue that align with a template, word by word,
+are found in one pass over its words; a stretch is compressed alone and with each template as a zstandard raw dictionary,
+templates are ranked by how much they reduce its size, and a winner counts only if the exact difference in wording between
+stretch and template leaves enough in common and no version or licence code differs. One pass, no shuffle.
+Cases: a null or empty text has no blocks; every line of a text of any length is looked at; a line may hold many notices,
+anywhere in other text; repeated rows get one result each; equal reductions rank by the templates' order; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -30,15 +32,46 @@ TEMPLATES = {
 }
 CUE = re.compile(r"licen[sc]ed?\b|copyright|all rights reserved|redistribution and use|permission is hereby granted|creative commons", re.I)
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
+#: Words that tell one licence from another: version numbers and the codes of Creative Commons. They are compared by kind.
+_KINDS = [re.compile(r"v?(\d+(?:\.\d+)*?)(?:\.0)*"), re.compile(r"(by(?:-\w\w)*)"), re.compile(r"(attribution(?:-\w+)*)")]
+#: Words that make another licence of a name when they are put into it.
+_OTHER = frozenset(["lesser", "library", "affero"])
+_YEAR = re.compile(r"(19|20)\d\d")
+_SENTENCE = re.compile(r"[.!?;]['\")\]]*\s")
 
 
 @dataclass(frozen=True)
 class Limits:
-    #: Share of its size that the best template must save, and share of the block's words that it must have in order.
+    #: Share of its size that the best template must save, and share of the stretch's words that it must have in order.
     min_reduction: float = 0.3
     min_common: float = 0.8
-    #: Longest block in characters that is compared; longer lines are cut into blocks of this length, overlapping by half.
-    block: int = 2000
+    #: Most words between two runs of template words in one stretch.
+    gap: int = 15
+    #: Least words in common of a stretch that is only part of its sentence: with a name or a whole cue of three words in it, and without.
+    min_named: int = 4
+    min_words: int = 8
+
+
+@dataclass
+class Stretch:
+    """Words a to b of a line that align with words c to d of a template."""
+
+    name: str
+    a: int
+    b: int
+    c: int
+    d: int
+    score: float
+
+
+def _marks(words: list[str]) -> set[tuple[int, str]]:
+    return {(k, m[1]) for w in words for k, p in enumerate(_KINDS) if (m := p.fullmatch(w))}
+
+
+def _clash(own: list[str], other: list[str]) -> bool:
+    """Whether own has a version or code of a kind that other has too, but another one."""
+    mine, theirs = _marks(own), _marks(other)
+    return any(k == j and v not in {y for x, y in theirs if x == k} for k, v in mine for j, _ in theirs)
 
 
 class Scanner:
@@ -49,6 +82,13 @@ class Scanner:
         self.plain = z.ZstdCompressor(level=9, write_content_size=False)
         self.by = {k: z.ZstdCompressor(level=9, write_content_size=False, dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for k, t in templates.items()}
         self.words = {k: _WORD.findall(t.lower()) for k, t in templates.items()}
+        #: Where templates have a pair of words in sequence, and the proper names that fewer than half of the templates have.
+        self.pairs: dict[tuple[str, str], list[tuple[str, int]]] = {}
+        for k, words in self.words.items():
+            for i, pair in enumerate(zip(words, words[1:], strict=False)):
+                self.pairs.setdefault(pair, []).append((k, i))
+        named = [{w.lower() for w in re.findall(r"(?<=[\w,] )[A-Z][\w.-]*\w", t)} for t in templates.values()]
+        self.names = {w for x in named for w in x if 2 * sum(w in y for y in named) < max(2, len(named))}
 
     def blocks(self, text: str) -> Iterator[tuple[int, str]]:
         """Candidate blocks and their places."""
@@ -57,12 +97,110 @@ class Scanner:
         at = 0
         for line in text.split("\n"):
             if CUE.search(line):
-                step = self.limits.block // 2
-                for k in range(0, max(1, len(line) - step), step):
-                    if CUE.search(part := line[k : k + self.limits.block]):
-                        yield at + k, part
+                yield at, line
             at += len(line) + 1
 
+    def stretches(self, words: list[str]) -> list[Stretch]:
+        """The best alignments with each template: runs of two words or more that both have, joined over gaps that cost less than they join."""
+        runs: list[Stretch] = []
+        live: dict[tuple[str, int], Stretch] = {}
+        for i, pair in enumerate(zip(words, words[1:], strict=False)):
+            going = {}
+            for name, j in self.pairs.get(pair, ()):
+                run = live.get((name, j))
+                if run is None:
+                    runs.append(run := Stretch(name, i, i + 1, j, j + 1, 1.0))
+                run.b, run.d, run.score = i + 2, j + 2, run.score + 1
+                going[name, j + 1] = run
+            live = going
+        out = list(runs)
+        best: dict[str, list[Stretch]] = {}
+        for run in runs:  # in the order of their first words
+            chain = run
+            before = [x for x in best.get(run.name, []) if x.b > run.a - self.limits.gap - 1]
+            for x in before:
+                # Words that an earlier run ends with may begin this one too.
+                shared = max(0, x.b - run.a, x.d - run.c)
+                if run.b - run.a > shared:
+                    score = x.score + (run.b - run.a - shared) - 2 * (run.a + shared - x.b) - 0.01 * (run.c + shared - x.d)
+                    if score >= max(chain.score, x.score):
+                        chain = Stretch(run.name, x.a, run.b, x.c, run.d, score)
+            best[run.name] = [*before, chain]
+            if chain is not run:
+                out.append(chain)
+        return out
+
+    def confirmed(self, line: str, places: list[tuple[int, int]], words: list[str], x: Stretch) -> tuple[int, int, str, float, str] | None:
+        """The find that a stretch makes (start, end, licence, reduction, differing words), or None."""
+        other = self.words[x.name]
+        a, b = x.a, x.b
+        # A single word in common before the stretch, such as Copyright before a year, belongs to it where enough stays in common.
+        for k in range(a - 1, max(-1, a - 4), -1):
+            if words[k] in other[: x.c] and (x.b - x.a + 1) >= self.limits.min_common * (b - k):
+                a = k
+                break
+        # One or two words over the end of a sentence, such as The, belong to the next one.
+        for k in (b - 1, b - 2):
+            if k > a and _SENTENCE.search(line, places[k - 1][1], places[k][0]):
+                b, cut = k, b - k
+                x = Stretch(x.name, x.a, k, x.c, x.d - cut, x.score)
+                break
+        start, end = places[a][0], places[b - 1][1]
+        common, diff, clash = self.compared(words[a:b], other)
+        if common < self.limits.min_common or clash:
+            return None
+        # The version may stand just outside what aligns.
+        after = [w for (s, _), w in zip(places[b : b + 2], words[b : b + 2], strict=True) if not _SENTENCE.search(line, end, s)]
+        before = [w for (_, e), w in zip(places[max(0, a - 2) : a], words[max(0, a - 2) : a], strict=True) if not _SENTENCE.search(line, e, start)]
+        if _clash([w for w in after if not _YEAR.fullmatch(w)], other) or _clash(before, other[max(0, x.c - 2) : x.c]) or not _OTHER.isdisjoint(after):
+            return None
+        same = round(common * (b - a))
+        stretch = line[start:end]
+        if same < self.limits.min_words and not (same >= self.limits.min_named and self.names.intersection(words[a:b])):
+            # Too little to count as a part: a whole sentence, or a cue that is a phrase of its own.
+            left = max([m.end() for m in _SENTENCE.finditer(line, max(0, start - 2000), start)], default=max(0, start - 2000))
+            right = m.start() if (m := _SENTENCE.search(line, end, end + 2000)) else min(len(line), end + 2000)
+            around = bisect.bisect_left(places, (right, 0)) - bisect.bisect_left(places, (left, 0))
+            phrase = any(len(m[0].split()) >= 3 for m in CUE.finditer(stretch))
+            if not phrase and same < self.limits.min_common * around:
+                return None
+        saved = dict((k, v) for v, k in self.ranked(stretch))[x.name]
+        if saved < self.limits.min_reduction:
+            return None
+        while end < len(line) and line[end] in ".,;:!?)]\"'":
+            end += 1
+        while start and line[start - 1] in "([\"'":
+            start -= 1
+        return start, end, x.name, round(saved, 4), " ".join(diff)
+
+    def notices(self, line: str) -> list[tuple[int, int, str, float, str]]:
+        """The confirmed finds of a line, in order; none overlaps another."""
+        matched = list(_WORD.finditer(line))
+        places, words = [m.span() for m in matched], [m[0].lower() for m in matched]
+        cues = [m.span() for m in CUE.finditer(line)]
+        cued = []
+        for x in self.stretches(words):
+            k = bisect.bisect_left(cues, (places[x.b - 1][1], 0))
+            # Words may begin before the cue in them, so the cue before the end counts if it ends within.
+            if k and cues[k - 1][1] > places[x.a][0]:
+                cued.append(x)
+        cued.sort(key=lambda x: (x.a, x.b))
+        out: list[tuple[int, int, str, float, str]] = []
+        i, taken = 0, bytearray(len(words))
+        while i < len(cued):  # stretches that overlap are ranked together, over all that they cover
+            j, end = i, cued[i].b
+            while j < len(cued) and cued[j].a < end:
+                end, j = max(end, cued[j].b), j + 1
+            group, got = cued[i:j], []
+            rank = {k: (-v, n) for n, (v, k) in enumerate(self.ranked(line[places[group[0].a][0] : places[end - 1][1]]))}
+            for x in sorted(group, key=lambda x: (rank[x.name], -x.score, x.a)):
+                if not any(taken[x.a : x.b]) and (hit := self.confirmed(line, places, words, x)) and not any(taken[(k := bisect.bisect_left(places, (hit[0], 0))) : x.b]):
+                    taken[k : x.b] = b"\1" * (x.b - k)
+                    got.append(hit)
+            out += sorted(got)
+            i = j
+        return out
+
     def ranked(self, block: str) -> list[tuple[float, str]]:
         """Templates by the share of the block's compressed size that they save, best first."""
         data = block.encode()
@@ -70,32 +208,27 @@ class Scanner:
         found = [(1 - len(c.compress(data)) / alone, k) for k, c in self.by.items()]
         return sorted(found, key=lambda x: -x[0])
 
-    def wording(self, block: str, name: str) -> tuple[float, list[str]]:
-        """Share of the block's words that the template has in order, and the words that differ (- only in the block, + only between matches of the template)."""
-        own, other = _WORD.findall(block.lower()), self.words[name]
+    def compared(self, own: list[str], other: list[str]) -> tuple[float, list[str], bool]:
+        """Share of own's words that other has in order, the words that differ (- only in own, + only between matches of other),
+        and whether they make another licence: a version or code in the place of another, or a word put into the name."""
         match = difflib.SequenceMatcher(None, own, other, autojunk=False)
         ops = match.get_opcodes()
         same = sum(a2 - a1 for op, a1, a2, _, _ in ops if op == "equal")
         hits = [(b1, b2) for op, _, _, b1, b2 in ops if op == "equal"]
         low, high = (hits[0][0], hits[-1][1]) if hits else (0, 0)
-        diff = []
+        diff, clash = [], False
         for op, a1, a2, b1, b2 in ops:
             if op != "equal":
                 diff += [f"-{w}" for w in own[a1:a2]] + [f"+{w}" for k, w in enumerate(other[b1:b2], b1) if low <= k < high]
-        return same / max(1, len(own)), diff
+                clash = clash or _clash(own[a1:a2], other[b1:b2]) or not _OTHER.isdisjoint(own[a1:a2])
+        return same / max(1, len(own)), diff, clash
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, str, float, str]]]:
-        """Number of candidate blocks, and for each confirmed one: start, end, licence, reduction, differing words."""
+        """Number of candidate blocks, and for each notice: start, end, licence, reduction, differing words."""
         n, out = 0, []
         for at, block in self.blocks(text or ""):
             n += 1
-            for saved, name in self.ranked(block):
-                if saved < self.limits.min_reduction:
-                    break
-                common, diff = self.wording(block, name)
-                if common >= self.limits.min_common and not any(re.fullmatch(r"[-+](v?\d[\d.]*|\w{2}-\w{2})", d) for d in diff):
-                    out.append((at, at + len(block), name, round(saved, 4), " ".join(diff)))
-                    break
+            out += [(at + a, at + b, *rest) for a, b, *rest in self.notices(block)]
         return n, out
 
 
