@@ -259,6 +259,19 @@ def test_cut_points_are_least_with_few_bins(spark, seed):
     assert max(full.values()) == least_capacity([s for _, s in rows], 8)
 
 
+@pytest.mark.parametrize("before, after", [(1000, 1000), (0, 2000), (2000, 0), (100, 0)])
+def test_cut_points_share_what_a_hot_group_leaves(spark, before, after):
+    sizes = [1] * before + [1000] + [1] * after
+    cuts = sharding.cut_points(spark.createDataFrame(list(enumerate(sizes)), "first_id long, size long"), 8, bins=64)
+    full = collections.Counter({k: 0 for k in range(8)})
+    for i, s in enumerate(sizes):
+        full[sum(i >= c for c in cuts)] += s
+    rest = sorted(full.values())[:-1]
+    assert max(full.values()) == 1000 and sum(rest) == before + after
+    fair = (before + after) // 7 if not before or not after else 250
+    assert rest[0] >= fair - 1 and rest[-1] <= (fair + 2 if fair != 250 else 335), rest
+
+
 def test_tokens(spark, docs, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -2,6 +2,8 @@
 
 Documents with equal texts form one group. Groups stand in the order of their smallest document id, and the shards are
 runs of that order with the smallest possible largest size. The capacity is found by binary search with a greedy check.
+At that capacity the cuts are placed so that the sum of squared sizes is least, so a hot group's shard grows alone and the
+other shards share what is left evenly.
 The driver never holds the groups: it holds at most about BINS totals of ranges of ids, and it divides further only the
 ranges in which a cut could fall, until each of those holds one group. So its memory is bounded at any input size.
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from vellum.llm.shared import written
 BINS = 16_384
 #: Rows that one task numbers within a shard.
 SLOT_ROWS = 50_000
+#: Places that cuts are chosen from over the whole order, and near each cut when it is placed again.
+COARSE, FINE = 256, 64
 
 
 @dataclass
@@ -76,6 +81,43 @@ def least_capacity(runs: list[Run], shards: int, fluid: bool) -> int:
     return low
 
 
+def _least_squares(total: np.ndarray, places: np.ndarray, capacity: int, shards: int) -> tuple[float, list[int]]:
+    """The least sum of squared sizes of shards that end at some of places (places in total, running sizes) and hold capacity at most, and their ends."""
+    at = total[places].astype(float)
+    size = at[None, :] - at[:, None]
+    cost = np.where((size >= 0) & (size <= capacity), size * size, np.inf)
+    best, came = np.where(np.arange(len(at)) == 0, 0.0, np.inf), []
+    for _ in range(shards):
+        every = best[:, None] + cost
+        came.append(every.argmin(axis=0))
+        best = every.min(axis=0)
+    ends, k = [], len(at) - 1
+    for back in reversed(came):
+        ends.append(int(places[k]))
+        k = int(back[k])
+    return float(best[-1]), ends[::-1]
+
+
+def even_cuts(runs: list[Run], capacity: int, shards: int) -> list[int]:
+    """Places in runs where each shard ends: sizes as even as whole runs allow, each at most capacity (which the greedy cuts keep)."""
+    total = np.concatenate([[0], np.cumsum([r.size for r in runs])])
+    ends = greedy(runs, capacity, shards, fluid=False)
+    even = np.searchsorted(total, np.linspace(0, int(total[-1]), COARSE))
+    spread = np.concatenate([even, even - 1, even + 1, ends, [0, len(runs)]])
+    # The ends of each run that is larger than its share are among these places, so large groups can stand alone.
+    least, reach = math.inf, max(1, len(runs) // COARSE)
+    while True:
+        places = np.unique(np.clip(spread, 0, len(runs)))
+        cost, found = _least_squares(total, places, capacity, shards)
+        if cost >= least and reach == 1:
+            return ends
+        if cost < least:
+            least, ends = cost, found
+        else:
+            reach = max(1, reach // 8)
+        spread = np.concatenate([[e + k * reach for k in range(-FINE // 2, FINE // 2 + 1)] for e in ends] + [even, even - 1, even + 1, ends, [0, len(runs)]])
+
+
 def cut_points(groups: DataFrame, shards: int, bins: int = BINS) -> list[int]:
     """Group ids at which shards 1, 2, ... begin. groups: first_id, size."""
     edge = groups.agg(F.min("first_id").alias("a"), F.max("first_id").alias("b")).first()
@@ -84,30 +126,50 @@ def cut_points(groups: DataFrame, shards: int, bins: int = BINS) -> list[int]:
     ranges = [(edge.a, edge.b + 1)]
     known: list[Run] = []
     while ranges:
-        each = max(2, bins // len(ranges))
-        wide = [(a, b, max(1, -(-(b - a) // each))) for a, b in ranges]
-        inside = F.lit(False)
-        bin_of = F.lit(None).cast("long")
-        for a, b, w in wide:
-            there = (F.col("first_id") >= a) & (F.col("first_id") < b)
-            inside = inside | there
-            bin_of = F.when(there, F.lit(a) + F.floor((F.col("first_id") - a) / F.lit(w)) * w if w > 1 else F.col("first_id")).otherwise(bin_of)
-        found = groups.where(inside).groupBy(bin_of.alias("bin")).agg(F.sum("size").alias("size"), F.max("size").alias("top"), F.count("*").alias("n"), F.min("first_id").alias("a"), F.max("first_id").alias("b"))
-        known += [Run(r.a, r.b + 1, r["size"], r.top, r.n) for r in found.collect()]
+        known += _totals(groups, ranges, bins)
         known.sort(key=lambda r: r.a)
         high = least_capacity(known, shards, fluid=False)
         low = least_capacity(known, shards, fluid=True)
         # Cuts of any capacity between the two lie between those of the lower one, runs whole, and the higher one, runs parted.
         early, late = _cuts_at_most(known, low, shards), greedy(known, high, shards, fluid=True)
         open_ = {k for x, y in zip(early, late, strict=True) for k in range(x, min(y + 1, len(known)))}
-        parted = [k for k in sorted(open_) if not known[k].atomic]
-        ranges = [(known[k].a, known[k].b) for k in parted]
-        gone = set(parted)
-        known = [r for k, r in enumerate(known) if k not in gone] if ranges else known
-    cuts = greedy(known, least_capacity(known, shards, fluid=False), shards, fluid=False)
+        # A run that no shard can hold whole stops the first of the two; it is divided before the others, and there are few.
+        open_ = {k for k, r in enumerate(known) if r.size > low and not r.atomic} or open_
+        known, ranges = _without(known, open_)
+    capacity = least_capacity(known, shards, fluid=False)
+    while True:
+        cuts = even_cuts(known, capacity, shards)
+        # Runs beside a cut, and large ones, which may hold a large group and its neighbours, are divided further.
+        large = sum(r.size for r in known) / (COARSE * shards)
+        beside = {k for c in cuts for k in (c - 1, c) if 0 <= k < len(known)}
+        known, ranges = _without(known, beside | {k for k, r in enumerate(known) if r.size > large and r.top > r.size // 2})
+        if not ranges:
+            break
+        known += _totals(groups, ranges, bins)
+        known.sort(key=lambda r: r.a)
     return [known[k].a if k < len(known) else edge.b + 1 for k in cuts[:-1]]
 
 
+def _totals(groups: DataFrame, ranges: list[tuple[int, int]], bins: int) -> list[Run]:
+    """The runs of about bins equal parts of the ranges of ids."""
+    each = max(2, bins // len(ranges))
+    wide = [(a, b, max(1, -(-(b - a) // each))) for a, b in ranges]
+    inside = F.lit(False)
+    bin_of = F.lit(None).cast("long")
+    for a, b, w in wide:
+        there = (F.col("first_id") >= a) & (F.col("first_id") < b)
+        inside = inside | there
+        bin_of = F.when(there, F.lit(a) + F.floor((F.col("first_id") - a) / F.lit(w)) * w if w > 1 else F.col("first_id")).otherwise(bin_of)
+    found = groups.where(inside).groupBy(bin_of.alias("bin")).agg(F.sum("size").alias("size"), F.max("size").alias("top"), F.count("*").alias("n"), F.min("first_id").alias("a"), F.max("first_id").alias("b"))
+    return [Run(r.a, r.b + 1, r["size"], r.top, r.n) for r in found.collect()]
+
+
+def _without(runs: list[Run], places: set[int]) -> tuple[list[Run], list[tuple[int, int]]]:
+    """The runs without those at places that can be parted, and the ranges of ids of these."""
+    parted = {k for k in places if not runs[k].atomic}
+    return [r for k, r in enumerate(runs) if k not in parted], [(runs[k].a, runs[k].b) for k in sorted(parted)]
+
+
 def _cuts_at_most(runs: list[Run], capacity: int, shards: int) -> list[int]:
     """The greedy cuts with whole runs, also where capacity doesn't suffice for all."""
     cuts, i = [], 0
