@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators: quality rules, near duplicates, decontamination, mixing, sharding.
 
-Each stage works on the table that the stage before it wrote. Rejected documents go, one document of each group of near
-duplicates stays, contaminated documents go, sources are mixed to their weights, and the mix is cut into shards.
+Each stage works on the table that the stage before it wrote. Lines that fail a rule go, then rejected documents, one
+document of each group of near duplicates stays, contaminated documents go, sources are mixed to their weights, and the
+mix is cut into shards. From the first stage on, text and n_chars are those without the failed lines.
 """
 
 from __future__ import annotations

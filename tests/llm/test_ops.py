@@ -221,6 +221,18 @@ def test_quality(spark, docs, odd, empty):
     assert quality.filter_quality(odd).columns == odd.columns
 
 
+def test_quality_removes_failed_lines(spark):
+    good = [" ".join(f"w{k}" for k in range(a, a + 40)) for a in (0, 40)]
+    text = "\n".join(["Home | News | Sport | Mail", good[0], "", "All rights reserved.", good[1], "### $$$ %%%"])
+    rows = [(1, text, "a", len(text)), (2, "\n".join(good), "a", 0), (3, None, "a", 0), (4, "### $$$\n" * 60, "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    got = {r.doc_id: r for r in quality.filter_quality(docs).collect()}
+    want = good[0] + "\n\n" + good[1]
+    assert sorted(got) == [1, 2] and got[1].text == want and got[1].n_chars == len(want) and got[2].text == "\n".join(good)
+    assert quality.filter_quality(docs).schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+    assert {r.doc_id: r.left for r in quality.quality(docs, clean_col="left").collect()}[3] is None
+
+
 def least_capacity(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:

@@ -1,5 +1,7 @@
 """Quality rules, line first: lines that fail a rule go, then documents that lose too much of their text.
 
+quality() gives counts of the text as it came and the verdict, and on demand the text without its failed lines;
+filter_quality() gives the documents that pass with that text.
 Cases: a null or empty text has no words and is rejected by the base rule; extra columns are ignored; repeated rows get
 one result each; no rule depends on other rows.
 """
@@ -13,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vellum.llm import kernel as K
 
@@ -64,18 +67,18 @@ def line_fault(line: str, rules: Rules) -> str | None:
 
 
 def lines_left(text: str, rules: Rules) -> list[str]:
-    """The lines with a word that pass every rule."""
-    return [x for x in text.split("\n") if x.strip(" \t\n\v\f\r") and line_fault(x, rules) is None]
+    """The lines that pass every rule. Lines without a word part paragraphs and stay."""
+    return [x for x in text.split("\n") if line_fault(x, rules) is None]
 
 
-def loses_too_much(text: str, rules: Rules) -> bool:
-    total = left = 0
-    for line in text.split("\n"):
-        if size := sum(map(len, line.split())):
-            total += size
-            if line_fault(line, rules) is None:
-                left += size
-    return left < rules.min_left * total
+def word_size(text: str) -> int:
+    return sum(map(len, text.split()))
+
+
+def cleaned(text: str, rules: Rules) -> tuple[str, bool]:
+    """The text without its failed lines, and whether it lost too much."""
+    left = "\n".join(lines_left(text, rules))
+    return left, word_size(left) < rules.min_left * word_size(text)
 
 
 def dup_lines(text: str) -> int:
@@ -121,8 +124,9 @@ def base_counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
-def quality(docs: DataFrame, keep: list[str] | None = None, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:  # noqa: B008
-    """One row for each document: the columns in keep, the counts and the verdict. One pass, no shuffle."""
+def quality(docs: DataFrame, keep: list[str] | None = None, rules: Rules = Rules(), text_col: str = "text", clean_col: str | None = None) -> DataFrame:  # noqa: B008
+    """One row for each document: the columns in keep, the counts and the verdict, and as clean_col the text without its
+    failed lines (null for a null text). One pass, no shuffle."""
     keep = keep or ["doc_id"]
     given = docs.select(*keep, *([] if text_col in keep else [text_col]))
 
@@ -132,18 +136,23 @@ def quality(docs: DataFrame, keep: list[str] | None = None, rules: Rules = Rules
             counts = base_counts(*K.buffers(col))
             failed = (counts[:, 0] < rules.min_words) | (100 * counts[:, 3] > rules.max_repeat_pct * counts[:, 0])
             texts = col.to_pylist()
-            kept = np.array([not f and not loses_too_much(t, rules) for t, f in zip(texts, failed, strict=True)], bool)
+            # Documents that the base rule rejects are cleaned only if their text is asked for.
+            left = [cleaned(t, rules) if t and (clean_col or not f) else (t, False) for t, f in zip(texts, failed, strict=True)]
+            kept = np.array([not f and not lost for (_, lost), f in zip(left, failed, strict=True)], bool)
             dups = [dup_lines(t) if t else 0 for t in texts]
             made = [counts[:, 0], counts[:, 1], counts[:, 2], dups, counts[:, 3]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(x, pa.int64()) for x in made] + [pa.array(failed), pa.array(kept)],
-                names=keep + [x.split()[0] for x in OUT.split(", ")],
+                [batch.column(c) for c in keep] + [pa.array(x, pa.int64()) for x in made] + [pa.array(failed), pa.array(kept)] + ([pa.array([t for t, _ in left], pa.string())] if clean_col else []),
+                names=keep + [x.split()[0] for x in OUT.split(", ")] + ([clean_col] if clean_col else []),
             )
 
     made = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*keep).schema)
-    return given.mapInArrow(run, f"{made}, {OUT}")
+    return given.mapInArrow(run, f"{made}, {OUT}" + (f", `{clean_col}` string" if clean_col else ""))
 
 
 def filter_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
-    """The documents that pass, with their columns unchanged."""
-    return quality(docs, docs.columns, rules).where("kept").select(*docs.columns)
+    """The documents that pass, their text without the lines that fail and n_chars, where there is one, as its length."""
+    rest = [c for c in docs.columns if c != "text"]
+    clean = F.col("_clean")
+    made = {"text": clean} | ({"n_chars": F.length(clean).cast(docs.schema["n_chars"].dataType)} if "n_chars" in rest else {})
+    return quality(docs, rest, rules, clean_col="_clean").where("kept").select(*[made[c].alias(c) if c in made else c for c in docs.columns])
