@@ -144,6 +144,18 @@ def test_html(spark):
     assert sorted(r.n_chars for r in odd.collect()) == [0, 0, 0, 200_007]
 
 
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'aria-hidden="false"', 'title="the hidden part"', 'data-id="comments"', "data-x=a/hidden class='' DATA-ROLE=navigation"])
+def test_html_takes_exact_attribute_names(attrs):
+    w, root = html_extract.Weights(), html_extract._Node("html", "", None, html_extract.Weights())
+    node = html_extract._Node("div", " " + attrs, root, w)
+    assert (node.gone, node.bad, node.good) == (False, 0.0, 0.0)
+    text = "A long enough sentence of the article. " * 8
+    assert html_extract.main_blocks(f"<body><div {attrs}><p>{text}</p></div></body>") == [text.strip()]
+    for own in ("hidden", 'class="a"hidden', "hidden=''", "HIDDEN=until-found"):
+        assert html_extract._Node("div", f" {attrs} {own}", root, w).gone and html_extract.main_blocks(f"<div {attrs} {own}><p>{text}</p></div>") == []
+    assert html_extract._Node("div", f" {attrs} ID=comments", root, w).bad == w.bad_name and html_extract._Node("div", f" {attrs} role = 'navigation'", root, w).bad == w.bad_name
+
+
 def test_min_cut_is_least():
     rnd = random.Random(2)
     for _ in range(200):

@@ -20,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: An attribute with its value consumed, so that nothing within a value is taken for a name.
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
+#: The attributes that are looked at; of a name given twice the first counts.
+_NAMES = frozenset("class id role hidden itemprop".split())
 #: Elements whose content is no text.
 SKIPPED = frozenset("script style noscript template svg textarea select option button iframe object canvas math head title audio video".split())
 #: Elements that run within a line of text; all others part blocks.
@@ -75,9 +78,13 @@ class _Node:
             # An article within another, or within a comment list, is a comment or a teaser, not the main text.
             self.good = max(self.good, _GOOD_TAG[tag]) if not in_article or tag == "main" else self.good
         if attrs:
+            seen = set()
             for name, a, b, c in _ATTR.findall(attrs):
                 value = a or b or c
                 name = name.lower()
+                if name not in _NAMES or name in seen:
+                    continue
+                seen.add(name)
                 if name == "hidden":
                     self.gone = True
                 elif name == "role":
