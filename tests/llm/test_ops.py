@@ -343,3 +343,21 @@ def test_secrets_cases(spark):
     base = lambda s: ",".join(x for x in s.split(",") if not x.startswith("entropy"))
     assert all(base(got[k]) == brute_spans(t) for k, t in enumerate(rows))
     assert got[3] == "entropy_base64:4:28" and "entropy" not in got[4] and "entropy" not in got[5]
+
+
+def test_secrets_behind_names_and_words(spark):
+    rnd = random.Random(3)
+    upper = lambda n: "".join(rnd.choice("0123456789ABCDEF") for _ in range(n))
+    key = "Zx9Kq27LmPv04RtYw8BnQe1s"
+    rows = [f"see {name}{upper(n)} end" for name, n in (("AUTH=", 32), ("KEY=", 64), ("AUTH_", 40)) for _ in range(100)]
+    many = len(rows)
+    rows += [f"/sample/{key}", f"{'0123456789abcdef' * 2}/sample/{key}", f"sample{key}", "id=1234509876123450987612", f"{key}/" + "a" * 30 + f"/{key}"]
+    got = {r.doc_id: r.spans for r in secrets.spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).select("doc_id", secrets.written_as("spans").alias("spans")).collect()}
+    for k in range(many):
+        kind, start, end = got[k].split(":")
+        assert kind.startswith("entropy") and int(start) <= 9 + 24 and int(end) >= len(rows[k]) - 4 - 24
+    at = rows[many].index(key)
+    assert int(got[many].split(":")[2]) == len(rows[many]) and int(got[many].split(":")[1]) in (at - 1, at)
+    hexes, word = got[many + 1].split(",")
+    assert hexes == "hex:0:32" and word.endswith(f":{len(rows[many + 1])}")
+    assert got[many + 2] == "" and got[many + 3] == "" and [x.split(":")[0] for x in got[many + 4].split(",")] == ["entropy_base64", "hex", "entropy_base64"]

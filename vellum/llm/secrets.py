@@ -2,7 +2,8 @@
 
 Base kinds are regular expressions. The method adds strings whose characters look drawn at random: over each candidate
 string a window slides, per-character counts and the sum of c*log2(c) are kept up as a character enters and one leaves,
-and a window whose Shannon entropy reaches its character class's threshold is a find, unless an allow-list rule covers it.
+and a window whose Shannon entropy reaches the threshold of its own characters' class is a find, unless an allow-list rule
+covers it: the rules for whole strings, or a placeholder word in the part between two marks that the window touches.
 Spans are in code points, end exclusive. Cases: a null or empty text has no spans; a text of any length is scanned whole;
 repeated rows get one result each; extra columns are ignored.
 """
@@ -23,15 +24,20 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
 #: Characters in a window, and the least entropy in bits for each class.
 WINDOW, HEX_BITS, BASE64_BITS = 20, 2.9, 3.7
-ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
-#: Allow-list: identifiers, placeholders, words joined by marks, and strings without a digit or without a letter.
+#: The last stands for a character that no window may hold.
+ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-~"
+#: Allow-list for whole strings: identifiers, words joined by marks, and strings without a digit or without a letter.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|dummy|sample|x{6,}|0{8,}|1234567890|abcdefgh",
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^([A-Za-z]+|[0-9]{1,4})([-_/=+]([A-Za-z]+|[0-9]{1,4}))+$",
 ]
+#: Allow-list for the parts of a string between marks: placeholders.
+PLACEHOLDER = r"(?i)example|placeholder|changeme|dummy|sample|x{6,}|0{8,}|1234567890|abcdefgh"
+PARTS = r"[=/_-]|[^=/_-]+"
+#: Runs that the base kind hex reports, and what is between them.
+HEX_PARTS = rf"{HEX}|(?:(?!{HEX}).)+"
 
 
 def _found(kind: int, text: Column, pattern: str) -> Column:
@@ -50,10 +56,20 @@ def _log(c: Column) -> Column:
     return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
 
-def entropy_span(value: Column, bits: Column) -> Column:
-    """First and last+1 place of the windows in value whose entropy reaches bits (null, null where none does)."""
+def _masked(value: Column, parts: str, pattern: str) -> Column:
+    """value with the parts that have the pattern masked."""
+    each = F.transform(F.regexp_extract_all(value, F.lit(parts), F.lit(0)), lambda x: F.when(x.rlike(pattern), F.repeat(F.lit("~"), F.length(x))).otherwise(x))
+    return F.when(value.rlike(pattern), F.array_join(each, "")).otherwise(value)
+
+
+def entropy_spans(value: Column) -> Column:
+    """First and last+1 places of the stretches of value covered by windows that reach their class's entropy, in order."""
     made = F.transform(F.split(value, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
+    n_zero, none = F.lit(0), F.array().cast("array<struct<a:int,b:int>>")
+    # open, lower, upper: characters so far without a masked one, and of one hex class; letter, digit: the last place of each.
+    zero = F.struct(
+        F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), n_zero.alias("open"), n_zero.alias("lower"), n_zero.alias("upper"), F.lit(-WINDOW).alias("letter"), F.lit(-WINDOW).alias("digit"), none.alias("w")
+    )
 
     def step(codes: Column, st: Column, i: Column) -> Column:
         new, old = F.get(codes, i), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(-1))
@@ -62,12 +78,21 @@ def entropy_span(value: Column, bits: Column) -> Column:
         grown = F.when(old == new, F.lit(0.0)).otherwise(_log(c_new + 1) - _log(c_new) + F.when(old >= 0, _log(c_old - 1) - _log(c_old)).otherwise(F.lit(0.0)))
         s = st.s + grown
         n = F.transform(st.n, lambda v, k: v + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
-        hit = (i >= WINDOW - 1) & (F.log2(F.lit(float(WINDOW))) - s / WINDOW >= bits)
-        return F.struct(n.alias("n"), s.alias("s"), F.when(hit, F.coalesce(st.a, i - WINDOW + 1)).otherwise(st.a).alias("a"), F.when(hit, i + 1).otherwise(st.b).alias("b"))
+        grows = lambda c, good: F.when(good, c + 1).otherwise(F.lit(0))
+        free = grows(st.open, new < len(ALPHABET) - 1)
+        lower, upper = grows(st.lower, new < 16), grows(st.upper, (new < 10) | ((new >= 36) & (new < 42)))
+        letter, digit = F.when(new >= 10, i).otherwise(st.letter), F.when(new < 10, i).otherwise(st.digit)
+        is_hex = F.greatest(lower, upper) >= WINDOW
+        bits = F.when(~is_hex, F.lit(BASE64_BITS)).when(F.least(letter, digit) > i - WINDOW, F.lit(HEX_BITS)).otherwise(F.lit(99.0))
+        hit = (free >= WINDOW) & (F.log2(F.lit(float(WINDOW))) - s / WINDOW >= bits)
+        last, first = F.get(st.w, F.size(st.w) - 1), i - WINDOW + 1
+        joined = F.concat(F.slice(st.w, 1, F.size(st.w) - 1), F.array(F.struct(last.a.alias("a"), (i + 1).alias("b"))))
+        w = F.when(~hit, st.w).when((F.size(st.w) > 0) & (last.b >= first), joined).otherwise(F.concat(st.w, F.array(F.struct(first.alias("a"), (i + 1).alias("b")))))
+        return F.struct(n.alias("n"), s.alias("s"), free.alias("open"), lower.alias("lower"), upper.alias("upper"), letter.alias("letter"), digit.alias("digit"), w.alias("w"))
 
     # A one-element array binds the codes, so that they are made once and not at each step.
     places = F.sequence(F.lit(0), F.length(value) - 1)
-    return F.get(F.transform(F.array(made), lambda codes: F.aggregate(places, zero, lambda st, i: step(codes, st, i), lambda st: F.struct(st.a.alias("a"), st.b.alias("b")))), 0)
+    return F.get(F.transform(F.array(made), lambda codes: F.aggregate(places, zero, lambda st, i: step(codes, st, i), lambda st: st.w)), 0)
 
 
 def spans(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -85,10 +110,12 @@ def spans(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text"
     run = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(run).cast("int")).withColumn("start", F.col("end") - F.length("value"))
 
-    is_hex = F.col("value").rlike(r"^[0-9a-f]+$|^[0-9A-F]+$")
-    random = F.when((F.col("kind") == 3) & ~_allowed(F.col("value")), entropy_span(F.col("value"), F.when(is_hex, F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS))))
+    open_value = _masked(_masked(F.col("value"), HEX_PARTS, HEX), PARTS, PLACEHOLDER)
+    random = F.when((F.col("kind") == 3) & ~_allowed(F.col("value")), entropy_spans(open_value))
     good = F.when(F.col("kind") == 0, F.length(F.regexp_extract("value", ASSIGN, 1)) >= 6).when(F.col("kind") == 1, F.length("value") >= 20).when(F.col("kind") == 2, F.lit(True)).otherwise(F.col("w.a").isNotNull())
-    rows = rows.withColumn("w", random).withColumn("good", F.coalesce(good, F.lit(False)))
+    rows = rows.withColumn("ws", random)
+    rows = rows.select("*", F.posexplode_outer("ws").alias("nth", "w")).withColumn("good", F.coalesce(good, F.lit(False)))
+    is_hex = F.substring(F.col("value"), F.col("w.a") + 1, F.col("w.b") - F.col("w.a")).rlike(r"^[0-9a-f]+$|^[0-9A-F]+$")
     added = F.col("kind") == 3
     rows = rows.select(
         "row", "kept", "good",
