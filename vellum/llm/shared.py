@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that one key may bring to one task, and the largest number of keys that can hold more than their share (see spread()).
+KEY_ROWS, HOT_KEYS = 1_000, 50_000
 
 _own_dir: dict[str, str] = {}
 
@@ -15,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where driver and executors are one process may it be unset."""
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="vellum-")
@@ -35,3 +42,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(left: DataFrame, right: DataFrame, on: list[str], by: Column, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right on columns that few values may dominate in left; by: what tells the rows of one value apart.
+
+    counts has on and k, the number of rows of left. A value with more than most of them is dealt to several tasks and its rows
+    of right go to each. As most is at least a HOT_KEYS-th of all, fewer than HOT_KEYS values have more: that many short rows
+    are all that is broadcast.
+    """
+    total = counts.agg(F.sum("k")).first()[0] or 0
+    most = max(KEY_ROWS, -(-total // HOT_KEYS))
+    hot = F.broadcast(counts.where(F.col("k") > most).select(*on, F.ceil(F.col("k") / most).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    copied = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copied, [*on, "_part"], how).drop("_part")
