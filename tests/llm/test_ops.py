@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.llm import decontaminate, html_extract, jaccard, licenses, mixing, quality, secrets, sharding, tokens, toxicity
 from vellum.llm.queries import QUERIES
@@ -89,6 +90,12 @@ def test_jaccard_finds_chains_and_hot_passages(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows)
 
 
+def test_jaccard_deals_hot_keys_out(spark, monkeypatch):
+    """The same links where every list, head and component counts as hot."""
+    monkeypatch.setattr("vellum.llm.shared.KEY_ROWS", 3)
+    test_jaccard_finds_chains_and_hot_passages(spark)
+
+
 def test_jaccard_odd(spark, odd, empty):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(odd).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4)} <= got
@@ -97,20 +104,86 @@ def test_jaccard_odd(spark, odd, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_without_ids(spark):
+    six, lone = "zz yy xx ww vv uu", "lone text of a row"
+    rows = [(-1, "one two"), (4, "one TWO"), (None, six), (None, six), (77, six), (77, "other text here"), (77, six), (None, None), (None, lone), (None, lone), (5, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit(1)).withColumn("sig", F.lit(2)).withColumn("h", F.lit(3)).withColumn("k", F.lit(4))
+    got = collections.Counter((r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).collect())
+    assert got == {(-1, -1): 1, (4, -1): 1, (None, 77): 2, (77, 77): 3, (None, None): 3, (5, 5): 1}
+    left = jaccard.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == {(-1, "one two"): 1, (77, six): 1, (77, "other text here"): 1, (None, lone): 1, (None, None): 1, (5, " "): 1}
+
+
+def brute_mix(docs, point, block=None):
+    """size, taken and first slots by doc_id: the schedule walked slot by slot, each taking the next block of its source word by word."""
+    docs = [(i, len((t or "").encode().split()), s) for i, t, s in docs]
+    names = sorted({s for _, _, s in docs}, key=lambda s: (s is None, (s or "").encode()))
+    goal = mixing.targets([sum(n for _, n, x in docs if x == s) for s in names], [(3, 1, 2)[k % 3] for k in range(len(names))], mixing.Fraction(3, 2), 2)
+    quota = [int(g) for g in goal]
+    block = block or mixing.block_words(quota)
+    order = lambda d: int(hashlib.md5(f"17:{d[0]}".encode()).hexdigest()[:15], 16)
+    stream = [[(i, e) for e in (0, 1) for i, n, _ in sorted((d for d in docs if d[2] == s), key=order) for _ in range(n)] for s in names]
+    at, taken, first = [0] * len(names), collections.Counter(), {}
+    for k in range((sum(quota) + block // 2) // block):
+        src = sum(point(k) >= sum(quota[: j + 1]) / sum(quota) for j in range(len(quota) - 1))
+        for i, e in stream[src][at[src] : at[src] + block]:
+            taken[i] += 1
+            first.setdefault((i, e), k)
+        at[src] += block
+    return taken, first, dict(zip(names, goal, strict=True)), block
+
+
+def golden(k):
+    return (k + 1) * mixing.GOLDEN % 2**32 / 2**32
+
+
+def halving(k):
+    """The k-th van der Corput point."""
+    return int(f"{k:032b}"[::-1], 2) / 2**32
+
+
 def test_mix(spark, docs, odd, empty):
     got = run(spark, "op2_mix_sources")
-    taken, goal = collections.Counter(), {}
+    want, first, goal, block = brute_mix(docs, golden)
+    taken = collections.Counter()
     for i, t, s in docs:
         r = got[i]
-        assert r["size"] == len(t.encode().split()) and 0 <= r.taken <= 2 * r["size"]
+        assert r["size"] == len(t.encode().split()) and r.taken == want[i] <= 2 * r["size"] and r.target == float(goal[s])
+        assert r.first_slot == first.get((i, 0))
         taken[s] += r.taken
-        goal[s] = r.target
-    assert all(abs(taken[s] - goal[s]) < 1 for s in goal)
+    assert all(abs(taken[s] - goal[s]) <= 3 * block for s in goal)
     assert got == run(spark, "op2_mix_sources")
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(empty).count() == 0
     assert mixing.targets([10, 100, 100], [3, 1, 2], 3 * mixing.Fraction(1, 2), 2)[0] == 20
 
 
+def test_mix_follows_its_schedule(spark, docs):
+    """Other points give another answer, and that of their own schedule."""
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    reverse = lambda c: F.conv(F.reverse(F.lpad(F.bin(c), 32, "0")), 2, 10).cast("double") / float(1 << 32)
+    one, two = ({r.doc_id: (r.taken, r.slots[0]) for r in mixing.mix(table, block=50, point=p).collect()} for p in (mixing.golden_point, reverse))
+    for got, point in ((one, golden), (two, halving)):
+        taken, first, _, _ = brute_mix(docs, point, 50)
+        assert got == {i: (taken[i], first.get((i, 0))) for i, _, _ in docs}
+    assert one != two
+
+
+def test_mixed_documents(spark, docs):
+    table = spark.createDataFrame([(i, t, s, i, 77) for i, t, s in docs] + [(None, "a few words of no id", "src0", 5, 77)] * 2, "doc_id long, text string, source string, copies long, copy int")
+    made = mixing.mixed_documents(table)
+    rows = made.collect()
+    assert made.columns == table.columns and {r["copy"] for r in rows} == {77} and all(r.copies == r.doc_id for r in rows if r.doc_id is not None)
+    takes = {r.doc_id: (r.takes, r.slots, r["size"]) for r in mixing.mix(table).collect()}
+    slots = []
+    for i, n in collections.Counter(r.doc_id for r in rows).items():
+        t, s, size = takes[i]
+        here = [b for a, b in zip(t, s, strict=True) if 2 * a >= size]
+        assert n == len(here) * (2 if i is None else 1)
+        slots += [(x, i) for x in here] * (2 if i is None else 1)
+    assert [r.doc_id for r in rows if r.doc_id is not None] == [i for _, i in sorted(x for x in slots if x[1] is not None)]
+
+
 def test_licenses(spark, odd, empty):
     rows = [(1, "Text.\nReleased under the MIT License.\nMore."), (2, "Licensed under the Apache License, Version 2.0."), (3, "Licensed under the Apache License, Version 3.7."), (4, "He lost his licensed dog."), (5, None), (6, "")]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -195,24 +268,32 @@ def brute_hits(text, items, n=13):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
-def test_decontaminate(spark, docs):
+@pytest.mark.parametrize("bound", [None, 0])
+def test_decontaminate(spark, docs, bound):
+    """All documents, with the window table broadcast and joined by shuffle."""
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    got = run(spark, "op6_decontaminate")
-    for i, t, _ in docs[:120]:
+    if bound is None:
+        got = run(spark, "op6_decontaminate")
+    else:
+        found = decontaminate.contamination(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet"), broadcast_bytes=bound)
+        got = {r.doc_id: r for r in found.withColumn("n_items", F.size("items")).withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).collect()}
+    for i, t, _ in docs:
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == brute_hits(t, items)
 
 
 def test_decontaminate_odd(spark, odd, empty):
     items = [(1, "One two"), (10, "lorem " * 20), (2, None), (3, "!!"), (12, " ".join(f"q{k}" for k in range(13))), (12, "sit amet lorem")]
+    items += [(None, "q1 q2 q3"), (None, "lorem ipsum")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(odd, bench, keep=["doc_id", "text"]).collect()
-    assert len(got) == len(ODD)
-    for r in got:
-        want = brute_hits(r.text, items)
-        assert (r.n_words, r.n_hit, len(r["items"])) == want[:3]
-    assert decontaminate.contamination(empty, bench).count() == 0
-    assert decontaminate.contamination(odd, bench.where("false")).where("n_hit > 0").count() == 0
+    own = spark.createDataFrame([*ODD, (None, LONG, "b", 1), (-1, "q1 q2 q3", "b", 1)], SCHEMA)
+    for bound in (None, 0):
+        got = decontaminate.contamination(own, bench, keep=["doc_id", "text"], broadcast_bytes=bound).collect()
+        assert len(got) == len(ODD) + 2
+        for r in got:
+            assert (r.n_words, r.n_hit, len(r["items"])) == brute_hits(r.text, [("" if i is None else i, t) for i, t in items])[:3]
+        assert decontaminate.contamination(empty, bench, broadcast_bytes=bound).count() == 0
+        assert decontaminate.contamination(odd, bench.where("false"), broadcast_bytes=bound).where("n_hit > 0").count() == 0
     cut = {r.doc_id: r.text for r in decontaminate.cut_spans(odd, bench).collect()}
     assert cut[5] == "" and cut[1] is None and cut[7] == ODD[7][1]
 

@@ -9,19 +9,22 @@ A set is the sorted 64-bit hashes of its distinct shingles; equal sets are one s
    whose prefix holds only shingles of its own has no link and is out; the others post the shared shingles of their prefix
    with their positions. Both steps run twice: over all sets with the shingles below LOW of the hash range (a fixed share
    of any set; the others come last in the order), then over the sets still in with all of their shingles.
-3. Index-level skipping. Each posting list is cut into blocks by size and position: of two sets the smaller one's common
-   shingle lies in its first n/7 + 1, sizes differ by a third at most, and what follows both positions must reach the
-   overlap required. Blocks that can't meet are skipped.
+3. Index-level skipping. Posting lists are cut into blocks by size (steps of a third, as linked sets differ by no more), and a
+   posting goes only to those blocks of its list that its position lets it be linked with: what follows the position must
+   hold the overlap that the block's least size requires. So a set meets larger ones only from its first n/7 places. Of two
+   postings that meet, what follows both positions must reach the overlap of their own sizes.
 4. Answer-level skipping. Each block's head, the set with the fewest shingles rarer than the list's, which is the one most
    like the text that others were copied from, is compared with the others, and those found linked take its component as
    their answer. In each list that still has several components, the heads of the largest and of the others are then
    compared with the sets outside the largest. Afterwards only sets of one list with different components are compared,
-   against all of the list: sets that share a component need no comparison of their own. So a group of copies costs
-   comparisons in proportion to its size, and still every link between two different components is found.
+   against all of the list: a set's answer so far is that of the sets like it, and only what differs from it is computed.
+   So a group of copies costs comparisons in proportion to its size, and every link between two components is found.
 
+Lists, heads, components and texts that very many rows share are dealt to several tasks (shared.spread()).
 Exact but for collisions of 64-bit hashes. Cases: a null or empty text, or one without words, has an empty set and is its
-own component; a text with fewer words than a shingle is one shingle; repeated rows and equal texts share a component;
-ties go to the smallest doc_id; a text of any length is read whole; empty tables give no rows; extra columns stay out.
+own component; a text with fewer words than a shingle is one shingle; repeated rows and equal texts share a component; a row
+without a doc_id links as any other, but gives a component no id: that of rows without an id alone is null; ties go to the
+smallest doc_id, whatever its sign; a text of any length is read whole; empty tables give no rows; extra columns stay out.
 """
 
 from __future__ import annotations
@@ -32,24 +35,26 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm import kernel as K
-from vellum.llm.shared import shuffle_parts, written
+from vellum.llm.shared import spread, written
 
 WORDS = 5
 #: Similarity in per cent; the prefix and skip lengths below are those of 75.
 LIMIT = 75
 #: Shingles whose hash lies below are counted first: three eighths of a set, more than the quarter that a prefix needs.
 LOW = np.uint64(3 << 61)
-#: Shingles in a block of documents, about.
-BLOCK = 1_000_000
+#: Shingles in a block of documents, about, and the most that a bucket of hash values should hold.
+BLOCK, BUCKET = 1_000_000, 8_000_000
+#: Least bytes of a word with the space after it, about, from which the number of shingles is estimated.
+WORD_BYTES = 5
 
-_LOCAL = ["l_doc", "l_ref", "l_sig", "l_n", "l_q", "l_mh", "l_mr", "l_xh", "l_xr"]
+_LOCAL = ["l_doc", "l_own", "l_text", "l_ref", "l_sig", "l_n", "l_q", "l_mh", "l_mr", "l_xh", "l_xr"]
 _SENT = "bucket int, block long, h binary, r binary, mh binary, mn binary, " + ", ".join(f"{c} binary" for c in _LOCAL)
 _BACK = "block long, h binary, r binary, d binary, mh binary, md binary, " + ", ".join(f"{c} binary" for c in _LOCAL)
-_FOUND = "doc_id long, n long, sig binary, h long, pos int"
+_FOUND = "doc_id long, text_hash long, n long, sig binary, h long, pos int"
 
 
 def signature(shingles: np.ndarray) -> bytes | None:
@@ -61,7 +66,7 @@ def prefix(n):
     return n // 4 + 1
 
 
-def _sent(docs: list[int | None], sets: list[np.ndarray], block: int, buckets: int, limit: np.uint64 | None) -> pa.RecordBatch:
+def _sent(docs: list[tuple[int | None, int | None]], sets: list[np.ndarray], block: int, buckets: int, limit: np.uint64 | None) -> pa.RecordBatch:
     """What a block of documents sends: for each bucket its shingles, and once what is known of its documents."""
     sigs = [signature(s) for s in sets]
     number: dict[bytes, int] = {}
@@ -83,7 +88,7 @@ def _sent(docs: list[int | None], sets: list[np.ndarray], block: int, buckets: i
     single = np.repeat(count == 1, count)
     sh, sr, mh, mn = h[single], ref[single], h[first][count > 1], count[count > 1].astype(np.uint32)
     local = [
-        np.array([-1 if d is None else d for d in docs], np.int64), np.array([-1 if s is None else number[s] for s in sigs], np.int32),
+        np.array([d or 0 for d, _ in docs], np.int64), np.array([d is not None for d, _ in docs], bool), np.array([t or 0 for _, t in docs], np.int64), np.array([-1 if s is None else number[s] for s in sigs], np.int32),
         None, n, np.array(low, np.int64), h[~single], ref[~single],
         np.concatenate(more or [np.zeros(0, np.uint64)]), np.repeat(np.arange(len(own), dtype=np.uint32), [len(x) for x in more]),
     ]
@@ -131,9 +136,10 @@ def _counted(bucket: pa.Table) -> pa.Table:
 
 
 def _prefixes(block: pa.Table) -> pa.Table:
-    """A block's documents (doc_id, n, sig) and the shared shingles of its sets' prefixes (n, sig, h, pos)."""
+    """A block's documents (doc_id, text_hash, n, sig) and the shared shingles of its sets' prefixes (n, sig, h, pos)."""
     own = next(r for r in block.select(_LOCAL).to_pylist() if r["l_doc"] is not None)
-    doc, doc_ref = np.frombuffer(own["l_doc"], "<i8"), np.frombuffer(own["l_ref"], "<i4")
+    doc, has_id, text = np.frombuffer(own["l_doc"], "<i8"), np.frombuffer(own["l_own"], "?"), np.frombuffer(own["l_text"], "<i8")
+    doc_ref = np.frombuffer(own["l_ref"], "<i4")
     sig = [own["l_sig"][k : k + 16] for k in range(0, len(own["l_sig"]), 16)]
     n, q = np.frombuffer(own["l_n"], "<i8"), np.frombuffer(own["l_q"], "<i8")
     h, r, d, mh, md = (np.concatenate(_numbers(block.column(c), k)) for c, k in (("h", "<u8"), ("r", "<u4"), ("d", "<u4"), ("mh", "<u8"), ("md", "<u4")))
@@ -153,7 +159,8 @@ def _prefixes(block: pa.Table) -> pa.Table:
     h, r, pos = np.concatenate([h[keep], x_h]), np.concatenate([r[keep], x_r]), np.concatenate([pos[keep], x_pos])
     rows, posts = len(doc), len(h)
     return pa.table({
-        "doc_id": pa.array([None if x == -1 else x for x in doc.tolist()] + [None] * posts, pa.int64()),
+        "doc_id": pa.array([x if k else None for x, k in zip(doc.tolist(), has_id.tolist(), strict=True)] + [None] * posts, pa.int64()),
+        "text_hash": pa.array(text.tolist() + [None] * posts, pa.int64()),
         "n": pa.array(np.concatenate([np.where(doc_ref >= 0, n[doc_ref] if len(n) else 0, 0), n[r]]), pa.int64()),
         "sig": pa.array([sig[k] if k >= 0 else None for k in doc_ref.tolist()] + [sig[k] for k in r.tolist()], pa.binary()),
         "h": pa.array([None] * rows + h.view(np.int64).tolist(), pa.int64()),
@@ -161,15 +168,20 @@ def _prefixes(block: pa.Table) -> pa.Table:
     })
 
 
-def _indexed(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], limit: np.uint64 | None) -> DataFrame:
-    """Steps 1 and 2 over rows, whose first column is doc_id, with the shingles below limit (None: with all)."""
-    buckets = 1 << max(10, (4 * shuffle_parts(rows.sparkSession)).bit_length())
+def _buckets(shingles: int) -> int:
+    """Number of buckets, a power of two, for so many shingles."""
+    return max(1 << 10, 1 << max(0, shingles // BUCKET).bit_length())
+
+
+def _indexed(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], limit: np.uint64 | None, shingles: int) -> DataFrame:
+    """Steps 1 and 2 over rows (doc_id, text_hash and what sets_of reads) with the shingles below limit (None: with all); shingles: how many these are, about."""
+    buckets = _buckets(shingles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, ids, sets, held = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
-            for i, s in zip(batch.column(0).to_pylist(), sets_of(batch), strict=True):
-                ids.append(i)
+            for i, t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_of(batch), strict=True):
+                ids.append((i, t))
                 sets.append(s)
                 held += len(s)
                 if held >= BLOCK or len(ids) >= 60_000:
@@ -184,15 +196,16 @@ def _indexed(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[np.nd
 
 
 def _from_set_column(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    col = batch.column(1)
+    col = batch.column(2)
     for k in range(len(col)):
         yield col[k].values.to_numpy().view(np.uint64)
 
 
 def _listed(posts: DataFrame) -> DataFrame:
-    """The postings of shingles that several sets post."""
-    lists = posts.groupBy("h").agg(F.min("sig").alias("one"), F.max("sig").alias("other")).where(F.col("one") != F.col("other")).select("h")
-    return posts.join(lists, "h")
+    """The postings (h, sig and more) of shingles that several sets post."""
+    lists = posts.groupBy("h").agg(F.min("sig").alias("one"), F.max("sig").alias("other"), F.count("*").alias("k")).where(F.col("one") != F.col("other"))
+    lists = written(lists.select("h", "k"), "jaccard-shared")
+    return spread(posts, lists.select("h"), ["h"], F.col("sig"), lists)
 
 
 def _overlap(n_a: Column, n_b: Column) -> Column:
@@ -201,11 +214,18 @@ def _overlap(n_a: Column, n_b: Column) -> Column:
 
 
 def _size_block(n: Column) -> Column:
+    """Blocks of sizes from one power of 4/3 to the next: linked sets are in the same one or in neighbours."""
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(4 / 3))).cast("int")
 
 
+def _blocks_met(n: Column, pos: Column, block: Column) -> Column:
+    """The blocks of a list that may hold sets with which one of n shingles and this position can be linked."""
+    least = lambda k: F.greatest(F.lit(1.0), F.pow(F.lit(4 / 3), k) * (1 - 1e-9))
+    return F.filter(F.array(block - 1, block, block + 1), lambda k: (n - pos >= _overlap(n, least(k))) & (100 * n >= LIMIT * least(k)))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """The sets of the documents wanted (doc_id, sig): sig, n, set."""
+    """The sets of the rows wanted (doc_id, text_hash, sig): sig, n, set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +234,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(sets[k]) for k in keep])]), pa.int32()), pa.array(np.concatenate([sets[k] for k in keep] or [np.zeros(0, np.uint64)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([len(sets[k]) for k in keep], pa.int64()), kept], names=["sig", "n", "set"])
 
-    return docs.join(wanted, "doc_id").select("sig", "text").mapInArrow(run, "sig binary, n long, set array<bigint>")
+    # One row of each doc_id and text, and where there is no doc_id one of each text, before texts are sent anywhere.
+    named = docs.where(F.col("doc_id").isNotNull()).join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    others = docs.where(F.col("doc_id").isNull()).groupBy("text_hash").agg(F.first("text").alias("text"))
+    others = others.join(wanted.where(F.col("doc_id").isNull()).select("text_hash", "sig"), "text_hash")
+    return named.select("sig", "text").unionByName(others.select("sig", "text")).mapInArrow(run, "sig binary, n long, set array<bigint>")
+
+
+def _counts(rows: DataFrame, on: list[str]) -> DataFrame:
+    return written(rows.groupBy(*on).agg(F.count("*").alias("k")), "jaccard-counts")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -222,18 +250,22 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("s_a"))
     two = sets.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("s_b"))
     same = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.join(one, "a").join(two, "b").where(100 * same >= LIMIT * (F.col("n_a") + F.col("n_b") - same)).select("a", "b")
+    met = spread(pairs, one, ["a"], F.col("b"), _counts(pairs, ["a"]))
+    met = spread(met, two, ["b"], F.col("a"), _counts(pairs, ["b"]))
+    return met.where(100 * same >= LIMIT * (F.col("n_a") + F.col("n_b") - same)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
     """v, comp (the smallest vertex that v reaches) for each vertex of links (a, b): labels move along links, then jump to their own labels, until none changes."""
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    degrees = _counts(both, ["b"])
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("v").alias("b"), "comp"), "b").groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("m"))
-        moved = labels.join(near, "v").select("v", F.col("comp").alias("was"), F.least("comp", "m").alias("to"))
+        near = spread(both, labels.select(F.col("v").alias("b"), "comp"), ["b"], F.col("a"), degrees).groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("m"))
+        moved = written(labels.join(near, "v").select("v", F.col("comp").alias("was"), F.least("comp", "m").alias("to")), "labels-moved")
         jump = labels.select(F.col("v").alias("to"), F.col("comp").alias("next"))
-        new = written(moved.join(jump, "to").select("v", "was", F.least("to", "next").alias("comp")), "labels")
+        new = spread(moved, jump, ["to"], F.col("v"), _counts(moved, ["to"]))
+        new = written(new.select("v", "was", F.least("to", "next").alias("comp")), "labels")
         labels = new.select("v", "comp")
         if new.where(F.col("was") != F.col("comp")).isEmpty():
             return labels
@@ -250,9 +282,11 @@ def _pairs(matched: DataFrame) -> DataFrame:
 
 
 def _with_head(posts: DataFrame, heads: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of each posting's set with the head of its list or part of a list."""
+    """Pairs of each posting's set with the heads of its list or part of a list. heads: on, heads (an array), k (postings there)."""
+    heads = written(heads, "jaccard-heads")
+    met = spread(posts, heads.drop("k"), on, F.col("sig"), heads.drop("heads")).withColumn("head", F.explode("heads"))
     head = {c: F.col(f"head.{c}") for c in ("sig", "n", "pos")}
-    matched = posts.join(heads, on).where((F.col("sig") != head["sig"]) & _fits(F.col("n"), F.col("pos"), head["n"], head["pos"]))
+    matched = met.where((F.col("sig") != head["sig"]) & _fits(F.col("n"), F.col("pos"), head["n"], head["pos"]))
     return _pairs(matched.select(head["sig"].alias("a"), F.col("sig").alias("b")))
 
 
@@ -261,61 +295,88 @@ def _open(posts: DataFrame, comp: DataFrame) -> DataFrame:
     known = posts.join(comp.select(F.col("v").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     known = written(known, "jaccard-known")
     sizes = known.groupBy("h", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("h").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where(F.col("comps") > 1)
-    return known.join(main.select("h", "main"), "h").withColumn("in_main", F.col("comp") == F.col("main")).drop("main")
-
-
-def jaccard_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id that links reach from it)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(_indexed(docs, lambda batch: K.shingle_sets(*K.buffers(batch.column(1)), words), LOW), "jaccard-index")
-    rows = found.where(F.col("h").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "sig")
+    main = sizes.groupBy("h").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("k").alias("k")).where(F.col("comps") > 1)
+    main = written(main, "jaccard-main")
+    return spread(known, main.select("h", "main"), ["h"], F.col("sig"), main).withColumn("in_main", F.col("comp") == F.col("main")).drop("main")
+
+
+def _answers(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """For docs (doc_id, text, text_hash): rows (doc_id, text_hash, n_shingles, sig), and for each sig the first row of its
+    component: sig, least (doc_id and text_hash; rows without a doc_id come last)."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = _indexed(docs.select("doc_id", "text_hash", "text"), lambda batch: K.shingle_sets(*K.buffers(batch.column(2)), words), LOW, size // WORD_BYTES * 3 // 8)
+    found = written(found, "jaccard-index")
+    rows = found.where(F.col("h").isNull()).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "sig")
     posts = written(found.where(F.col("h").isNotNull()).select("h", "sig").distinct(), "jaccard-posts")
-    reps = written(rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    reps = written(rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min(own).alias("rep"), F.count("*").alias("k")), "jaccard-reps")
 
     # The sets still in, ordered anew among themselves by all of their shingles.
-    wanted = _listed(posts).select("sig").distinct().join(reps, "sig").select(F.col("rep").alias("doc_id"), "sig")
+    wanted = _listed(posts).select("sig").distinct().join(reps, "sig").select("rep.doc_id", "rep.text_hash", "sig")
     sets = written(_sets(docs, wanted, words), "jaccard-sets")
-    again = _indexed(sets.select(F.lit(None).cast("long").alias("doc_id"), "set"), _from_set_column, None)
+    none = F.lit(None).cast("long")
+    again = _indexed(sets.select(none.alias("doc_id"), none.alias("text_hash"), "set"), _from_set_column, None, sets.agg(F.sum("n")).first()[0] or 0)
     posts = written(again.where(F.col("h").isNotNull()).select("h", "sig", "n", "pos"), "jaccard-posts")
     posts = written(_listed(posts).withColumn("block", _size_block(F.col("n"))), "jaccard-lists")
 
     # First answers: each block's head against the others of the block.
-    head = F.min(F.struct("pos", "sig", "n")).alias("head")
-    done = written(_with_head(posts, posts.groupBy("h", "block").agg(head), ["h", "block"]), "jaccard-pairs")
+    least = lambda rows: F.min(F.when(rows, F.struct("pos", "sig", "n")))
+    heads = posts.groupBy("h", "block").agg(F.array(least(F.lit(True))).alias("heads"), F.count("*").alias("k"))
+    done = written(_with_head(posts, heads, ["h", "block"]), "jaccard-pairs")
     links = written(_links(done, sets), "jaccard-links")
 
     # Then in lists with several components, the heads of the largest and of the others against the others.
     open_ = written(_open(posts, components(links)), "jaccard-open")
-    pairs = _with_head(open_.where(~F.col("in_main")), open_.groupBy("h", "in_main").agg(head).select("h", "head"), ["h"])
-    pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+    minor = ~F.col("in_main")
+    heads = open_.groupBy("h").agg(F.array_compact(F.array(least(F.col("in_main")), least(minor))).alias("heads"), F.count_if(minor).alias("k"))
+    pairs = written(_with_head(open_.where(minor), heads, ["h"]).join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
     links = written(links.union(_links(pairs, sets)), "jaccard-links")
     done = done.union(pairs)
 
     # Then what is left open: sets of one list with different components, those outside its largest component against all.
     comp = components(links)
     open_ = written(_open(posts, comp), "jaccard-open")
-    minor = open_.where(~F.col("in_main")).withColumn("side", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    x = minor.select("h", F.col("side").alias("block"), F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("comp").alias("c_a"))
-    y = open_.select("h", "block", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("comp").alias("c_b"), "in_main")
+    met = open_.withColumn("side", F.explode(_blocks_met(F.col("n"), F.col("pos"), F.col("block"))))
+    # Each of the two sets must be able to meet the other's block.
+    x = met.where(minor).select("h", F.col("block").alias("one"), F.col("side").alias("two"), F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("comp").alias("c_a"))
+    y = met.select("h", F.col("side").alias("one"), F.col("block").alias("two"), F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("comp").alias("c_b"), "in_main")
     meet = (F.col("c_a") != F.col("c_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _fits(F.col("n_a"), F.col("p_a"), F.col("n_b"), F.col("p_b"))
-    rest = written(_pairs(x.join(y, ["h", "block"]).where(meet)).join(done, ["a", "b"], "left_anti"), "jaccard-rest")
+    cell = ["h", "one", "two"]
+    rest = written(_pairs(spread(y, x, cell, F.col("b"), _counts(y, cell)).where(meet)).join(done, ["a", "b"], "left_anti"), "jaccard-rest")
     more = written(_links(rest, sets), "jaccard-links")
     if not more.isEmpty():
         comp = components(links.union(more))
 
-    of = comp.select(F.col("v").alias("sig"), "comp").join(reps, "sig")
-    least = of.groupBy("comp").agg(F.min("rep").alias("least"))
-    linked = of.join(least, "comp").select("sig", "least")
-    answer = reps.join(linked, "sig", "left").select("sig", F.coalesce("least", "rep").alias("component"))
-    return rows.join(answer, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    of = written(comp.select(F.col("v").alias("sig"), "comp").join(reps, "sig"), "jaccard-of")
+    first = of.groupBy("comp").agg(F.min("rep").alias("least"))
+    linked = spread(of.drop("k"), first, ["comp"], F.col("sig"), _counts(of, ["comp"])).select("sig", "least")
+    answer = written(reps.join(linked, "sig", "left").select("sig", F.coalesce("least", "rep").alias("least"), "k"), "jaccard-answers")
+    return rows, answer
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id that links reach from it)."""
+    rows, answer = _answers(_hashed(docs, id_col, text_col), words)
+    found = spread(rows.where(F.col("sig").isNotNull()), answer.drop("k"), ["sig"], F.struct("doc_id", "text_hash"), answer.select("sig", "k"))
+    alone = rows.where(F.col("sig").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id")).unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents that are the first of their component, with their columns; of rows that repeat a doc_id one stays.
+    """One document of each component, that with the smallest doc_id, with its columns unchanged.
 
-    Rows without a doc_id can't be told apart and stay.
+    Of components of rows without a doc_id one row stays too, of rows that repeat both doc_id and text one; texts without
+    words are linked with nothing and all stay.
     """
-    ids = jaccard_components(docs.where(F.col("doc_id").isNotNull()), words).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    _, answer = _answers(_hashed(docs.where(has_word), "doc_id", "text"), words)
+    key = ["_none", "_id", "_hash"]
+    named = lambda i, h: [i.isNull().alias("_none"), F.coalesce(i, F.lit(0)).cast("long").alias("_id"), h.alias("_hash")]
+    chosen = answer.select(*named(F.col("least.doc_id"), F.col("least.text_hash"))).distinct()
+    given = docs.where(has_word).select(F.struct(*docs.columns).alias("_row"), *named(F.col("doc_id"), F.xxhash64("text")))
+    once = given.join(chosen, key, "left_semi").dropDuplicates(key)
+    return once.select("_row.*").unionByName(docs.where(~has_word))
