@@ -75,15 +75,22 @@ def encode_uri_component(c: Column) -> Column:
     return out
 
 
+#: The addresses by which the platforms take a page.
+TWITTER = "https://twitter.com/intent/tweet?text="
+LINKEDIN = "https://www.linkedin.com/sharing/share-offsite/?url="
+FACEBOOK = "https://www.facebook.com/sharer/sharer.php?u="
+
+
 def share_url(platform: Column, url: Column, title: Column) -> Column:
     """The address by which a page is shared; empty for other platforms."""
     u, t = encode_uri_component(url), encode_uri_component(title)
-    return (
-        F.when(platform == "twitter", F.concat(F.lit("https://twitter.com/intent/tweet?text="), t, F.lit("&url="), u))
-        .when(platform == "linkedin", F.concat(F.lit("https://www.linkedin.com/sharing/share-offsite/?url="), u))
-        .when(platform == "facebook", F.concat(F.lit("https://www.facebook.com/sharer/sharer.php?u="), u))
-        .otherwise(F.lit(""))
-    )
+    tweet = F.concat(F.lit(TWITTER), t, F.lit("&url="), u)
+    return F.when(platform == "twitter", tweet).when(platform == "linkedin", F.concat(F.lit(LINKEDIN), u)).when(platform == "facebook", F.concat(F.lit(FACEBOOK), u)).otherwise(F.lit(""))
+
+
+def empty_null(a: Column) -> Column:
+    """The list, or null where it is empty."""
+    return F.when(F.size(a) > 0, a)
 
 
 def first_items(a: Column, n: int) -> Column:
@@ -144,22 +151,27 @@ def within_hours(ts: Column, as_of: Column, hours: int = 24) -> Column:
     return F.coalesce(F.unix_millis(as_of) - F.unix_millis(ts) < hours * 3600000, F.lit(False))
 
 
-def json_list(c: Column, key: str) -> Column:
-    """A list of texts under key of a JSON object; empty for bad JSON, a missing key or another shape."""
-    return F.coalesce(F.try_variant_get(F.try_parse_json(c), f"$.{key}", "array<string>"), F.array().cast("array<string>"))
+def parsed(c: Column) -> Column:
+    """A JSON text as a variant, null where it is no JSON. Put it in a column of its own, so that a text is parsed once."""
+    return F.try_parse_json(c)
+
+
+def json_list(v: Column, key: str) -> Column:
+    """A list of texts under key of a parsed JSON object; empty for bad JSON, a missing key or another shape."""
+    return F.coalesce(F.try_variant_get(v, f"$.{key}", "array<string>"), F.array().cast("array<string>"))
 
 
-def resume_skills(c: Column) -> Column:
-    return F.concat(*[json_list(c, k) for k in ("technical", "frameworks", "tools", "soft_skills")])
+def resume_skills(v: Column) -> Column:
+    return F.concat(*[json_list(v, k) for k in ("technical", "frameworks", "tools", "soft_skills")])
 
 
 _POSITION = "array<struct<title:string,company:string,duration:string,description:string,responsibilities:array<string>>>"
 _DEGREE = "array<struct<degree:string,institution:string,graduation_year:string,year:string>>"
 
 
-def resume_positions(c: Column) -> Column:
+def resume_positions(v: Column) -> Column:
     """Positions of a JSON object with their responsibilities, else their description, as one text."""
-    found = F.try_variant_get(F.try_parse_json(c), "$.positions", _POSITION)
+    found = F.try_variant_get(v, "$.positions", _POSITION)
     blank = F.lit("")
     made = F.transform(
         found,
@@ -170,16 +182,17 @@ def resume_positions(c: Column) -> Column:
     return F.coalesce(made, F.array().cast("array<struct<title:string,company:string,duration:string,description:string>>"))
 
 
-def resume_degrees(c: Column) -> Column:
-    found = F.try_variant_get(F.try_parse_json(c), "$.degrees", _DEGREE)
+def resume_degrees(v: Column) -> Column:
+    found = F.try_variant_get(v, "$.degrees", _DEGREE)
     made = F.transform(found, lambda d: F.struct(F.coalesce(d.degree, F.lit("")).alias("degree"), F.coalesce(d.institution, F.lit("")).alias("institution"), first_truthy(d.graduation_year, d.year).alias("year")))
     return F.coalesce(made, F.array().cast("array<struct<degree:string,institution:string,year:string>>"))
 
 
-def resume_certifications(c: Column) -> Column:
+def resume_certifications(v: Column) -> Column:
     """Each certification's text, or its name where it is an object."""
-    raw = F.from_json(F.get_json_object(c, "$.certifications"), "array<string>")
-    made = F.transform(raw, lambda x: F.when(x.startswith("{"), F.coalesce(F.get_json_object(x, "$.name"), F.lit(""))).otherwise(x))
+    raw = F.try_variant_get(v, "$.certifications", "array<variant>")
+    text = lambda x: F.try_variant_get(x, "$", "string")
+    made = F.transform(raw, lambda x: F.when(text(x).startswith("{"), F.coalesce(F.try_variant_get(x, "$.name", "string"), F.lit(""))).otherwise(text(x)))
     return F.coalesce(made, F.array().cast("array<string>"))
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions import reading_time
+from vellum.functions import js_trim, reading_time
 from vellum.schema import TABLES, Table
 
 
@@ -36,11 +36,17 @@ def insert(old: DataFrame, new: DataFrame, table: str, as_of: dt.datetime) -> Da
     return old.unionByName(triggered(with_defaults(new, TABLES[table], as_of), table))
 
 
+def _one_of_each(df: DataFrame, key: list[str]) -> DataFrame:
+    """Of the rows with the same key the one whose other columns come first."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_rest")).select(*[c if c in key else F.col("_rest")[c].alias(c) for c in df.columns]) if rest else df.distinct()
+
+
 def insert_ignoring(old: DataFrame, new: DataFrame, keys: list[list[str]]) -> DataFrame:
     """old and those rows of new that conflict on none of the keys, neither with old nor among themselves. A null conflicts with nothing."""
     for key in keys:
         whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
-        kept = new.where(whole).dropDuplicates(key).join(old.select(*key), key, "left_anti").select(*new.columns)
+        kept = _one_of_each(new.where(whole), key).join(old.select(*key), key, "left_anti").select(*new.columns)
         new = kept.unionByName(new.where(~whole))
     return old.unionByName(new)
 
@@ -55,6 +61,16 @@ def update(old: DataFrame, where: Column, changes: dict[str, Column], as_of: dt.
     return old.select(*[F.when(hit, changes[c].cast(old.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in old.columns])
 
 
+def replace_or_insert(old: DataFrame, new: DataFrame, table: str, as_of: dt.datetime, key: str = "id") -> DataFrame:
+    """old with the rows of new, which has one row for each key: where the key exists the given columns are replaced and the others
+    stay, elsewhere the row is inserted with defaults."""
+    given = [c for c in new.columns if c != key]
+    changes = new.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in given])
+    joined = old.join(changes, F.col(key) == F.col("_key"), "left")
+    changed = update(joined, F.col("_key").isNotNull(), {c: F.col(f"_new_{c}") for c in given}, as_of, table).select(*old.columns)
+    return insert(changed, new.join(old.select(key), key, "left_anti"), table, as_of)
+
+
 def delete(old: DataFrame, where: Column) -> DataFrame:
     return old.where(~F.coalesce(where, F.lit(False)))
 
@@ -79,10 +95,16 @@ def setup_admin(roles: DataFrame, users: DataFrame, email: str) -> DataFrame:
     return insert_ignoring(roles, new, [["user_id", "role"]])
 
 
-#: What may be done with a contact in each state.
+#: What may be done with a contact in each state. Beside that a reply moves any contact to REPLIED.
 NEXT_STATUS = {"unread": "read", "read": "archived"}
+REPLIED = "replied"
 
 
 def next_status(status: Column) -> Column:
     """The state that a contact may be moved on to; null at the end."""
     return reduce(lambda c, kv: c.when(status == kv[0], kv[1]), list(NEXT_STATUS.items())[1:], F.when(status == "unread", "read"))
+
+
+def reply(contacts: DataFrame, where: Column, subject: Column, message: Column, as_of: dt.datetime) -> DataFrame:
+    """contacts after a reply to those where holds: they are REPLIED from any state, unless subject or message is blank."""
+    return update(contacts, where & (js_trim(subject) != "") & (js_trim(message) != ""), {"status": F.lit(REPLIED)}, as_of)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,15 @@ class Relation:
 def or_else(df: DataFrame, fallback: DataFrame) -> DataFrame:
     """df, or the fallback where df has no rows."""
     return df.unionByName(fallback.join(df.select(F.lit(1).alias("one")).limit(1), F.lit(True), "left_anti"))
+
+
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df with the place of each row in the order of the number column by, from 0. Ranges of by are numbered apart, then set one after the other."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = df.agg(F.percentile_approx(by, [k / parts for k in range(1, parts)], 1000)).first()[0] if parts > 1 else None
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds or []))]), lambda b: b < F.col(by))) if bounds else F.lit(0)
+    rows = df.withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1
+    return rows.withColumn(name, within).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col(name)).drop("_part", "_start")

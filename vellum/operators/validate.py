@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vellum.functions import js_length, js_trim
 from vellum.schema import Table
 
-EMAIL = r"^[A-Za-z0-9_'+\-.]*[A-Za-z0-9_+-]@([A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,}$"
+#: Fixed value: what the form takes for an address. No point at its start, none after another.
+EMAIL = r"^(?!\.)(?!.*\.\.)[A-Za-z0-9_'+\-.]*[A-Za-z0-9_+-]@([A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,}$"
 
 
 class UniqueError(Exception):
+    """A row with a key that exists."""
+
     code = "23505"
 
 
@@ -25,9 +29,26 @@ def check_violations(df: DataFrame, condition: str | Column) -> DataFrame:
 
 
 def unique_violations(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that occur more than once; a key with a null is no duplicate."""
+    """Keys that occur more than once; a key with a null is no duplicate. Texts meet by their digests, and only those of repeated keys travel."""
     whole = df.dropna(subset=keys)
-    return whole.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    if any(df.schema[k].dataType != StringType() for k in keys):
+        return whole.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    whole = whole.select(*keys, F.sha2(F.to_json(F.struct(*keys)), 256).alias("_digest"))
+    twice = whole.groupBy("_digest").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    texts = whole.join(twice, "_digest", "left_semi").groupBy("_digest").agg(*[F.first(k).alias(k) for k in keys])
+    return texts.join(twice, "_digest").select(*keys, "n")
+
+
+def require_unique(df: DataFrame, keys: list[str]) -> None:
+    """Raise UniqueError if a key occurs more than once."""
+    if not unique_violations(df, keys).isEmpty():
+        raise UniqueError(f"duplicate key value violates unique constraint on {', '.join(keys)}")
+
+
+def insert_outcome(code: Column, message: Column) -> Column:
+    """What an insert's error means to who asked for a role: exists, refused (by code or a message that names a policy), failed; null for no error."""
+    refused = (code == "42501") | message.contains("policy")
+    return F.when(code == "23505", "exists").when(refused, "refused").when(code.isNotNull() | message.isNotNull(), "failed")
 
 
 def reference_violations(child: DataFrame, fk: str, parent: DataFrame, key: str = "id") -> DataFrame:

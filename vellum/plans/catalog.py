@@ -159,10 +159,7 @@ def array_explode(spark, d):
 
 @query("SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) * 100 AS INTEGER) AS delay FROM {testimonials}")
 def view_model_order(spark, d):
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy("id"))  # a section of a page: a few rows
-    return site.testimonials(spark, d).select("id", ((place - 1) * 100).alias("delay"))
+    return R.numbered(site.testimonials(spark, d).select("id"), "id", "place").select("id", (F.col("place") * 100).cast("int").alias("delay"))
 
 
 # JSON.
@@ -177,8 +174,24 @@ def json_extract(spark, d):
 def json_resume(spark, d):
     good = '{"technical":["a"],"tools":["b"],"positions":[{"title":"t","company":"c","responsibilities":["d1","d2"],"description":"x"}],"certifications":["plain",{"name":"named"},{}]}'
     c = F.when(F.col("event_id") % 3 == 0, good).when(F.col("event_id") % 3 == 1, "not json").otherwise('["a","b"]')
-    positions = F.transform(S.resume_positions(c), lambda p: F.concat_ws(":", p.title, p.company, p.description))
-    return site.raw(spark, d, "events").select("event_id", F.array_join(S.resume_skills(c), "|").alias("skills"), F.array_join(positions, "|").alias("positions"), F.array_join(S.resume_certifications(c), "|").alias("certifications"))
+    v = F.col("v")
+    positions = F.transform(S.resume_positions(v), lambda p: F.concat_ws(":", p.title, p.company, p.description))
+    rows = site.raw(spark, d, "events").select("event_id", S.parsed(c).alias("v"))
+    return rows.select("event_id", F.array_join(S.resume_skills(v), "|").alias("skills"), F.array_join(positions, "|").alias("positions"), F.array_join(S.resume_certifications(v), "|").alias("certifications"))
+
+
+@query("SELECT event_id, 'BSc:' || event_id || ':' || CASE event_id % 2 WHEN 0 THEN '2001' ELSE '1999' END AS degrees FROM events")
+def json_degrees(spark, d):
+    year = F.when(F.col("event_id") % 2 == 0, '"graduation_year":2001').otherwise('"year":"1999"')
+    c = F.concat(F.lit('{"degrees":[{"degree":"BSc","institution":"'), F.col("event_id"), F.lit('",'), year, F.lit("}]}"))
+    rows = site.raw(spark, d, "events").select("event_id", S.parsed(c).alias("v"))
+    shown = F.transform(S.resume_degrees(F.col("v")), lambda x: F.concat_ws(":", x.degree, x.institution, x.year))
+    return rows.select("event_id", F.array_join(shown, "|").alias("degrees"))
+
+
+@query("SELECT event_id, CAST(event_id AS BIGINT) AS n FROM events")
+def parse_int(spark, d):
+    return site.raw(spark, d, "events").select("event_id", S.parse_int(F.concat(F.lit(" "), "event_id", F.lit("px"))).alias("n"))
 
 
 # Dates.
@@ -251,6 +264,13 @@ def scalar_lookup(spark, d):
     return found.withColumn("any_admin", F.lit(P.has_any_admin(site.user_roles(spark, d))))
 
 
+@query("SELECT (SELECT min(id) FROM {users} WHERE email = (SELECT min(email) FROM {users})) AS user_id, NOT EXISTS (SELECT 1 FROM {user_roles} WHERE role = 'admin' AND user_id = '-') AS others")
+def scalar_lookup_known(spark, d):
+    users = site.users(spark, d)
+    found = users.join(users.agg(F.min("email").alias("email")), "email").agg(F.min("id").alias("user_id"))
+    return found.withColumn("others", ~F.lit(P.has_role(site.user_roles(spark, d), "-")))
+
+
 # Order and limit.
 
 
@@ -303,6 +323,31 @@ def cascade_delete(spark, d):
     return M.cascade(M.cascade(site.blog_comments(spark, d), "blog_post_id", gone), "blog_post_id", all_ids).select("id")
 
 
+@query("SELECT id, title, reading_time, published FROM (SELECT id, title, CASE WHEN content = '' THEN 1 ELSE CAST(greatest(ceil(len(string_split(trim(content, ' '), ' ')) / 200.0), 1) AS INTEGER) END AS reading_time, false AS published FROM {blog_posts})")
+def insert_with_trigger(spark, d):
+    new = site.blog_posts(spark, d).select("id", "title", "slug", "content").withColumn("reading_time", F.lit(99))
+    none = M.with_defaults(new.where(F.lit(False)), M.TABLES["blog_posts"], AS_OF)
+    return M.insert(none, new, "blog_posts", AS_OF).select("id", "title", "reading_time", "published")
+
+
+@query("SELECT id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'new' ELSE 'old' END AS content, 1 AS reading_time, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN '2024-06-01' ELSE '2024-05-01' END AS updated FROM {blog_posts}")
+def update_with_triggers(spark, d):
+    import datetime as dt
+
+    given = site.blog_posts(spark, d).select("id", "title", "slug").withColumn("content", F.lit("old"))
+    old = M.triggered(M.with_defaults(given, M.TABLES["blog_posts"], AS_OF - dt.timedelta(days=31)), "blog_posts")
+    new = M.update(old, F.col("id").cast("long") % 2 == 0, {"content": F.lit("new")}, AS_OF, "blog_posts")
+    return new.select("id", "content", "reading_time", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+@query("SELECT id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'new' ELSE 'old' END AS full_name, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'kept' ELSE NULL END AS phone FROM {users} WHERE CAST(id AS BIGINT) % 2 = 0 UNION ALL SELECT id, 'new', NULL FROM {users} WHERE CAST(id AS BIGINT) % 2 = 1")
+def replace_or_insert(spark, d):
+    """Half of the users have a resume, all save one."""
+    users = site.users(spark, d).select("id", F.lit("new").alias("full_name"), "email")
+    old = M.with_defaults(users.where(F.col("id").cast("long") % 2 == 0).withColumns({"full_name": F.lit("old"), "phone": F.lit("kept")}), M.TABLES["resume"], AS_OF)
+    return M.replace_or_insert(old, users, "resume", AS_OF).select("id", "full_name", "phone")
+
+
 # Checks.
 
 
@@ -334,6 +379,24 @@ def contact_validation(spark, d):
     return c.select("event_id", V.contact_faults(F.col("name"), F.col("email"), F.repeat("message", F.lit(120))).alias("f")).select("event_id", "f.*")
 
 
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'replied' ELSE status END AS status FROM {contacts}")
+def contact_replied(spark, d):
+    return M.reply(site.contacts(spark, d), F.col("event_id") % 2 == 0, F.lit("Re"), F.lit(" Hello "), AS_OF).select("event_id", "status")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'Invalid email address' END AS email, CASE WHEN event_id % 3 = 0 THEN 'Password must be at least 6 characters' END AS password FROM events")
+def sign_in_validation(spark, d):
+    email, password = F.when(F.col("event_id") % 2 == 1, "a..b@c.example").otherwise("a.b@c.example"), F.when(F.col("event_id") % 3 == 0, "12345").otherwise("123456")
+    return site.raw(spark, d, "events").select("event_id", V.sign_in_faults(email, password).alias("f")).select("event_id", "f.*")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'exists' WHEN 1 THEN 'refused' WHEN 2 THEN 'refused' ELSE 'failed' END AS outcome FROM events")
+def insert_outcomes(spark, d):
+    kind = F.col("event_id") % 4
+    code, message = F.when(kind == 0, "23505").when(kind == 1, "42501"), F.when(kind == 2, "new row violates row-level security policy").otherwise("x")
+    return site.raw(spark, d, "events").select("event_id", V.insert_outcome(code, message).alias("outcome"))
+
+
 @query("SELECT event_id, CASE status WHEN 'unread' THEN 'read' WHEN 'read' THEN 'archived' END AS next, CASE status WHEN 'unread' THEN 'new' ELSE 'seen' END AS badge FROM {contacts}")
 def contact_transitions(spark, d):
     return site.contacts(spark, d).select("event_id", M.next_status(F.col("status")).alias("next"), F.when(F.col("status") == "unread", "new").otherwise("seen").alias("badge"))
@@ -345,6 +408,17 @@ def fallback_when_empty(spark, d):
     return R.or_else(none, site.sample_projects(spark))
 
 
+@query("SELECT id, title FROM {projects}")
+def fallback_unused(spark, d):
+    return R.or_else(site.projects(spark, d).select("id", "title"), site.sample_projects(spark))
+
+
+@query("SELECT * FROM (VALUES (CAST(-1 AS BIGINT), 'Sample reader', 5), (-2, 'Sample editor', 5), (-3, 'Sample author', 5)) v(id, name, rating)")
+def fallback_testimonials(spark, d):
+    none = site.testimonials(spark, d).select("id", "name", "rating").where(F.col("rating") > 5)
+    return R.or_else(none, site.sample_testimonials(spark))
+
+
 @query("SELECT * FROM (VALUES ('Backend', 'APIs'), ('Backend', 'Databases'), ('Frontend', 'Pages'), ('Frontend', 'Forms'), ('Frontend', 'Charts')) v(category, skill)")
 def literal_nested(spark, d):
     return site.skill_groups(spark).select("category", F.explode("skills").alias("skill"))
@@ -386,3 +460,42 @@ def rls_roles_own(spark, d):
 def first_admin(spark, d):
     roles = site.user_roles(spark, d)
     return M.appoint_first_admin(roles.where(F.lit(False)), site.users(spark, d)).groupBy("role").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (role = 'admin') AS admins FROM {user_roles}")
+def first_admin_exists(spark, d):
+    roles = site.user_roles(spark, d)
+    return M.appoint_first_admin(roles, site.users(spark, d)).agg(F.count("*").alias("n"), F.count_if(F.col("role") == "admin").alias("admins"))
+
+
+@query("SELECT user_id, role FROM {user_roles} UNION ALL SELECT id, 'admin' FROM {users} WHERE id = '3'")
+def setup_admin(spark, d):
+    users = site.users(spark, d)
+    email = users.where(F.col("id") == "3").first().email
+    return M.setup_admin(site.user_roles(spark, d), users, email).select("user_id", "role")
+
+
+@query("SELECT id FROM {blog_posts}")
+def rls_posts_admin(spark, d):
+    roles = site.user_roles(spark, d)
+    admin = roles.where(F.col("role") == "admin").agg(F.min("user_id")).first()[0]
+    return P.secure(site.blog_posts(spark, d), "blog_posts", P.Principal(admin), roles).select("id")
+
+
+@query("SELECT 'projects' AS name, count(*) AS n FROM {projects} UNION ALL SELECT 'testimonials', count(*) FROM {testimonials} UNION ALL SELECT 'deletes', 0")
+def rls_open_tables(spark, d):
+    """Anyone reads projects and testimonials, and deletes nothing."""
+    anyone, roles = P.Principal(), site.user_roles(spark, d)
+    seen = lambda f, name: P.secure(f(spark, d), name, anyone, roles).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    gone = P.secure(site.projects(spark, d), "projects", anyone, roles, "delete").agg(F.lit("deletes").alias("name"), F.count("*").alias("n"))
+    return seen(site.projects, "projects").union(seen(site.testimonials, "testimonials")).union(gone)
+
+
+@query("SELECT id FROM {blog_comments} WHERE CAST(blog_post_id AS BIGINT) % 3 <> 0")
+def cascade_from_users(spark, d):
+    """Posts of deleted authors go, and with them their comments."""
+    gone = site.users(spark, d).where(F.col("id").cast("long") % 3 == 0)
+    ids = site.blog_comments(spark, d).select(F.col("blog_post_id").alias("id")).distinct()
+    posts = ids.withColumn("author_id", F.when(F.col("id").cast("long") % 3 == 0, gone.agg(F.min("id")).scalar()))
+    left = M.cascade(posts, "author_id", gone)
+    return M.cascade(site.blog_comments(spark, d), "blog_post_id", ids.join(left.select("id"), "id", "left_anti")).select("id")

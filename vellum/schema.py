@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -31,6 +33,7 @@ def _parse(ddl: str) -> T.StructType:
 
 
 _TIMES = {"created_at": "now()", "updated_at": "now()"}
+#: The two colours below.
 _NAMED = "id:string name:string slug:string description:string color:string created_at:timestamp"
 _NAMED_RULES = dict(not_null=("id", "name", "slug"), unique=(("id",), ("name",), ("slug",)), defaults={"id": "uuid()", "color": "'#3B82F6'", "created_at": "now()"})
 
@@ -56,3 +59,8 @@ TABLES: dict[str, Table] = {
         Table("blog_categories", _parse(_NAMED), **(_NAMED_RULES | {"defaults": {**_NAMED_RULES["defaults"], "color": "'#10B981'"}})),
     )
 }
+
+
+def with_missing_columns(df: DataFrame, table: Table) -> DataFrame:
+    """df with the table's columns that it lacks, as nulls; columns that it has stay as they are."""
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in table.schema if f.name not in df.columns})

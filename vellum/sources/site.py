@@ -81,6 +81,11 @@ def sample_projects(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(-1, "Sample shop"), (-2, "Sample board"), (-3, "Sample feed")], "id long, title string")
 
 
+def sample_testimonials(spark: SparkSession) -> DataFrame:
+    """What the testimonial section shows when there are none."""
+    return spark.createDataFrame([(-1, "Sample reader", 5), (-2, "Sample editor", 5), (-3, "Sample author", 5)], "id long, name string, rating int")
+
+
 def skill_groups(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("Backend", ["APIs", "Databases"]), ("Frontend", ["Pages", "Forms", "Charts"])], "category string, skills array<string>")
 
