@@ -242,7 +242,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _counts(rows: DataFrame, on: list[str]) -> DataFrame:
-    return written(rows.groupBy(*on).agg(F.count("*").alias("k")), "jaccard-counts")
+    return rows.groupBy(*on).agg(F.count("*").alias("k"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:

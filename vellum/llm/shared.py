@@ -48,12 +48,15 @@ def spread(left: DataFrame, right: DataFrame, on: list[str], by: Column, counts:
     """left joined with right on columns that few values may dominate in left; by: what tells the rows of one value apart.
 
     counts has on and k, the number of rows of left. A value with more than most of them is dealt to several tasks and its rows
-    of right go to each. As most is at least a HOT_KEYS-th of all, fewer than HOT_KEYS values have more: that many short rows
-    are all that is broadcast.
+    of right go to each. As most is at least a HOT_KEYS-th of the rows of all values above KEY_ROWS, fewer than HOT_KEYS values
+    have more: that many short rows are all that is broadcast. Without such a value it is a plain join.
     """
-    total = counts.agg(F.sum("k")).first()[0] or 0
+    above = written(counts.where(F.col("k") > KEY_ROWS).select(*on, "k"), "hot-keys")
+    total = above.agg(F.sum("k")).first()[0]
+    if not total:
+        return left.join(right, on, how)
     most = max(KEY_ROWS, -(-total // HOT_KEYS))
-    hot = F.broadcast(counts.where(F.col("k") > most).select(*on, F.ceil(F.col("k") / most).cast("int").alias("_parts")))
+    hot = F.broadcast(above.where(F.col("k") > most).select(*on, F.ceil(F.col("k") / most).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
     dealt = left.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
     copied = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
