@@ -74,7 +74,7 @@ def _spans_by_shuffle(rows: DataFrame, wins: DataFrame, lens: list[int]) -> Data
     probes = probes.select("row", pos.alias("pos"), size.alias("len"), F.xxhash64(F.slice("words", pos, size)).alias("h"))
     # A window that very many documents hold is one hash: its rows are dealt to several tasks.
     known = wins.select("len", "h").distinct()
-    counts = written(probes.join(known, ["len", "h"], "left_semi").groupBy("len", "h").agg(F.count("*").alias("k")), "decontaminate-counts")
+    counts = probes.join(known, ["len", "h"], "left_semi").groupBy("len", "h").agg(F.count("*").alias("k"))
     met = spread(probes, wins, ["len", "h"], F.struct("row", "pos"), counts).groupBy("row").agg(F.collect_list(F.struct("pos", "len", "wid", "win")).alias("met"))
     same = lambda s: F.slice(F.col("words"), s.pos, s.len) == s.win
     spans = F.transform(F.filter(F.coalesce("met", F.array().cast("array<struct<pos:int,len:int,wid:string,win:array<string>>>")), same), lambda s: F.struct(s.pos.alias("pos"), s.len.alias("len"), s.wid.alias("wid")))
