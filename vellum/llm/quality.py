@@ -2,7 +2,8 @@
 
 quality() gives counts of the text as it came and the verdict, and on demand the text without its failed lines;
 filter_quality() gives the documents that pass with that text.
-Cases: a null or empty text has no words and is rejected by the base rule; extra columns are ignored; repeated rows get
+Cases: a null or empty text has no words and is rejected by the base rule; ids aren't looked at and may be null or repeated;
+extra columns are ignored by quality() and pass unchanged, whatever their names, through filter_quality(); repeated rows get
 one result each; no rule depends on other rows.
 """
 
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.llm import kernel as K
 
@@ -124,35 +126,38 @@ def base_counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
-def quality(docs: DataFrame, keep: list[str] | None = None, rules: Rules = Rules(), text_col: str = "text", clean_col: str | None = None) -> DataFrame:  # noqa: B008
-    """One row for each document: the columns in keep, the counts and the verdict, and as clean_col the text without its
-    failed lines (null for a null text). One pass, no shuffle."""
-    keep = keep or ["doc_id"]
-    given = docs.select(*keep, *([] if text_col in keep else [text_col]))
+def _judged(docs: DataFrame, keep: list[str], rules: Rules, text_col: str, clean: bool) -> DataFrame:
+    """_row (a struct of keep), counts, verdict and, if asked for, _clean. One pass, no shuffle."""
+    given = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"))
+    made = T.StructType([given.schema["_row"], *T.StructType.fromDDL(OUT).fields, *([T.StructField("_clean", T.StringType())] if clean else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = batch.column(text_col)
+            col = batch.column(1)
             counts = base_counts(*K.buffers(col))
             failed = (counts[:, 0] < rules.min_words) | (100 * counts[:, 3] > rules.max_repeat_pct * counts[:, 0])
             texts = col.to_pylist()
             # Documents that the base rule rejects are cleaned only if their text is asked for.
-            left = [cleaned(t, rules) if t and (clean_col or not f) else (t, False) for t, f in zip(texts, failed, strict=True)]
+            left = [cleaned(t, rules) if t and (clean or not f) else (t, False) for t, f in zip(texts, failed, strict=True)]
             kept = np.array([not f and not lost for (_, lost), f in zip(left, failed, strict=True)], bool)
             dups = [dup_lines(t) if t else 0 for t in texts]
-            made = [counts[:, 0], counts[:, 1], counts[:, 2], dups, counts[:, 3]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(x, pa.int64()) for x in made] + [pa.array(failed), pa.array(kept)] + ([pa.array([t for t, _ in left], pa.string())] if clean_col else []),
-                names=keep + [x.split()[0] for x in OUT.split(", ")] + ([clean_col] if clean_col else []),
-            )
+            counted = [pa.array(x, pa.int64()) for x in (counts[:, 0], counts[:, 1], counts[:, 2], dups, counts[:, 3])]
+            texts = [pa.array([t for t, _ in left], pa.string())] if clean else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counted, pa.array(failed), pa.array(kept), *texts], names=[f.name for f in made])
+
+    return given.mapInArrow(run, made)
 
-    made = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*keep).schema)
-    return given.mapInArrow(run, f"{made}, {OUT}" + (f", `{clean_col}` string" if clean_col else ""))
+
+def quality(docs: DataFrame, keep: list[str] | None = None, rules: Rules = Rules(), text_col: str = "text", clean_col: str | None = None) -> DataFrame:  # noqa: B008
+    """One row for each document: the columns in keep, the counts and the verdict, and as clean_col the text without its
+    failed lines (null for a null text)."""
+    found = _judged(docs, keep or ["doc_id"], rules, text_col, clean_col is not None)
+    return found.select("_row.*", *[x.split()[0] for x in OUT.split(", ")], *([F.col("_clean").alias(clean_col)] if clean_col else []))
 
 
 def filter_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """The documents that pass, their text without the lines that fail and n_chars, where there is one, as its length."""
     rest = [c for c in docs.columns if c != "text"]
-    clean = F.col("_clean")
-    made = {"text": clean} | ({"n_chars": F.length(clean).cast(docs.schema["n_chars"].dataType)} if "n_chars" in rest else {})
-    return quality(docs, rest, rules, clean_col="_clean").where("kept").select(*[made[c].alias(c) if c in made else c for c in docs.columns])
+    made = {"text": F.col("_clean")} | ({"n_chars": F.length("_clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in rest else {})
+    found = _judged(docs, rest or ["text"], rules, "text", True).where("kept")
+    return found.select(*[made[c].alias(c) if c in made else F.col("_row")[c].alias(c) for c in docs.columns])
