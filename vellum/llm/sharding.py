@@ -6,28 +6,32 @@ At that capacity the cuts are placed so that the sum of squared sizes is least,
 other shards share what is left evenly.
 The driver never holds the groups: it holds at most about BINS totals of ranges of ids, and it divides further only the
 ranges in which a cut could fall, until each of those holds one group. So its memory is bounded at any input size.
+The greedy capacity is exact; the even placing is exact where no more than about BINS groups stand in the order, and beyond
+that to within a range of ids.
 
-Cases: a null text counts as empty (size 1); empty tables give no rows; repeated rows are placed as rows of one group;
+Cases: a row without an id stands in its text's group, and a group of such rows alone by a hash of its text; a null text counts as empty (size 1); empty tables give no rows; repeated rows are placed as rows of one group;
 a group larger than a fair share makes its shard larger, as groups are atomic; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import written
+from vellum.llm.shared import spread, written
 
 #: Ranges of ids whose totals the driver holds at a time.
 BINS = 16_384
 #: Rows that one task numbers within a shard.
 SLOT_ROWS = 50_000
-#: Places that cuts are chosen from over the whole order, and near each cut when it is placed again.
-COARSE, FINE = 256, 64
+#: Runs with more than this part of a shard are divided further where one group may be most of them.
+COARSE = 256
 
 
 @dataclass
@@ -81,41 +85,40 @@ def least_capacity(runs: list[Run], shards: int, fluid: bool) -> int:
     return low
 
 
-def _least_squares(total: np.ndarray, places: np.ndarray, capacity: int, shards: int) -> tuple[float, list[int]]:
-    """The least sum of squared sizes of shards that end at some of places (places in total, running sizes) and hold capacity at most, and their ends."""
-    at = total[places].astype(float)
-    size = at[None, :] - at[:, None]
-    cost = np.where((size >= 0) & (size <= capacity), size * size, np.inf)
-    best, came = np.where(np.arange(len(at)) == 0, 0.0, np.inf), []
-    for _ in range(shards):
-        every = best[:, None] + cost
-        came.append(every.argmin(axis=0))
-        best = every.min(axis=0)
-    ends, k = [], len(at) - 1
-    for back in reversed(came):
-        ends.append(int(places[k]))
-        k = int(back[k])
-    return float(best[-1]), ends[::-1]
-
-
 def even_cuts(runs: list[Run], capacity: int, shards: int) -> list[int]:
-    """Places in runs where each shard ends: sizes as even as whole runs allow, each at most capacity (which the greedy cuts keep)."""
-    total = np.concatenate([[0], np.cumsum([r.size for r in runs])])
-    ends = greedy(runs, capacity, shards, fluid=False)
-    even = np.searchsorted(total, np.linspace(0, int(total[-1]), COARSE))
-    spread = np.concatenate([even, even - 1, even + 1, ends, [0, len(runs)]])
-    # The ends of each run that is larger than its share are among these places, so large groups can stand alone.
-    least, reach = math.inf, max(1, len(runs) // COARSE)
-    while True:
-        places = np.unique(np.clip(spread, 0, len(runs)))
-        cost, found = _least_squares(total, places, capacity, shards)
-        if cost >= least and reach == 1:
-            return ends
-        if cost < least:
-            least, ends = cost, found
-        else:
-            reach = max(1, reach // 8)
-        spread = np.concatenate([[e + k * reach for k in range(-FINE // 2, FINE // 2 + 1)] for e in ends] + [even, even - 1, even + 1, ends, [0, len(runs)]])
+    """Places in runs where each shard ends: the least sum of squared sizes of shards that hold capacity at most; of equal
+    choices the one with the last cut, then the one before it and so on, as far left as can be.
+
+    One shard more at a time; the best place of the cut before grows with the place of the cut, so halves are searched apart.
+    """
+    total = np.concatenate([[0], np.cumsum([r.size for r in runs])]).astype(float)
+    n = len(total)
+    low = np.searchsorted(total, total - capacity)
+    best, came = np.where(np.arange(n) == 0, 0.0, np.inf), []
+    for _ in range(shards):
+        new, cut = np.full(n, np.inf), np.zeros(n, np.int64)
+        todo = [(0, n, 0, n - 1)]
+        while todo:
+            a, b, left, right = todo.pop()
+            mid = (a + b) // 2
+            i, j = max(left, int(low[mid])), min(right, mid)
+            k = j
+            if i <= j:
+                every = best[i : j + 1] + (total[mid] - total[i : j + 1]) ** 2
+                k = i + int(np.argmin(every))
+                new[mid], cut[mid] = every[k - i], k
+            reached = new[mid] < np.inf
+            if a < mid:
+                todo.append((a, mid, left, k if reached else right))
+            if mid + 1 < b and reached:  # what can't be reached can't be passed either
+                todo.append((mid + 1, b, k, right))
+        best = new
+        came.append(cut)
+    ends, k = [], n - 1
+    for cut in reversed(came):
+        ends.append(k)
+        k = int(cut[k])
+    return ends[::-1]
 
 
 def cut_points(groups: DataFrame, shards: int, bins: int = BINS) -> list[int]:
@@ -151,16 +154,26 @@ def cut_points(groups: DataFrame, shards: int, bins: int = BINS) -> list[int]:
 
 
 def _totals(groups: DataFrame, ranges: list[tuple[int, int]], bins: int) -> list[Run]:
-    """The runs of about bins equal parts of the ranges of ids."""
+    """The runs of about bins equal parts of the ranges of ids, which stand in order."""
     each = max(2, bins // len(ranges))
-    wide = [(a, b, max(1, -(-(b - a) // each))) for a, b in ranges]
-    inside = F.lit(False)
-    bin_of = F.lit(None).cast("long")
-    for a, b, w in wide:
-        there = (F.col("first_id") >= a) & (F.col("first_id") < b)
-        inside = inside | there
-        bin_of = F.when(there, F.lit(a) + F.floor((F.col("first_id") - a) / F.lit(w)) * w if w > 1 else F.col("first_id")).otherwise(bin_of)
-    found = groups.where(inside).groupBy(bin_of.alias("bin")).agg(F.sum("size").alias("size"), F.max("size").alias("top"), F.count("*").alias("n"), F.min("first_id").alias("a"), F.max("first_id").alias("b"))
+    begin, end = (np.array([r[k] for r in ranges], np.int64) for k in (0, 1))
+    width = np.array([max(1, -(-(b - a) // each)) for a, b in ranges], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, size = (batch.column(k).to_numpy() for k in (0, 1))
+            k = np.searchsorted(begin, i, "right") - 1
+            inside = (k >= 0) & (i < end[k])
+            i, size, k = i[inside], size[inside], k[inside]
+            part = begin[k] + (i - begin[k]) // width[k] * width[k]
+            order = np.argsort(part, kind="stable")
+            i, size, part = i[order], size[order], part[order]
+            at = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+            made = [part[at], *(f.reduceat(x, at) if len(at) else x for f, x in ((np.add, size), (np.maximum, size), (np.add, np.ones(len(i), np.int64)), (np.minimum, i), (np.maximum, i)))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["bin", "size", "top", "n", "a", "b"])
+
+    parts = groups.select("first_id", "size").mapInArrow(run, "bin long, size long, top long, n long, a long, b long")
+    found = parts.groupBy("bin").agg(F.sum("size").alias("size"), F.max("top").alias("top"), F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
     return [Run(r.a, r.b + 1, r["size"], r.top, r.n) for r in found.collect()]
 
 
@@ -186,16 +199,17 @@ def shard(docs: DataFrame, shards: int = 8, text_col: str = "text", id_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_size(F.col(text_col)).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.sha2(text, 256).alias("key"))
     rows = written(rows, "shard-rows")
-    groups = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.sum("size").alias("size"))
+    by_text = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
+    groups = rows.groupBy("key").agg(F.coalesce(F.min("doc_id").cast("long"), by_text).alias("first_id"), F.sum("size").alias("size"), F.count("*").alias("k"))
     groups = written(groups, "shard-groups")
     cuts = cut_points(groups.select("first_id", "size"), shards)
     of = F.lit(0)
     for c in cuts:
         of = of + F.when(F.col("first_id") >= F.lit(c), 1).otherwise(0)
-    placed = rows.join(groups.select("key", of.alias("shard")), "key").select("doc_id", "size", "text_crc32", "shard")
+    placed = spread(rows, groups.select("key", of.alias("shard")), ["key"], F.struct("doc_id"), groups.select("key", "k")).select("doc_id", "size", "text_crc32", "shard")
     # Slots: rows of a shard are dealt into bins by a hash of their id, numbered in each bin, and the bins stand one after the other.
     bins = max(1, rows.count() // SLOT_ROWS)
-    placed = placed.withColumn("bin", F.pmod(F.xxhash64("doc_id"), F.lit(bins)).cast("int"))
+    placed = placed.withColumn("bin", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(bins)).cast("int"))
     placed = written(placed, "shard-placed")
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "bin").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("shard", "bin", "start")
