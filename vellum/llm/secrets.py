@@ -5,7 +5,8 @@ string a window slides, per-character counts and the sum of c*log2(c) are kept u
 and a window whose Shannon entropy reaches the threshold of its own characters' class is a find, unless an allow-list rule
 covers it: the rules for whole strings, or a placeholder word in the part between two marks that the window touches.
 Spans are in code points, end exclusive. Cases: a null or empty text has no spans; a text of any length is scanned whole;
-repeated rows get one result each; extra columns are ignored.
+ids aren't looked at and may be null or repeated; repeated rows get one result each; extra columns are ignored by spans() and
+pass unchanged, whatever their names, through redact().
 """
 
 from __future__ import annotations
@@ -26,12 +27,15 @@ KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
 WINDOW, HEX_BITS, BASE64_BITS = 20, 2.9, 3.7
 #: The last stands for a character that no window may hold.
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-~"
-#: Allow-list for whole strings: identifiers, words joined by marks, and strings without a digit or without a letter.
+#: Names joined from words seldom have a single small letter between capitals, and then no capitals side by side; a string with
+#: two such places and such capitals isn't made of words.
+WORDY = r"^(?!(?=.*[A-Z]{2})(?:.*?[A-Z][a-z](?=[A-Z])){2})"
+#: Allow-list for whole strings: identifiers, strings without a letter, words, and words joined by marks.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
-    r"^([A-Za-z]+|[0-9]{1,4})([-_/=+]([A-Za-z]+|[0-9]{1,4}))+$",
+    WORDY + r"[^0-9]*$",
+    WORDY + r"([A-Za-z]+|[0-9]{1,4})([-_/=+]([A-Za-z]+|[0-9]{1,4}))+$",
 ]
 #: Allow-list for the parts of a string between marks: placeholders.
 PLACEHOLDER = r"(?i)example|placeholder|changeme|dummy|sample|x{6,}|0{8,}|1234567890|abcdefgh"
@@ -100,7 +104,11 @@ def spans(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text"
 
     An added span that overlaps a base span, or another added one before it, isn't reported again.
     """
-    keep = keep or ["doc_id"]
+    return _spans(docs, keep or ["doc_id"], text_col).select("kept.*", "spans")
+
+
+def _spans(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """kept (a struct of keep) and spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = [_found(k, text, p) for k, p in enumerate([ASSIGN, ACCESS, HEX, CANDIDATE])]
     none = F.array().cast("array<struct<kind:int,i:int,gap:int,value:string>>")
@@ -129,7 +137,7 @@ def spans(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text"
         F.coalesce(F.min(F.when(base, F.col("start"))).over(by.rowsBetween(1, Window.unboundedFollowing)), F.lit(2**31 - 1)) < F.col("end")
     )
     rows = rows.withColumn("over", over).withColumn("span", F.when(F.col("good") & ((F.col("kind") < 3) | ~F.col("over")), F.struct("start", "kind", "end")))
-    return rows.groupBy("row").agg(F.first("kept", ignorenulls=True).alias("kept"), F.array_sort(F.collect_list("span")).alias("spans")).select("kept.*", "spans")
+    return rows.groupBy("row").agg(F.first("kept", ignorenulls=True).alias("kept"), F.array_sort(F.collect_list("span")).alias("spans")).select("kept", "spans")
 
 
 def written_as(spans: Column | str) -> Column:
@@ -139,8 +147,8 @@ def written_as(spans: Column | str) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """All documents with every span replaced by mark; overlapping spans become one."""
-    found = spans(docs, docs.columns, text_col)
-    text = F.col(text_col)
+    found = _spans(docs, docs.columns, text_col)
+    text = F.col("kept")[text_col]
     done = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
@@ -150,4 +158,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
         ),
         lambda st: F.concat(st.out, F.substring(text, st["at"] + 1, F.length(text))),
     )
-    return found.select(*[F.when(F.size("spans") > 0, done).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return found.select(*[F.when(F.size("spans") > 0, done).otherwise(text).alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in docs.columns])
