@@ -37,12 +37,14 @@ ENDS = {k: frozenset(v.split()) for k, v in {
 
 _BAD_TAG = {"nav": 6.0, "footer": 6.0, "aside": 6.0, "form": 6.0, "menu": 6.0, "dialog": 6.0, "header": 2.5}
 _GOOD_TAG = {"article": 3.0, "main": 2.0}
-_BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|foot|header|masthead|sidebar|side|aside|widget|ads?|adverts?|advertisement|advertorial|sponsor(?:ed)?|promo(?:tion)?|banner"
-    r"|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|comments?|comment-?list|disqus|repl(?:y|ies)|respond|discussion|share|sharing|social|related|recommend(?:ed|ations)?|more-?posts"
-    r"|newsletter|subscribe|signup|login|search|pagination|pager|copyright|legal|disclaimer|toolbar|skip(?:-?link)?|tags?|meta-?nav)(?:$|[\s_-])",
-    re.I,
+#: Parts of class names and ids that mark boilerplate wherever they stand.
+_BAD_PART = frozenset(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead sidebar aside widget widgets ad ads advert adverts advertisement advertorial sponsor sponsored"
+    " cookie cookies consent gdpr popup modal comment comments disqus respond reply replies share sharing newsletter subscribe signup pagination pager toolbar".split()
 )
+#: Parts that mark it where they are the whole name, or all but a word for a container.
+_BAD_WHOLE = frozenset("header foot side promo promotion banner notice alert overlay discussion social related recommend recommended recommendations more login search copyright legal disclaimer skip tag tags meta".split())
+_CONTAINER = frozenset("site page main top bottom left right posts post articles article items item links link list bar box block section container wrapper wrap area inner content widget panel group buttons icons nav row".split())
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|body|text|main|prose|article-?body|post-?content|entry-?content)(?:$|[\s_-])", re.I)
 _BAD_ROLE = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"])
 _NOTICE = re.compile(r"^(?:©|\(c\) |copyright\b|all rights reserved|we use cookies|this (?:site|website) uses cookies|accept (?:all )?cookies|subscribe|sign up|advertisement|sponsored|share this|read more|skip to)", re.I)
@@ -54,6 +56,8 @@ class Weights:
     same_parent: float = 0.8
     near: float = 0.2
     bad_name: float = 5.0
+    #: Share of it that a doubtful name has within an article.
+    in_article: float = 0.2
     good_name: float = 1.5
     link: float = 4.0
     long_text: float = 1.5
@@ -62,6 +66,18 @@ class Weights:
     outside: float = 0.3
 
 
+def bad_name(value: str, in_article: bool, w: Weights) -> float:
+    """What the names in a class or id attribute cost. Within an article a name that may mean other things counts far less."""
+    worst = 0.0
+    for token in value.lower().split():
+        parts = [p for p in re.split(r"[-_]+", token) if p]
+        if not _BAD_PART.isdisjoint(parts):
+            return w.bad_name
+        if not _BAD_WHOLE.isdisjoint(parts) and all(p in _BAD_WHOLE or p in _CONTAINER for p in parts):
+            worst = max(worst, w.bad_name * (w.in_article if in_article else 1.0))
+    return worst
+
+
 class _Node:
     __slots__ = ("tag", "bad", "good", "depth", "parent", "gone")
 
@@ -89,8 +105,8 @@ class _Node:
                     self.gone = True
                 elif name == "role":
                     self.bad += w.bad_name if value.lower() in _BAD_ROLE else 0
-                elif tag not in ("body", "html") and _BAD_NAME.search(value):
-                    self.bad += w.bad_name
+                elif tag not in ("body", "html") and (cost := bad_name(value, in_article, w)):
+                    self.bad += cost
                 elif _GOOD_NAME.search(value):
                     self.good = max(self.good, w.good_name)
 
@@ -187,38 +203,59 @@ def smoothness(a: _Node, b: _Node, w: Weights) -> float:
 def min_cut(to_content: list[float], to_boiler: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels (content or not) of least cost: a block pays to_boiler as content, to_content as boilerplate; parted edges pay their weight.
 
-    Max-flow by shortest augmenting paths. What a block can send straight from source to sink is taken off first.
+    Max-flow in phases: each sends a blocking flow along shortest paths, and an arc once found useless in a phase isn't tried
+    again in it. What a block can send straight from source to sink is taken off first.
     """
-    n = len(to_content)
+    n, least = len(to_content), 1e-9
     s = [max(0.0, a - b) for a, b in zip(to_content, to_boiler, strict=True)]
     t = [max(0.0, b - a) for a, b in zip(to_content, to_boiler, strict=True)]
-    near: list[dict[int, float]] = [{} for _ in range(n)]
+    joined: dict[tuple[int, int], float] = {}
     for a, b, c in edges:
-        near[a][b] = near[a].get(b, 0.0) + c
-        near[b][a] = near[b].get(a, 0.0) + c
+        joined[min(a, b), max(a, b)] = joined.get((min(a, b), max(a, b)), 0.0) + c
+    arcs: list[list[int]] = [[] for _ in range(n)]
+    head, room = [], []  # arc k leads to head[k]; k ^ 1 is its reverse
+    for (a, b), c in joined.items():
+        arcs[a].append(len(head))
+        arcs[b].append(len(head) + 1)
+        head += [b, a]
+        room += [c, c]
     while True:
-        came: dict[int, int] = {i: -1 for i in range(n) if s[i] > 1e-9}
-        queue, end = list(came), -1
+        level = [0 if x > least else -1 for x in s]
+        queue = [i for i in range(n) if level[i] == 0]
+        end = False
         for i in queue:
-            if t[i] > 1e-9:
-                end = i
-                break
-            for j, c in near[i].items():
-                if c > 1e-9 and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if end < 0:
-            return [i in came for i in range(n)]
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        path.reverse()
-        flow = min(s[path[0]], t[end], *[near[a][b] for a, b in zip(path, path[1:], strict=False)]) if len(path) > 1 else min(s[end], t[end])
-        s[path[0]] -= flow
-        t[end] -= flow
-        for a, b in zip(path, path[1:], strict=False):
-            near[a][b] -= flow
-            near[b][a] += flow
+            end = end or t[i] > least
+            for k in arcs[i]:
+                if room[k] > least and level[head[k]] < 0:
+                    level[head[k]] = level[i] + 1
+                    queue.append(head[k])
+        if not end:
+            return [x >= 0 for x in level]
+        tried = [0] * n
+        for start in range(n):
+            path, i = [], start
+            while s[start] > least:
+                if t[i] > least:
+                    flow = min([s[start], t[i], *[room[k] for k in path]])
+                    s[start] -= flow
+                    t[i] -= flow
+                    for k in path:
+                        room[k] -= flow
+                        room[k ^ 1] += flow
+                    cut = next((j for j, k in enumerate(path) if room[k] <= least), len(path))
+                    i = head[path[cut] ^ 1] if cut < len(path) else i
+                    del path[cut:]
+                    continue
+                while tried[i] < len(arcs[i]) and not (room[k := arcs[i][tried[i]]] > least and level[head[k]] == level[i] + 1):
+                    tried[i] += 1
+                if tried[i] < len(arcs[i]):
+                    path.append(arcs[i][tried[i]])
+                    i = head[path[-1]]
+                elif path:
+                    i = head[path.pop() ^ 1]
+                    tried[i] += 1
+                else:
+                    break
 
 
 def main_blocks(page: str, w: Weights = Weights()) -> list[str]:  # noqa: B008
