@@ -19,18 +19,22 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Wordings by which works say how they are licensed.
+#: Wordings by which works say how they are licensed, each with its title and its identifier.
 TEMPLATES = {
-    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0. This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0. This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0. This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. SPDX-License-Identifier: Apache-2.0',
+    "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction. SPDX-License-Identifier: MIT",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. SPDX-License-Identifier: GPL-3.0-or-later",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2. This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. SPDX-License-Identifier: GPL-2.0-only",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/. SPDX-License-Identifier: MPL-2.0",
+    "BSD-3-Clause": "BSD 3-Clause License. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. SPDX-License-Identifier: BSD-3-Clause",
+    "ISC": "ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. SPDX-License-Identifier: ISC",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0. This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. SPDX-License-Identifier: CC-BY-NC-4.0",
+    "CC-BY-4.0": "Licensed under CC BY 4.0. This work is licensed under a Creative Commons Attribution 4.0 International License. SPDX-License-Identifier: CC-BY-4.0",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0. This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. SPDX-License-Identifier: CC-BY-SA-4.0",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal. SPDX-License-Identifier: CC0-1.0",
     "All-Rights-Reserved": "Copyright. All rights reserved. No part of this publication may be reproduced without permission.",
 }
-CUE = re.compile(r"licen[sc]ed?\b|copyright|all rights reserved|redistribution and use|permission is hereby granted|creative commons", re.I)
+CUE = re.compile(r"licen[sc]ed?\b|spdx-license-identifier: \S+|copyright|all rights reserved|redistribution and use|permission (?:is hereby granted|to use)|creative commons", re.I)
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 #: Words that tell one licence from another: version numbers and the codes of Creative Commons. They are compared by kind.
 _KINDS = [re.compile(r"v?(\d+(?:\.\d+)*?)(?:\.0)*"), re.compile(r"(by(?:-\w\w)*)"), re.compile(r"(attribution(?:-\w+)*)")]
@@ -161,7 +165,7 @@ class Scanner:
             left = max([m.end() for m in _SENTENCE.finditer(line, max(0, start - 2000), start)], default=max(0, start - 2000))
             right = m.start() if (m := _SENTENCE.search(line, end, end + 2000)) else min(len(line), end + 2000)
             around = bisect.bisect_left(places, (right, 0)) - bisect.bisect_left(places, (left, 0))
-            phrase = any(len(m[0].split()) >= 3 for m in CUE.finditer(stretch))
+            phrase = any(len(m[0].split()) >= 3 or m[0][:5].lower() == "spdx-" for m in CUE.finditer(stretch))
             if not phrase and same < self.limits.min_common * around:
                 return None
         saved = dict((k, v) for v, k in self.ranked(stretch))[x.name]
