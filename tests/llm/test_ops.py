@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -204,6 +205,27 @@ def test_licenses_embedded_and_dated(spark):
     assert [got[k][0] for k in (4, 5, 6)] == ["", "", ""]
 
 
+def test_licenses_recall_and_precision():
+    """Notices planted in prose, dated, cut short and as identifiers, and sentences that only sound alike."""
+    rnd, scanner = random.Random(6), licenses.Scanner()
+    own = "the a weather hill men sang all day long and license law copyright office free software public works under terms of use".split()
+    prose = lambda: " ".join(rnd.choice(own) for _ in range(rnd.randint(5, 15))).capitalize() + "."
+    notices = [
+        ("MIT", "Released under the MIT License."), ("MIT", "Copyright (c) 2021 Jane Doe. Released under the MIT License."), ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+        ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License").'), ("GPL-2.0", "Licensed under the GNU General Public License, version 2."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"), ("ISC", "SPDX-License-Identifier: ISC"),
+    ]
+    others = ["Licensed under the GNU General Public License, version 4.", "Licensed under CC BY-ND 4.0.", "Licensed under the GNU Lesser General Public License, version 3.", "He was licensed to drive in 2019.", "The copyright office is a public works office.", "Apache helicopters fly under license."]
+    right = found = planted = 0
+    for _ in range(400):
+        kind, notice = rnd.choice(notices) if rnd.random() < 0.5 else (None, rnd.choice(others))
+        text = rnd.choice([" ", "\n"]).join([prose(), notice, prose()])
+        got = {x[2] for x in scanner.scan(text)[1]}
+        planted, found, right = planted + (kind is not None), found + len(got), right + (kind in got)
+    assert right >= 0.9 * planted and right >= 0.9 * found, (right, planted, found)
+
+
 def test_html(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r.page_id: r for r in QUERIES["op4_html_extract"](spark, DATA).collect()}
@@ -229,6 +251,34 @@ def test_html_takes_exact_attribute_names(attrs):
     assert html_extract._Node("div", f" {attrs} ID=comments", root, w).bad == w.bad_name and html_extract._Node("div", f" {attrs} role = 'navigation'", root, w).bad == w.bad_name
 
 
+ARTICLE = "A long enough sentence of the article. " * 8
+
+
+@pytest.mark.parametrize("page", [
+    '<body><nav><a href=x>Home</a></nav><article style="overflow:hidden"><p>{}</p></article>',
+    '<body><article><div aria-hidden="false"><p>{}</p></div></article>',
+    '<body><article data-hidden-x><p>{}</p></article>',
+    '<body><article><p data-id="nav">{}</p></article><footer>(c) us</footer>',
+    '<body><article class="related-work"><p>{}</p></article>',
+    '<body><article><section class="related"><p>{}</p></section></article>',
+    '<body><article><div class="search-results-discussion"><p>{}</p></div></article>',
+    '<body><main><article><p>{}</p></article></main><div class="post-comments"><article><p>First! I read it all and I liked it very much.</p></article></div>',
+    '<body><article><p>{}</p><div class="comment-list"><p>First! I read it all and I liked it very much.</p></div></article>',
+    '<body><div class="site-header"><p>All the news that there is today</p></div><div class=content><p>{}</p></div><div class="related-posts"><p>Another one of our many texts</p></div>',
+])
+def test_html_markup_that_the_fixtures_lack(page):
+    assert html_extract.main_blocks(page.format(ARTICLE)) == [ARTICLE.strip()]
+
+
+def test_html_of_many_blocks():
+    rnd, page = random.Random(5), []
+    for k in range(8_000):
+        page.append(rnd.choice([f"<p>{ARTICLE}</p>", f"<div class=related><a href=x>link {k}</a></div>", f"<div><div><p>short {k}</p></div></div>", f"<footer>{k}</footer>"]))
+    began = time.process_time()
+    assert len(html_extract.main_blocks("<body>" + "".join(page))) > 1_000
+    assert time.process_time() - began < 4  # the square of so many blocks would take a minute
+
+
 def test_min_cut_is_least():
     rnd = random.Random(2)
     for _ in range(200):
@@ -394,6 +444,10 @@ def test_tokens(spark, docs, odd, empty):
         s = "".join(rnd.choice("aZé'sßÀ 1½\t\n.-—\xa0\x85\x1c<|>ñ²ªµ×😀́ı") for _ in range(rnd.randint(1, 25)))
         assert own.encode(s) == own._whole(s) + own.end
     assert tokens.read_tokens(spark, tokens.write_tokens(odd, path, 2)).count() == len(ODD)
+    rows = [(5, "b"), (None, "two words"), (None, None), (5, "a b c"), (-1, "x"), (None, "one"), (5, "b")]
+    two = [tokens.read_tokens(spark, tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), path, 2), with_ids=True).orderBy("start", "n_tokens").collect() for n in (1, 3)]
+    assert [r.doc_id for r in two[0]] == [-1, 5, 5, 5, None, None, None] and two[0] == two[1]
+    assert [r.start for r in two[0]] == [sum(r.n_tokens for r in two[0][:k]) for k in range(len(rows))]
     assert tokens.read_tokens(spark, tokens.write_tokens(empty, path, 2)).count() == 0
     with pytest.raises(ValueError, match="another dictionary"):
         import zstandard
@@ -401,6 +455,18 @@ def test_tokens(spark, docs, odd, empty):
         tokens.Block(tokens.pack([(1, b"\1\0")], 2, b"abcdefgh", zstandard.ZstdCompressor()), b"hgfedcba")
 
 
+def test_tokens_of_every_latin_1_pair():
+    """The words' own way of encoding agrees with the library wherever it is used."""
+    import public_tokenizers
+
+    own = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2, 2)
+    assert own.by_word
+    for a in range(256):
+        texts = [chr(a) + chr(b) for b in range(256)]
+        want = own.tok.encode_batch(texts, add_special_tokens=False)
+        assert all(own.encode(t) == np.array([*w.ids, 2], "<u2").tobytes() for t, w in zip(texts, want, strict=True)), a
+
+
 def brute_spans(t):
     kinds = [
         ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
@@ -442,3 +508,62 @@ def test_secrets_behind_names_and_words(spark):
     hexes, word = got[many + 1].split(",")
     assert hexes == "hex:0:32" and word.endswith(f":{len(rows[many + 1])}")
     assert got[many + 2] == "" and got[many + 3] == "" and [x.split(":")[0] for x in got[many + 4].split(",")] == ["entropy_base64", "hex", "entropy_base64"]
+
+
+def test_added_spans_have_recall_and_precision(spark):
+    """Planted random strings of several kinds, and long strings that aren't secrets."""
+    rnd = random.Random(8)
+    draw = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    digits, low, up = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    word = lambda: draw(low, rnd.randint(2, 8))
+    secret = [lambda: "ghp_" + draw(digits + low + up, 36), lambda: draw(digits + low + up + "+/", 40), lambda: draw(low + up, 32), lambda: draw("0123456789ABCDEF", 32), lambda: "sk-" + draw(digits + low + up, 48)]
+    plain = [lambda: "/".join(word() for _ in range(6)), lambda: "".join(word().capitalize() for _ in range(5)), lambda: "_".join(word().upper() for _ in range(5)), lambda: draw(digits, 24), lambda: "-" * 40, lambda: "https/" + word() * 3 + "/2024/05/17/" + word(), lambda: (word() + "-") * 5 + "2024"]
+    rows = [("secret", rnd.choice(secret)()) for _ in range(300)] + [("plain", rnd.choice(plain)()) for _ in range(300)]
+    docs = spark.createDataFrame([(k, f"The value {v} stands here.") for k, (_, v) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id for r in secrets.spans(docs).where(F.exists("spans", lambda s: s.kind >= 3)).collect()}  # a long number is one of the base kinds
+    hits = sum(rows[k][0] == "secret" for k in found)
+    assert hits >= 0.9 * 300 and hits >= 0.9 * len(found)
+
+
+CLASHES = "kept n_words hit items copies copy spans row sig h k score predicted law shard slot slots size taken takes target text_hash place words _row _text part base n block key bin _own _slot url2".split()
+
+
+@pytest.fixture(scope="module")
+def awkward(spark, tmp_path_factory):
+    """Tables with null, negative and repeated ids, empty and very long texts, nulls in every column and extra columns with the operators' own names."""
+    path = str(tmp_path_factory.mktemp("awkward"))
+    good = " ".join(f"word{k}" for k in range(80))
+    rows = [*((i, t, "en", s, 1) for i, t, s, _ in ODD), (None, good, "en", "a", 1), (None, good + " more", None, "a", None), (None, None, None, None, None), (-1, good, "en", "b", 3), (-1, good + " and other things", "en", "b", 3), (4, good + " of four", "en", None, 3), (0, good[::-1], "en", "b", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.lit(7))
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(None, "sit amet lorem ipsum dolor"), (1, None), (1, " ".join(f"word{k}" for k in range(30, 50))), (None, "!!")], "item_id long, text string").withColumn("items", F.lit(1)).write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(4, 1, 1), (0, 1, 0), (-1, None, 1), (None, 0, 1), (7, 1, None), (8, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(None, None, None), (1, None, "<p>a"), (1, "u", "")], "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("n_chars", F.lit(1)).write.parquet(f"{path}/pages.parquet")
+    return path, docs.count()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_awkward_tables(spark, awkward, name):
+    path, n = awkward
+    made = QUERIES[name](spark, path)
+    rows = made.collect()
+    assert len(rows) == (3 if name == "op4_html_extract" else n) and len(set(made.columns)) == len(made.columns)
+    if name == "op5_toxicity":
+        assert all(r.held_out is not None for r in rows)
+
+
+def test_awkward_tables_through_the_pipeline(spark, awkward):
+    import corpus_pipeline
+
+    path, _ = awkward
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path).persist()
+        rows = docs.collect()
+        assert docs.columns == columns and all(r[c] == 7 for r in rows for c in CLASHES), name
+    assert corpus_pipeline.run(spark, path).count() == len(rows) > 0
+    for made in (decontaminate.cut_spans(docs, spark.read.parquet(f"{path}/benchmark.parquet")), secrets.redact(docs)):
+        assert made.columns == columns and made.count() == len(rows)

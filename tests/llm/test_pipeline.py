@@ -1,33 +1,49 @@
-"""Each stage of the pipeline against what the operators' own results say should stay."""
+"""Queries and pipeline against their SQL, and what each stage of the pipeline keeps against plain Python."""
 
-import collections
+import pytest
+from compare import same, views
 
 import corpus_pipeline
-
-from vellum.llm import decontaminate, jaccard, mixing, quality
+from vellum.llm.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
 
-def test_pipeline(spark):
+@pytest.fixture(scope="module")
+def con():
+    return views()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, con, name):
+    same(spark, con, QUERIES[name], ORACLES[name])
+
+
+def test_pipeline_matches_sql(spark, con):
+    same(spark, con, corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
+
+
+def test_stages(spark):
+    """Stage by stage: columns stay, and each stage leaves what its own contract says."""
+    from test_ops import brute_components, brute_hits, brute_mix, golden
+
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "source_mix", "shards"]
-    columns, ids = docs.columns, lambda df: sorted(r.doc_id for r in df.collect())
-    for name, stage in corpus_pipeline.STAGES:
-        made = stage(spark, docs, DATA).persist()
-        if name == "quality_rules":
-            assert ids(made) == ids(quality.quality(docs).where("kept"))
-        elif name == "near_duplicates":
-            assert ids(made) == ids(jaccard.jaccard_components(docs).where("doc_id = component_id"))
-        elif name == "decontamination":
-            assert ids(made) == ids(decontaminate.contamination(docs, bench).where(~decontaminate.contaminated()))
-        elif name == "source_mix":
-            want = collections.Counter({r.doc_id: sum(2 * t >= r["size"] for t in r.takes) for r in mixing.mix(docs).where("size > 0").collect()})
-            assert collections.Counter(ids(made)) == +want
-        else:
-            assert made.count() == docs.count() and {r.shard for r in made.collect()} <= set(range(8))
-        if name != "shards":
-            assert made.columns == columns
-        docs = made
-    assert corpus_pipeline.run(spark, DATA).count() == docs.count()
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    first = stages["quality_rules"](spark, docs, DATA).persist()
+    was, rows = {r.doc_id: r.text for r in docs.collect()}, first.collect()
+    assert first.columns == columns and 0 < len(rows) < len(was) and all(r.n_chars == len(r.text) and len(r.text) <= len(was[r.doc_id]) for r in rows)
+    second = stages["near_duplicates"](spark, first, DATA).persist()
+    tops = brute_components([(r.doc_id, r.text) for r in rows])
+    assert second.columns == columns and sorted(r.doc_id for r in second.collect()) == sorted(i for i, (_, top) in tops.items() if i == top)
+    third = stages["decontamination"](spark, second, DATA).persist()
+    clean = [r for r in second.collect() for n, hit, *_ in [brute_hits(r.text, items)] if not (hit and 20 * hit >= n)]
+    assert third.columns == columns and sorted(r.doc_id for r in third.collect()) == sorted(r.doc_id for r in clean)
+    fourth = stages["source_mix"](spark, third, DATA).persist()
+    taken, _, _, _ = brute_mix([(r.doc_id, r.text, r.source) for r in clean], golden)
+    size = {r.doc_id: len(r.text.encode().split()) for r in clean}
+    want = sorted(i for i, n in taken.items() for _ in range((2 * min(n, size[i]) >= size[i]) + (2 * (n - min(n, size[i])) >= size[i])))
+    assert fourth.columns == columns and sorted(r.doc_id for r in fourth.collect()) == want
+    last = stages["shards"](spark, fourth, DATA).collect()
+    assert sorted(r.doc_id for r in last) == want and {r.shard for r in last} == set(range(8))

@@ -1,4 +1,4 @@
-"""The queries of this subpackage and the DuckDB SQL that gives the same rows where SQL can."""
+"""The queries of this subpackage; oracles has the DuckDB SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontaminate, html_extract, jaccard, licenses, mixing, quality, secrets, sharding, tokens, toxicity
+from vellum.llm.oracles import ORACLES
 from vellum.llm.shared import table
 
 
@@ -64,6 +65,8 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_mix_sources": op2_mix_sources,
@@ -76,5 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_secret_scan": op10_secret_scan,
 }
-
-ORACLES: dict[str, str] = {}
