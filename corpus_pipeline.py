@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, jaccard, mixing, quality, sharding
+from vellum.llm import decontaminate, jaccard, mixing, oracles, quality, sharding
 from vellum.llm.shared import table, written
 
 
@@ -42,8 +42,8 @@ STAGES = [
     ("shards", shards),
 ]
 
-#: SQL can't express the stages (similarity join, scheduled mix, minimax cut); tests hold them against brute force.
-ORACLE_SQL = None
+#: DuckDB SQL for the rows of run().
+ORACLE_SQL = oracles.pipeline()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
