@@ -17,18 +17,22 @@ are each a document; extra columns stay out of mix() and pass unchanged, whateve
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import written
+from vellum.llm.shared import spread, written
 
 BLOCK_WORDS, LEAST_BLOCKS = 1024, 200
 #: Blocks are not made so small that a mix has more slots than this by it.
 MANY_SLOTS = 1 << 22
 SLOT_BIN = 1 << 16
+#: Most sources whose rows (about a hundred bytes each) are broadcast; more are joined by shuffle.
+FEW_SOURCES = 50_000
 #: Documents in a bin of one source, about.
 DOC_BIN = 2_000
 #: 2**32 / golden ratio: the k-th point is k times this modulo 2**32, over 2**32. k goes round after 2**31, so that no product overflows.
@@ -79,12 +83,15 @@ def schedule(spark: SparkSession, quota: list[int], block: int, point: Callable[
     for q in quota:
         run += q
         edges.append(run / total if total else 1.0)
-    rows = spark.range((total + block // 2) // block).withColumn("point", point(F.col("id")))
-    bounds = F.array(*[F.lit(e) for e in edges[:-1]]).cast("array<double>")
-    src = F.size(F.filter(bounds, lambda e: e <= F.col("point")))
-    if len(quota) <= 64:
-        src = sum((F.when(F.col("point") >= F.lit(e), 1).otherwise(0) for e in edges[:-1]), F.lit(0))
-    rows = rows.select("id", src.cast("int").alias("src"), F.floor(F.col("id") / SLOT_BIN).alias("bin"))
+    found = np.array(edges[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src = np.searchsorted(found, batch.column(1).to_numpy(), "right")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(src, pa.int32())], names=["id", "src"])
+
+    rows = spark.range((total + block // 2) // block).select("id", point(F.col("id")).alias("point")).mapInArrow(run, "id long, src int")
+    rows = rows.withColumn("bin", F.floor(F.col("id") / SLOT_BIN))
     counts = rows.groupBy("src", "bin").agg(F.count("*").alias("n"))
     before = Window.partitionBy("src").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("src", "bin", "start")
@@ -122,10 +129,14 @@ def mix(
     slots = schedule(spark, quota, block, point) if found else spark.range(0).selectExpr("id as slot", "0 as src", "id as rank")
     slots = written(slots, "mix-slots")
     reach = {r.src: r.n * block for r in slots.groupBy("src").agg(F.count("*").alias("n")).collect()}
-    schema = "own_source string, src int, source_size long, target double, reach long, bins long"
-    sources = F.broadcast(spark.createDataFrame([(r[0], k, r[1], float(goal[k]), reach.get(k, 0), max(1, r[2] // DOC_BIN)) for k, r in enumerate(found)], schema))  # a row for each source
-
-    rows = rows.join(sources, rows.own_source.eqNullSafe(sources.own_source)).drop("own_source")
+    schema = "no_source boolean, own_source string, src int, source_size long, target double, reach long, bins long, k long"
+    sources = spark.createDataFrame([(r[0] is None, r[0] or "", k, r[1], float(goal[k]), reach.get(k, 0), max(1, r[2] // DOC_BIN), r[2]) for k, r in enumerate(found)], schema)
+    rows, key = rows.withColumns({"no_source": F.col("own_source").isNull(), "own_source": F.coalesce("own_source", F.lit(""))}), ["no_source", "own_source"]
+    if len(found) <= FEW_SOURCES:
+        rows = rows.join(F.broadcast(sources.drop("k")), key)
+    else:
+        rows = spread(rows, sources.drop("k"), key, F.col("h"), sources.select(*key, "k"))
+    rows = rows.drop(*key)
     # Bins are equal ranges of hash values, so their order and the order within them is the order of the hash.
     rows = rows.withColumn("bin", F.floor(F.shiftright("h", HASH_BITS - 32) * F.col("bins") / float(1 << 32)).cast("long"))
     before = Window.partitionBy("src").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
