@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import decontaminate, html_extract, jaccard, licenses, mixing, quality, secrets, sharding, tokens, toxicity
 from vellum.llm.queries import QUERIES
+from vellum.llm.shared import written
 
 DATA = "/root/testdata/sf0.001"
 HEXES = "0123456789abcdef0123456789abcdef01"
@@ -40,8 +41,9 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def run(spark, name):
-    return {r.doc_id: r for r in QUERIES[name](spark, DATA).collect()}
+@pytest.fixture
+def run(result):
+    return lambda name: {r.doc_id: r for r in result(name)[1]}
 
 
 def lower(s):
@@ -70,9 +72,9 @@ def brute_components(texts):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
-def test_jaccard_matches_brute_force(spark, docs):
+def test_jaccard_matches_brute_force(run, docs):
     want = brute_components([(i, t) for i, t, _ in docs])
-    assert {i: (r.n_shingles, r.component_id) for i, r in run(spark, "op1_jaccard_join").items()} == want
+    assert {i: (r.n_shingles, r.component_id) for i, r in run("op1_jaccard_join").items()} == want
 
 
 def test_jaccard_finds_chains_and_hot_passages(spark):
@@ -144,8 +146,8 @@ def halving(k):
     return int(f"{k:032b}"[::-1], 2) / 2**32
 
 
-def test_mix(spark, docs, odd, empty):
-    got = run(spark, "op2_mix_sources")
+def test_mix(spark, run, docs, odd, empty):
+    got = run("op2_mix_sources")
     want, first, goal, block = brute_mix(docs, golden)
     taken = collections.Counter()
     for i, t, s in docs:
@@ -154,7 +156,7 @@ def test_mix(spark, docs, odd, empty):
         assert r.first_slot == first.get((i, 0))
         taken[s] += r.taken
     assert all(abs(taken[s] - goal[s]) <= 3 * block for s in goal)
-    assert got == run(spark, "op2_mix_sources")
+    assert got == {r.doc_id: r for r in QUERIES["op2_mix_sources"](spark, DATA).collect()}
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(empty).count() == 0
     assert mixing.targets([10, 100, 100], [3, 1, 2], 3 * mixing.Fraction(1, 2), 2)[0] == 20
 
@@ -319,11 +321,11 @@ def brute_hits(text, items, n=13):
 
 
 @pytest.mark.parametrize("bound", [None, 0])
-def test_decontaminate(spark, docs, bound):
+def test_decontaminate(spark, run, docs, bound):
     """All documents, with the window table broadcast and joined by shuffle."""
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     if bound is None:
-        got = run(spark, "op6_decontaminate")
+        got = run("op6_decontaminate")
     else:
         found = decontaminate.contamination(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet"), broadcast_bytes=bound)
         got = {r.doc_id: r for r in found.withColumn("n_items", F.size("items")).withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).collect()}
@@ -348,8 +350,8 @@ def test_decontaminate_odd(spark, odd, empty):
     assert cut[5] == "" and cut[1] is None and cut[7] == ODD[7][1]
 
 
-def test_quality(spark, docs, odd, empty):
-    got = run(spark, "op7_quality_rules")
+def test_quality(spark, run, docs, odd, empty):
+    got = run("op7_quality_rules")
     for i, t, _ in docs:
         w = t.encode().split()
         three = collections.Counter(zip(w, w[1:], w[2:]))
@@ -388,8 +390,8 @@ def least_capacity(sizes, shards):
     return low
 
 
-def test_sharding(spark, docs, odd, empty):
-    got = run(spark, "op8_sharding")
+def test_sharding(spark, run, docs, odd, empty):
+    got = run("op8_sharding")
     first, size, slots, full = {}, collections.Counter(), collections.defaultdict(list), collections.Counter()
     for i, t, _ in docs:
         first.setdefault(t, i)
@@ -427,13 +429,13 @@ def test_cut_points_share_what_a_hot_group_leaves(spark, before, after):
     assert rest[0] >= fair - 1 and rest[-1] <= (fair + 2 if fair != 250 else 335), rest
 
 
-def test_tokens(spark, docs, odd, empty):
+def test_tokens(spark, run, docs, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok, start = Tokenizer.from_file(path), 0
-    got = run(spark, "op9_token_files")
+    got = run("op9_token_files")
     for i, t, _ in docs:
         ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
@@ -477,8 +479,8 @@ def brute_spans(t):
     return ",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in found)
 
 
-def test_secrets(spark, docs, odd, empty):
-    got = run(spark, "op10_secret_scan")
+def test_secrets(spark, run, docs, odd, empty):
+    got = run("op10_secret_scan")
     for i, t, _ in docs:
         assert got[i].base_sha256 == hashlib.sha256(brute_spans(t).encode()).hexdigest()
     assert secrets.spans(odd).count() == len(ODD) and secrets.spans(empty).count() == 0
@@ -561,9 +563,9 @@ def test_awkward_tables_through_the_pipeline(spark, awkward):
     docs = spark.read.parquet(f"{path}/documents.parquet")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, path).persist()
+        docs = written(stage(spark, docs, path), name)
         rows = docs.collect()
         assert docs.columns == columns and all(r[c] == 7 for r in rows for c in CLASHES), name
-    assert corpus_pipeline.run(spark, path).count() == len(rows) > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() == len(rows) > 0
     for made in (decontaminate.cut_spans(docs, spark.read.parquet(f"{path}/benchmark.parquet")), secrets.redact(docs)):
         assert made.columns == columns and made.count() == len(rows)

@@ -42,8 +42,8 @@ class Rules:
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SEPARATORS = frozenset(["|", "»", "›", "•", "·", "/", ">", "::", "-", "→"])
 BOILERPLATE = re.compile(
-    r"^(all rights reserved|copyright|©|licensed under|released under|this work is licensed|terms (of|and)|privacy policy"
-    r"|cookie|subscribe|sign (in|up)|log ?in|share (this|on)|follow us|click here|skip to|please enable javascript)\b.{0,120}$",
+    r"^(©|(all rights reserved|copyright|licensed under|released under|this work is licensed|terms (of|and)|privacy policy"
+    r"|cookie|subscribe|sign (in|up)|log ?in|share (this|on)|follow us|click here|skip to|please enable javascript)\b).{0,120}$",
     re.I,
 )
 
