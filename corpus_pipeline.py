@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontaminate, jaccard, mixing, oracles, quality, sharding
-from vellum.llm.shared import table, written
+from vellum.llm.shared import discard, made_so_far, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +48,8 @@ ORACLE_SQL = oracles.pipeline()
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    since = made_so_far()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(spark, since, keep=(docs,))  # a stage's own tables, and the table before it, have served
     return docs
