@@ -204,7 +204,7 @@ def test_licenses_embedded_and_dated(spark):
     at = len(prose) + 1
     assert got[0] == ("Apache-2.0", f"Apache-2.0:{at}:{at + len(apache)}") and got[1] == ("All-Rights-Reserved", f"All-Rights-Reserved:0:{len(dated)}")
     assert got[2][0] == "All-Rights-Reserved" and got[3] == ("Apache-2.0,MIT", f"MIT:10000:10031,Apache-2.0:20032:{20032 + len(apache)}")
-    assert [got[k][0] for k in (4, 5, 6)] == ["", "", ""]
+    assert [got[k][0] for k in (4, 5, 6)] == ["GPL-2.0", "", ""]
 
 
 def test_licenses_recall_and_precision():

@@ -68,10 +68,11 @@ def spread(left: DataFrame, right: DataFrame, on: list[str], by: Column, counts:
     of right go to each. As most is at least a HOT_KEYS-th of the rows of all values above KEY_ROWS, fewer than HOT_KEYS values
     have more: that many short rows are all that is broadcast. Without such a value it is a plain join.
     """
-    above = written(counts.where(F.col("k") > KEY_ROWS).select(*on, "k"), "hot-keys")
-    total = above.agg(F.sum("k")).first()[0]
-    if not total:
+    above = counts.where(F.col("k") > KEY_ROWS).select(*on, "k")
+    if above.isEmpty():
         return left.join(right, on, how)
+    above = written(above, "hot-keys")
+    total = above.agg(F.sum("k")).first()[0]
     most = max(KEY_ROWS, -(-total // HOT_KEYS))
     hot = F.broadcast(above.where(F.col("k") > most).select(*on, F.ceil(F.col("k") / most).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
