@@ -183,6 +183,21 @@ x_spans AS MATERIALIZED (SELECT r, kind, start, end_ FROM x_all WHERE kind < 3 O
 _KIND = f"{secrets.KINDS!r}[kind + 1]"
 _SHOWN = f"string_agg({_KIND} || ':' || CAST(start AS BIGINT) || ':' || CAST(end_ AS BIGINT), ',' ORDER BY start, kind)"
 
+def prefix_trie(conversations: str) -> str:
+    digest = "substr(sha256(length(role) || ':' || role || text), 1, 32)"
+    return f"""WITH
+t_own AS (SELECT conv_id, list({{'g': {digest}, 'w': len(regexp_extract_all(text, {WORD}))}} ORDER BY turn NULLS FIRST, {digest}) AS turns
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM {conversations} WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+t_h AS (SELECT conv_id, turns, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM t_own),
+t_new AS (SELECT c.conv_id, coalesce(b.turns, [])[1 : h] || c.turns[h + 1 :] AS turns FROM t_h c LEFT JOIN t_own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+t_at AS MATERIALIZED (SELECT conv_id, d, d = len(turns) AS ends, list_transform(turns[1 : d], lambda x: x.g) AS p, turns[d].w AS w FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM t_new)),
+t_nodes AS MATERIALIZED (SELECT p, len(p) AS d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(w), 0) AS saved, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM t_at GROUP BY p),
+t_children AS (SELECT p[1 : d - 1] AS p, count(*) AS n FROM t_nodes WHERE d > 0 GROUP BY 1),
+t_sums AS (SELECT p[1 : a] AS p, sum(saved)::BIGINT AS saved, count(*) FILTER (leaf) AS leaves FROM (SELECT n.p, n.saved, c.n IS NULL AS leaf, unnest(range(0, n.d + 1)) AS a FROM t_nodes n LEFT JOIN t_children c ON n.p = c.p) GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, n.ends_sha256
+FROM t_nodes n JOIN t_sums s ON n.p = s.p LEFT JOIN t_children c ON n.p = c.p LEFT JOIN t_nodes up ON n.d > 0 AND up.p = n.p[1 : n.d - 1]"""
+
+
 ORACLES: dict[str, str] = {
     "op1_jaccard_join": f"WITH RECURSIVE {jaccard('documents')} SELECT doc_id, n_shingles, component_id FROM jaccard",
     "op2_mix_sources": f"WITH {mix('documents')} SELECT doc_id, size, source_size, target, e0 + e1 AS taken, CASE WHEN e0 > 0 THEN s0 END AS first_slot FROM mix",
@@ -191,6 +206,7 @@ ORACLES: dict[str, str] = {
     "op8_sharding": f"WITH {shards('documents')} SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, slot, CAST(NULL AS INTEGER) AS grown_shard FROM sharded",
     "op10_secret_scan": f"""WITH {secret_spans('documents')} SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
         sha256(coalesce({_SHOWN.replace(')', ')', 1)} FILTER (kind < 3), '')) AS base_sha256, coalesce({_SHOWN}, '') AS spans FROM x_docs LEFT JOIN x_spans USING (r) GROUP BY r, doc_id""",
+    "op13_prefix_trie": prefix_trie("conversations"),
 }
 
 

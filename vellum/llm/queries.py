@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, html_extract, jaccard, licenses, mixing, quality, secrets, sharding, tokens, toxicity
+from vellum.llm import decontaminate, html_extract, jaccard, licenses, mixing, pieces, quality, repair, secrets, sharding, tokens, toxicity, trie
 from vellum.llm.oracles import ORACLES
 from vellum.llm.shared import table
 
@@ -65,6 +65,24 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.report(repair.repair(turns, F.col("present")))
+
+
+def op12_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return found.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_tree(trie.rebuilt(trie.turn_arrays(table(spark, sf_dir, "conversations"))))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -78,4 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
     "op10_secret_scan": op10_secret_scan,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_piece_round_trip": op12_piece_round_trip,
+    "op13_prefix_trie": op13_prefix_trie,
 }
