@@ -245,6 +245,7 @@ def test_pieces_odd(spark, model, library):
     rows = [(None, None), (1, ""), (1, None), (2, " x\n" * 30_000), (2, "é  ▁ x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1))
     got = pieces.decode(pieces.encode(df, model), model).collect()
+    assert {(r[0], bytes(r[1]), r[2]) for r in pieces.round_trip(df, model).collect()} == {(r[0], bytes(r[1]), r[2]) for r in got}
     want = [(i, le(ids := library.encode(t or "", add_bos=True, add_eos=True)), library.decode(ids)) for i, t in rows]
     key = lambda r: (r[0] or 0, r[1])
     assert sorted(((r.doc_id, bytes(r.ids), r.text) for r in got), key=key) == sorted(want, key=key)

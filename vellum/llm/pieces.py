@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 MARKER = "▁"
 #: Chunks that a worker's table may hold before it keeps only those of the texts at hand; longer ones are never kept.
-REMEMBERED, LONGEST = 500_000, 64
-#: Characters of text that are split before their distinct chunks are looked up together.
-GROUP_CHARS = 1 << 20
+REMEMBERED, LONGEST = 250_000, 64
+#: Characters of text that are split before their distinct chunks are looked up together, and documents that a worker turns at a time.
+GROUP_CHARS, ROWS = 1 << 20, 256
 
 _RUN = re.compile(" +[^ ]*")
 
@@ -81,29 +81,45 @@ class ChunkEncoder:
         yield from self._group(held)
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit) of each document."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    encoder = ChunkEncoder(model)
+    for batch in _slices(batches):
+        ids = pa.array(encoder.encode(batch.column(1).to_pylist()), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    for batch in _slices(batches):
+        texts = [library.decode(np.frombuffer(x, "<u4").tolist()) if x else "" for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(model)
-        for batch in batches:
-            ids = list(encoder.encode(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+def _with_id(rows: DataFrame, more: str) -> str:
+    return f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {more}"
 
+
+def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
+    """doc_id and ids (binary: little-endian unsigned 32-bit) of each document."""
     rows = docs.select("doc_id", F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return rows.mapInArrow(lambda b: _encoded(b, model), _with_id(rows, "ids binary"))
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """encoded (doc_id, ids) with the text that the library gives for the ids."""
+    rows = encoded.select("doc_id", "ids")
+    return rows.mapInArrow(lambda b: _decoded(b, model), _with_id(rows, "ids binary, text string"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        library = sentencepiece.SentencePieceProcessor(model_file=model)
-        for batch in batches:
-            texts = [library.decode(np.frombuffer(x, "<u4").tolist()) if x else "" for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    rows = encoded.select("doc_id", "ids")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
+def round_trip(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
+    """decode() of encode(), by one worker a task."""
+    rows = docs.select("doc_id", F.col(text_col).alias("text"))
+    return rows.mapInArrow(lambda b: _decoded(_encoded(b, model), model), _with_id(rows, "ids binary, text string"))

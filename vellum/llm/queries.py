@@ -74,7 +74,7 @@ def op12_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    found = pieces.round_trip(table(spark, sf_dir, "documents"), model)
     n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return found.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
