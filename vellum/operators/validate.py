@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -66,6 +68,44 @@ def violations(df: DataFrame, table: Table, parents: dict[str, DataFrame] | None
     return out
 
 
+def _constraints(table: Table, parents: dict[str, DataFrame]) -> tuple[dict[str, Column], dict[str, list[str]], dict[str, tuple[str, DataFrame, str]]]:
+    """By name: conditions that fault a row, unique keys, references to the parents at hand."""
+    rows = {f"not null {c}": F.col(c).isNull() for c in table.not_null} | {f"check {c}": ~F.expr(c) for c in table.checks}
+    keys = {f"unique {', '.join(k)}": list(k) for k in (*table.unique, *((c,) for c in table.unique_where_set))}
+    refs = {f"reference {fk}": (fk, parents[parent], key) for fk, (parent, key, _) in table.references.items() if parent in parents}
+    return rows, keys, refs
+
+
+def constraint_groups(df: DataFrame, table: Table, parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """What decides each constraint, from one scan of df and one of each parent: constraint, digest of the key (null for a condition on
+    a row), n rows of df (for a condition, those that break it), parent rows.
+
+    A row brings a short entry for each condition that it breaks and for each of its keys; entries are counted before they are shuffled."""
+    rows, keys, refs = _constraints(table, parents or {})
+    whole = lambda cols: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    entry = lambda name, digest: F.struct(F.lit(name).alias("constraint"), digest.alias("digest"))
+    digest = lambda cols: F.sha2(F.to_json(F.struct(*[F.col(c).alias(str(k)) for k, c in enumerate(cols)])), 256)
+    none = F.lit(None).cast("string")
+    entries = [F.when(bad, entry(name, none)) for name, bad in rows.items()]
+    entries += [F.when(whole(k), entry(name, digest(k))) for name, k in keys.items()]
+    entries += [F.when(F.col(fk).isNotNull(), entry(name, digest([fk]))) for name, (fk, _, _) in refs.items()]
+    found = df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*", F.lit(1).alias("own"), F.lit(0).alias("parent"))
+    for name, (fk, parent, key) in refs.items():
+        own = parent.select(F.lit(name).alias("constraint"), digest([key]).alias("digest"), F.lit(0).alias("own"), F.lit(1).alias("parent"))
+        found = found.union(own.where(F.col("digest").isNotNull()))
+    return found.groupBy("constraint", "digest").agg(F.sum("own").alias("n"), F.sum("parent").alias("parent"))
+
+
+def constraint_counts(df: DataFrame, table: Table, parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """constraint and n, for each constraint of the table: rows that break a condition or refer to nothing, keys that occur more than once."""
+    rows, keys, refs = _constraints(table, parents or {})
+    kind = F.substring_index("constraint", " ", 1)
+    bad = F.when(kind == "unique", (F.col("n") > 1).cast("long")).when(kind == "reference", F.when(F.col("parent") == 0, F.col("n")).otherwise(0)).otherwise(F.col("n"))
+    counts = constraint_groups(df, table, parents).groupBy("constraint").agg(F.sum(bad).cast("long").alias("n"))
+    names = df.sparkSession.createDataFrame([(n,) for n in (*rows, *keys, *refs)], "constraint string")  # a row for each constraint of the table
+    return names.join(counts, "constraint", "left").select("constraint", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def length_fault(c: Column, most: int, name: str) -> Column:
     """Message for a trimmed text that is empty or longer than most UTF-16 units; null for a good one."""
     n = js_length(js_trim(c))
