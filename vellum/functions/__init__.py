@@ -156,6 +156,17 @@ def parsed(c: Column) -> Column:
     return F.try_parse_json(c)
 
 
+def tolerant(v: Column, fallback: str = "[]") -> Column:
+    """What a variant column holds: a text is parsed, and an object, array or other value is itself. A text that is no JSON, and a null, an
+    empty text, false and zero give the fallback, which is JSON."""
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    inner = F.when(kind == "STRING", F.try_parse_json(text)).otherwise(v)
+    number = F.try_variant_get(v, "$", "double")
+    falsy = v.isNull() | (kind == "VOID") | ((kind == "STRING") & (text == "")) | ((kind == "BOOLEAN") & (text == "false")) | (kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (number == 0))
+    return F.when(F.coalesce(falsy, F.lit(False)), F.parse_json(F.lit(fallback))).otherwise(F.coalesce(inner, F.parse_json(F.lit(fallback))))
+
+
 def json_list(v: Column, key: str) -> Column:
     """A list of texts under key of a parsed JSON object; empty for bad JSON, a missing key or another shape."""
     return F.coalesce(F.try_variant_get(v, f"$.{key}", "array<string>"), F.array().cast("array<string>"))

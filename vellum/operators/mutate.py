@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions import js_trim, reading_time
+from vellum.functions import js_trim
+from vellum.operators.triggers import SITE, Registry
 from vellum.schema import TABLES, Table
 from vellum.session import settled
 
@@ -29,13 +30,15 @@ def with_defaults(new: DataFrame, table: Table, as_of: dt.datetime) -> DataFrame
     return new.select(*cols)
 
 
-def triggered(df: DataFrame, table: str) -> DataFrame:
-    """What runs before a row is written: a post's reading time, whatever was given."""
-    return df.withColumn("reading_time", reading_time(F.col("content"))) if table == "blog_posts" else df
+def insert(old: DataFrame, new: DataFrame, table: str, as_of: dt.datetime, triggers: Registry = SITE) -> DataFrame:
+    """old and new, with defaults for omitted columns and what the triggers before an insert set."""
+    return old.unionByName(triggers.before(with_defaults(new, TABLES[table], as_of), table, "insert", as_of))
 
 
-def insert(old: DataFrame, new: DataFrame, table: str, as_of: dt.datetime) -> DataFrame:
-    return old.unionByName(triggered(with_defaults(new, TABLES[table], as_of), table))
+def insert_into(tables: dict[str, DataFrame], table: str, new: DataFrame, as_of: dt.datetime, triggers: Registry = SITE) -> dict[str, DataFrame]:
+    """tables after an insert into one of them and what its triggers do to the others. A table that schema.TABLES lacks takes new as it is."""
+    made = triggers.before(with_defaults(new, TABLES[table], as_of) if table in TABLES else new, table, "insert", as_of)
+    return triggers.after({**tables, table: tables[table].unionByName(made)}, made, table, "insert")
 
 
 def _one_of_each(df: DataFrame, key: list[str]) -> DataFrame:
@@ -90,14 +93,15 @@ def _first_come(ranked: DataFrame, old: DataFrame, keys: list[list[str]]) -> Dat
     return taken
 
 
-def update(old: DataFrame, where: Column, changes: dict[str, Column], as_of: dt.datetime, table: str = "") -> DataFrame:
-    """old with changes in the rows where holds; updated_at follows, and a post's reading time. No such row is no error."""
-    hit = F.coalesce(where, F.lit(False))
-    if "updated_at" in old.columns:
+def update(old: DataFrame, where: Column, changes: dict[str, Column], as_of: dt.datetime, table: str = "", triggers: Registry = SITE) -> DataFrame:
+    """old with changes in the rows where holds, and what the table's triggers before an update set there. Without a table only updated_at
+    follows, if there is one. No such row is no error."""
+    if not table and "updated_at" in old.columns:
         changes = {**changes, "updated_at": F.lit(as_of).cast("timestamp")}
-    if table == "blog_posts" and "content" in changes:
-        changes = {**changes, "reading_time": reading_time(changes["content"])}
-    return old.select(*[F.when(hit, changes[c].cast(old.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in old.columns])
+    rows = old.withColumn("_hit", F.coalesce(where, F.lit(False)))
+    made = {c: F.when(F.col("_hit"), v.cast(old.schema[c].dataType)).otherwise(F.col(c)) for c, v in changes.items()}
+    new = rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in old.columns], "_hit")
+    return triggers.before(new, table, "update", as_of, F.col("_hit")).select(*old.columns)
 
 
 def replace_or_insert(old: DataFrame, new: DataFrame, table: str, as_of: dt.datetime, key: str = "id") -> DataFrame:

@@ -335,7 +335,8 @@ def update_with_triggers(spark, d):
     import datetime as dt
 
     given = site.blog_posts(spark, d).select("id", "title", "slug").withColumn("content", F.lit("old"))
-    old = M.triggered(M.with_defaults(given, M.TABLES["blog_posts"], AS_OF - dt.timedelta(days=31)), "blog_posts")
+    before = AS_OF - dt.timedelta(days=31)
+    old = M.SITE.before(M.with_defaults(given, M.TABLES["blog_posts"], before), "blog_posts", "insert", before)
     new = M.update(old, F.col("id").cast("long") % 2 == 0, {"content": F.lit("new")}, AS_OF, "blog_posts")
     return new.select("id", "content", "reading_time", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 

@@ -25,7 +25,7 @@ class Table:
     defaults: dict[str, str] = field(default_factory=dict)
 
 
-_TYPES = {"string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "timestamp": T.TimestampType(), "strings": T.ArrayType(T.StringType())}
+_TYPES = {"string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "timestamp": T.TimestampType(), "strings": T.ArrayType(T.StringType()), "variant": T.VariantType()}
 
 
 def _parse(ddl: str) -> T.StructType:
@@ -52,7 +52,7 @@ TABLES: dict[str, Table] = {
             ("id", "title", "slug", "content"), (("id",), ("slug",)), (), (), {"author_id": ("users", "id", True)}, {"id": "uuid()", "published": "false", "tags": "array()", "categories": "array()", "reading_time": "0"} | _TIMES,
         ),
         Table("testimonials", _parse("id:string name:string position:string company:string content:string avatar_url:string rating:int featured:boolean created_at:timestamp updated_at:timestamp"), ("id", "name", "position", "company", "content"), (("id",),), (), ("rating >= 1 AND rating <= 5",), {}, {"id": "uuid()", "rating": "5", "featured": "false"} | _TIMES),
-        Table("resume", _parse("id:string user_id:string full_name:string email:string phone:string summary:string skills:string experience:string education:string certifications:string created_at:timestamp updated_at:timestamp"), ("id", "full_name", "email"), (("id",),), (), (), {"user_id": ("users", "id", True)}, {"id": "uuid()", "skills": "'[]'", "experience": "'[]'", "education": "'[]'", "certifications": "'[]'"} | _TIMES),
+        Table("resume", _parse("id:string user_id:string full_name:string email:string phone:string summary:string skills:variant experience:variant education:variant certifications:variant created_at:timestamp updated_at:timestamp"), ("id", "full_name", "email"), (("id",),), (), (), {"user_id": ("users", "id", True)}, {"id": "uuid()", "skills": "parse_json('[]')", "experience": "parse_json('[]')", "education": "parse_json('[]')", "certifications": "parse_json('[]')"} | _TIMES),
         Table("user_roles", _parse("id:string user_id:string role:string"), ("id", "user_id", "role"), (("id",), ("user_id", "role")), (), ("role IN ('admin', 'user')",), {"user_id": ("users", "id", True)}, {"id": "uuid()"}),
         Table("blog_comments", _parse("id:string blog_post_id:string author_name:string author_email:string content:string approved:boolean created_at:timestamp updated_at:timestamp"), ("id", "blog_post_id", "author_name", "author_email", "content"), (("id",),), (), (), {"blog_post_id": ("blog_posts", "id", True)}, {"id": "uuid()", "approved": "false"} | _TIMES),
         Table("blog_tags", _parse(_NAMED), **_NAMED_RULES),
