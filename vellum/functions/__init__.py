@@ -151,6 +151,19 @@ def within_hours(ts: Column, as_of: Column, hours: int = 24) -> Column:
     return F.coalesce(F.unix_millis(as_of) - F.unix_millis(ts) < hours * 3600000, F.lit(False))
 
 
+def bypass_state(stored_id: Column, stored_at: Column, user_id: Column, as_of: Column, hours: int = 24) -> Column:
+    """What a remembered administrator pass means for a user: "admin" while it is theirs and young enough, "purge" once theirs has expired
+    or its time is no number, null if there is none or it is another's. stored_at: milliseconds as text."""
+    theirs = F.coalesce((stored_id == user_id) & (stored_at != ""), F.lit(False))
+    young = F.coalesce(F.unix_millis(as_of) - parse_int(stored_at) < hours * 3600000, F.lit(False))
+    return F.when(theirs & young, "admin").when(theirs, "purge")
+
+
+def may_enter(user_id: Column, is_admin: Column) -> Column:
+    """Whether the administrators' pages open: for a user who is signed in and is one."""
+    return user_id.isNotNull() & F.coalesce(is_admin, F.lit(False))
+
+
 def parsed(c: Column) -> Column:
     """A JSON text as a variant, null where it is no JSON. Put it in a column of its own, so that a text is parsed once."""
     return F.try_parse_json(c)

@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 
 from vellum.functions import js_length, js_trim
 from vellum.schema import Table
+from vellum.session import settled
 
 #: Fixed value: what the form takes for an address. No point at its start, none after another.
 EMAIL = r"^(?!\.)(?!.*\.\.)[A-Za-z0-9_'+\-.]*[A-Za-z0-9_+-]@([A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,}$"
@@ -30,15 +31,22 @@ def check_violations(df: DataFrame, condition: str | Column) -> DataFrame:
     return df.where(~(F.expr(condition) if isinstance(condition, str) else condition))
 
 
+#: Repeated keys up to which their digests are sent to all tasks; 64 bytes each.
+SENT = 500_000
+
+
 def unique_violations(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that occur more than once; a key with a null is no duplicate. Texts meet by their digests, and only those of repeated keys travel."""
+    """Keys that occur more than once; a key with a null is no duplicate.
+
+    Texts are counted by their digests. Those that repeat are settled, and sent to all tasks if they are few: then no text travels but
+    those of repeated keys, from a second read of df. If they are many they meet df by a shuffle."""
     whole = df.dropna(subset=keys)
     if any(df.schema[k].dataType != StringType() for k in keys):
         return whole.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)
     whole = whole.select(*keys, F.sha2(F.to_json(F.struct(*keys)), 256).alias("_digest"))
-    twice = whole.groupBy("_digest").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    texts = whole.join(twice, "_digest", "left_semi").groupBy("_digest").agg(*[F.first(k).alias(k) for k in keys])
-    return texts.join(twice, "_digest").select(*keys, "n")
+    twice = settled(whole.groupBy("_digest").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    found = whole.join(F.broadcast(twice) if twice.count() <= SENT else twice, "_digest")
+    return found.groupBy("_digest").agg(*[F.first(k).alias(k) for k in keys], F.first("n").alias("n")).drop("_digest")
 
 
 def require_unique(df: DataFrame, keys: list[str]) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,14 @@ from pyspark.sql import functions as F
 
 from vellum import functions as S
 from vellum.operators import mutate as M
+from vellum.operators.fold import current_notice
 from vellum.operators import policy as P
 from vellum.operators import relation as R
 from vellum.operators import validate as V
-from vellum.sources import site
+from vellum.schema import TABLES
+from vellum.session import settled, shared_dir
+from vellum.sources import ddl, site
+from vellum.sources.store import ConstraintError, Store
 
 AS_OF = dt.datetime(2024, 6, 1, tzinfo=dt.UTC)
 
@@ -258,9 +263,9 @@ def roles_join_users_by_email(spark, d):
     return roles_join_users(spark, d).where(F.col("email").endswith("7@mail.example"))
 
 
-@query("SELECT (SELECT min(id) FROM {users} WHERE email = 'nobody@mail.example') AS user_id, EXISTS (SELECT 1 FROM {user_roles} WHERE role = 'admin') AS any_admin")
+@query("SELECT (SELECT min(id) FROM {users} WHERE email = 'customer#000000007@mail.example') AS user_id, EXISTS (SELECT 1 FROM {user_roles} WHERE role = 'admin') AS any_admin")
 def scalar_lookup(spark, d):
-    found = site.users(spark, d).where(F.col("email") == "nobody@mail.example").agg(F.min("id").alias("user_id"))
+    found = site.users(spark, d).where(F.col("email") == "customer#000000007@mail.example").agg(F.min("id").alias("user_id"))
     return found.withColumn("any_admin", F.lit(P.has_any_admin(site.user_roles(spark, d))))
 
 
@@ -457,10 +462,11 @@ def rls_roles_own(spark, d):
     return P.secure(roles, "user_roles", P.Principal(me), roles).select("id", "user_id")
 
 
-@query("SELECT role, count(*) AS n FROM (SELECT 'admin' AS role FROM {users} WHERE id = '1') GROUP BY role")
+@query("SELECT user_id, role FROM {user_roles} WHERE role = 'user' UNION ALL SELECT id, 'admin' FROM {users} WHERE id = '0'")
 def first_admin(spark, d):
-    roles = site.user_roles(spark, d)
-    return M.appoint_first_admin(roles.where(F.lit(False)), site.users(spark, d)).groupBy("role").agg(F.count("*").alias("n"))
+    """Once all administrators have been deleted, the earliest user becomes one."""
+    roles = M.delete(site.user_roles(spark, d), F.col("role") == "admin")
+    return M.appoint_first_admin(roles, site.users(spark, d)).select("user_id", "role")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (role = 'admin') AS admins FROM {user_roles}")
@@ -500,3 +506,226 @@ def cascade_from_users(spark, d):
     posts = ids.withColumn("author_id", F.when(F.col("id").cast("long") % 3 == 0, gone.agg(F.min("id")).scalar()))
     left = M.cascade(posts, "author_id", gone)
     return M.cascade(site.blog_comments(spark, d), "blog_post_id", ids.join(left.select("id"), "id", "left_anti")).select("id")
+
+
+# Changes over several keys and tables.
+
+
+@query("""WITH RECURSIVE ranked AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM {tags} WHERE id % 5 > 0),
+    old AS (SELECT min(id) AS id, name, min(slug) AS slug FROM {tags} WHERE id % 5 = 0 AND name IS NOT NULL AND slug IS NOT NULL GROUP BY name),
+    walk AS (SELECT 0::BIGINT AS k, (SELECT list(name) FROM old) AS names, (SELECT list(slug) FROM old) AS slugs, NULL::BIGINT AS id UNION ALL
+      SELECT r.k, CASE WHEN ok AND r.name IS NOT NULL THEN list_append(names, r.name) ELSE names END, CASE WHEN ok AND r.slug IS NOT NULL THEN list_append(slugs, r.slug) ELSE slugs END, CASE WHEN ok THEN r.id END
+      FROM (SELECT w.k, w.names, w.slugs, r.id AS rid, NOT coalesce(list_contains(w.names, r.name), false) AND NOT coalesce(list_contains(w.slugs, r.slug), false) AS ok FROM walk w JOIN ranked r ON r.k = w.k + 1) w JOIN ranked r ON r.id = w.rid)
+    SELECT id FROM old UNION ALL SELECT id FROM walk WHERE id IS NOT NULL""")
+def insert_any_key(spark, d):
+    """Proposed tags are inserted one by one unless their name or slug is taken."""
+    tags = site.tags(spark, d)
+    old = tags.where("id % 5 = 0 AND name IS NOT NULL AND slug IS NOT NULL").groupBy("name").agg(F.min("id").alias("id"), F.min("slug").alias("slug")).select("id", "name", "slug")
+    return M.insert_ignoring(old, tags.where("id % 5 > 0"), [["name"], ["slug"]], order=["id"]).select("id")
+
+
+_GONE = "CAST({c} AS BIGINT) % 3 = 0"
+
+
+@query(f"""SELECT 'users' AS name, id FROM {{users}} WHERE NOT {_GONE.format(c="id")} UNION ALL SELECT 'user_roles', id FROM {{user_roles}} WHERE NOT {_GONE.format(c="user_id")}
+    UNION ALL SELECT 'resume', id FROM {{resumes}} WHERE NOT {_GONE.format(c="user_id")}
+    UNION ALL SELECT 'blog_posts', id FROM {{blog_posts}} WHERE author_id IS NULL OR NOT {_GONE.format(c="author_id")}
+    UNION ALL SELECT 'blog_comments', c.id FROM (SELECT * FROM {{blog_comments}}) c LEFT JOIN (SELECT * FROM {{blog_posts}}) p ON p.id = c.blog_post_id WHERE p.author_id IS NULL OR NOT {_GONE.format(c="p.author_id")}""")
+def cascade_graph(spark, d):
+    """Every third user goes, and with them their roles, resumes, posts and all comments on those."""
+    tables = {"users": site.users, "user_roles": site.user_roles, "resume": site.resumes, "blog_posts": site.blog_posts, "blog_comments": site.blog_comments}
+    left = M.delete_cascading({n: f(spark, d) for n, f in tables.items()}, "users", F.col("id").cast("long") % 3 == 0)
+    shown = [df.select(F.lit(n).alias("name"), "id") for n, df in left.items()]
+    return shown[0].union(shown[1]).union(shown[2]).union(shown[3]).union(shown[4])
+
+
+@query("""SELECT 'projects' AS name, CAST(id AS VARCHAR) AS id, CASE WHEN id % 2 = 0 THEN '2024-06-01' ELSE '2024-05-01' END AS updated FROM {projects}
+    UNION ALL SELECT 'testimonials', CAST(id AS VARCHAR), CASE WHEN id % 2 = 0 THEN '2024-06-01' ELSE '2024-05-01' END FROM {testimonials}
+    UNION ALL SELECT 'blog_posts', id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN '2024-06-01' ELSE '2024-05-01' END FROM {blog_posts}
+    UNION ALL SELECT 'blog_comments', id, CASE WHEN CAST(blog_post_id AS BIGINT) % 2 = 0 THEN '2024-06-01' ELSE '2024-05-01' END FROM {blog_comments}
+    UNION ALL SELECT 'resume', id, CASE WHEN CAST(user_id AS BIGINT) % 4 = 0 THEN '2024-06-01' ELSE '2024-05-01' END FROM {resumes}""")
+def triggers_by_table(spark, d):
+    """An update of half the rows of each of five tables; its triggers set updated_at there and nowhere else."""
+    before, out = AS_OF - dt.timedelta(days=31), None
+    for name, rows, hit in (
+        ("projects", site.projects, F.col("id") % 2 == 0), ("testimonials", site.testimonials, F.col("id") % 2 == 0), ("blog_posts", site.blog_posts, F.col("id").cast("long") % 2 == 0),
+        ("blog_comments", site.blog_comments, F.col("blog_post_id").cast("long") % 2 == 0), ("resume", site.resumes, F.col("user_id").cast("long") % 4 == 0),
+    ):
+        given = rows(spark, d).drop("created_at")
+        old = given.withColumn("updated_at", F.lit(before).cast("timestamp"))
+        new = M.update(old, hit, {"id": F.col("id")}, AS_OF, name).select(F.lit(name).alias("name"), F.col("id").cast("string").alias("id"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+        out = new if out is None else out.union(new)
+    return out
+
+
+# All constraints of a table at once.
+
+
+_COUNTS = " UNION ALL ".join(
+    f"SELECT '{name}' AS name, '{rule}' AS \"constraint\", ({sql}) AS n"
+    for name, rule, sql in (
+        *((t, f"not null {c}", f"SELECT count(*) FILTER ({c} IS NULL) FROM {{{v}}}") for t, v, cs in (("blog_posts", "blog_posts", "id title slug content"), ("user_roles", "user_roles", "id user_id role"), ("blog_tags", "tags", "id name slug")) for c in cs.split()),
+        *((t, f"unique {', '.join(cs)}", f"SELECT count(*) FROM (SELECT 1 FROM {{{v}}} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cs)} GROUP BY {', '.join(cs)} HAVING count(*) > 1)")
+          for t, v, cs in (("blog_posts", "blog_posts", ["id"]), ("blog_posts", "blog_posts", ["slug"]), ("user_roles", "user_roles", ["id"]), ("user_roles", "user_roles", ["user_id", "role"]), ("blog_tags", "tags", ["id"]), ("blog_tags", "tags", ["name"]), ("blog_tags", "tags", ["slug"]))),
+        ("user_roles", "check role IN (''admin'', ''user'')", "SELECT count(*) FROM {user_roles} WHERE role NOT IN ('admin', 'user')"),
+        ("user_roles", "reference user_id", "SELECT count(*) FROM {user_roles} WHERE user_id NOT IN (SELECT id FROM {users} WHERE CAST(id AS BIGINT) % 7 > 0)"),
+        ("blog_posts", "reference author_id", "SELECT count(*) FROM {blog_posts} WHERE author_id NOT IN (SELECT id FROM {users} WHERE CAST(id AS BIGINT) % 7 > 0)"),
+    )
+)
+
+
+@query(_COUNTS)
+def constraint_counts(spark, d):
+    """Every constraint of three tables, each table read once; every seventh user is missing."""
+    users, out = site.users(spark, d).where(F.col("id").cast("long") % 7 > 0), None
+    for name, rows in (("blog_posts", site.blog_posts), ("user_roles", site.user_roles), ("blog_tags", site.tags)):
+        found = V.constraint_counts(rows(spark, d), TABLES[name], {"users": users}).select(F.lit(name).alias("name"), "constraint", "n")
+        out = found if out is None else out.union(found)
+    return out
+
+
+@query("SELECT id FROM {tags} WHERE name IS NULL")
+def null_violations(spark, d):
+    return V.null_violations(site.tags(spark, d), "name").select("id")
+
+
+# A log of changes folded.
+
+
+@query("""WITH RECURSIVE log AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_type, CASE WHEN event_id % 6 > 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 END AS id,
+      CASE WHEN event_id % 2 = 0 THEN props END AS title, CASE WHEN event_id % 4 < 3 THEN CAST(value AS VARCHAR) END AS tone, CASE WHEN event_id % 7 = 0 THEN true END AS reopen FROM events),
+    walk AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::VARCHAR AS title, NULL::VARCHAR AS tone, NULL::BOOLEAN AS open FROM events GROUP BY user_id UNION ALL
+      SELECT w.user_id, l.k, CASE WHEN adds THEN l.id WHEN goes THEN NULL ELSE w.id END, CASE WHEN adds THEN l.title WHEN goes THEN NULL WHEN sets THEN coalesce(l.title, w.title) ELSE w.title END,
+        CASE WHEN adds THEN l.tone WHEN goes THEN NULL WHEN sets THEN coalesce(l.tone, w.tone) ELSE w.tone END, CASE WHEN adds THEN true WHEN goes THEN NULL WHEN shuts THEN false WHEN sets THEN coalesce(l.reopen, w.open) ELSE w.open END
+      FROM walk w JOIN (SELECT *, event_type IN ('signup', 'purchase') AND id IS NOT NULL AS adds FROM log) l ON l.user_id = w.user_id AND l.k = w.k + 1,
+        LATERAL (SELECT coalesce(l.id = w.id, false) AND l.event_type = 'click' AS sets, w.id IS NOT NULL AND (l.id IS NULL OR l.id = w.id) AND l.event_type = 'view' AS shuts, w.id IS NOT NULL AND (l.id IS NULL OR l.id = w.id) AND l.event_type = 'error' AS goes))
+    SELECT user_id, id, title, tone, open FROM walk QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""")
+def notice_fold(spark, d):
+    """Each user's events as a log of notices: what is shown in the end."""
+    e, k = site.raw(spark, d, "events"), F.col("event_id")
+    action = F.when(F.col("event_type").isin("signup", "purchase"), "add").when(F.col("event_type") == "click", "update").when(F.col("event_type") == "view", "dismiss").otherwise("remove")
+    notice = F.when(k % 6 > 0, F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint") % 3)
+    log = e.select("user_id", "ts", "event_id", action.alias("action"), notice.alias("id"), F.when(k % 2 == 0, F.col("props")).alias("title"), F.when(k % 4 < 3, F.col("value").cast("string")).alias("tone"), F.when(k % 7 == 0, True).alias("open"))
+    return current_notice(log, "user_id", ["ts", "event_id"], ["title", "tone"])
+
+
+# Rules as predicates.
+
+
+def _admin_of(roles):
+    return P.Principal(roles.where(F.col("role") == "admin").agg(F.min("user_id")).first()[0])
+
+
+@query("""WITH a AS (SELECT min(user_id) AS me FROM {user_roles} WHERE role = 'admin'), u AS (SELECT min(user_id) AS me FROM {user_roles} WHERE role = 'user'),
+    seen AS (SELECT 'contacts' AS name, count(*) AS every, 0 AS open, 0 AS own FROM {contacts} UNION ALL SELECT 'projects', count(*), count(*), 0 FROM {projects} UNION ALL SELECT 'testimonials', count(*), count(*), 0 FROM {testimonials}
+      UNION ALL SELECT 'resume', count(*), count(*), 0 FROM {resumes} UNION ALL SELECT 'blog_tags', count(*), count(*), 0 FROM {tags} UNION ALL SELECT 'blog_posts', count(*), count(*) FILTER (published), 0 FROM {blog_posts}
+      UNION ALL SELECT 'blog_comments', count(*), count(*) FILTER (approved), 0 FROM {blog_comments} UNION ALL SELECT 'user_roles', count(*), 0, count(*) FILTER (user_id = (SELECT me FROM u)) FROM {user_roles})
+    SELECT name, 'admin' AS who, every AS sees, every AS changes FROM seen UNION ALL SELECT name, 'user', open + own, 0 FROM seen UNION ALL SELECT name, 'anyone', open, 0 FROM seen""")
+def rls_by_table(spark, d):
+    """How many rows of each table an administrator, a user and anyone see and may change, by rules that are part of one plan."""
+    roles = site.user_roles(spark, d)
+    P.install_functions(spark, roles)
+    user = P.Principal(roles.where(F.col("role") == "user").agg(F.min("user_id")).first()[0])
+    out = None
+    for name, rows in (
+        ("contacts", site.contacts), ("projects", site.projects), ("testimonials", site.testimonials), ("resume", site.resumes), ("blog_tags", site.tags), ("blog_posts", site.blog_posts), ("blog_comments", site.blog_comments), ("user_roles", site.user_roles),
+    ):
+        who = {"admin": _admin_of(roles), "user": user, "anyone": P.Principal()}
+        df = rows(spark, d)
+        counted = [F.count_if(P.lets_through(name, c, p.user_id)).alias(f"{w}_{c}") for w, p in who.items() for c in ("select", "update")]
+        one = df.agg(*counted).select(F.explode(F.array(*[F.struct(F.lit(w).alias("who"), F.col(f"{w}_select").alias("sees"), F.col(f"{w}_update").alias("changes")) for w in who])).alias("x"))
+        one = one.select(F.lit(name).alias("name"), "x.*")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT id, CASE WHEN CAST(user_id AS BIGINT) % 2 = 0 THEN 'user' ELSE role END AS role FROM {user_roles}")
+def rls_update_checked(spark, d):
+    """An administrator makes users of half of all; each changed row is asked about again."""
+    roles = site.user_roles(spark, d)
+    P.install_functions(spark, roles)
+    return P.secured_update(roles, F.col("user_id").cast("long") % 2 == 0, {"role": F.lit("user")}, "user_roles", _admin_of(roles)).select("id", "role")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'purge' WHEN 1717200000000 - epoch_us(ts) // 1000 < 86400000 THEN 'admin' ELSE 'purge' END AS pass,
+    CASE WHEN event_id % 3 = 0 OR event_id % 5 = 0 OR NOT 1717200000000 - epoch_us(ts) // 1000 < 86400000 THEN event_id % 4 = 0 ELSE true END AS enters FROM events""")
+def bypass_states(spark, d):
+    """A remembered pass of each event's time: another's, one that is no number, young or expired; with it or the role the pages open."""
+    e, k = site.raw(spark, d, "events"), F.col("event_id")
+    at = F.when(k % 5 == 0, "soon").otherwise(F.unix_millis(F.col("ts").cast("timestamp")).cast("string"))
+    user = F.col("user_id").cast("string")
+    state = S.bypass_state(F.when(k % 3 == 0, "another").otherwise(user), at, user, F.lit(AS_OF).cast("timestamp"))
+    rows = e.select("event_id", user.alias("user"), state.alias("pass"), (k % 4 == 0).alias("role"))
+    return rows.select("event_id", "pass", S.may_enter(F.col("user"), F.coalesce(F.col("pass") == "admin", F.lit(False)) | F.col("role")).alias("enters"))
+
+
+# Tables that are written and read again.
+
+
+@query("SELECT event_id AS id, CASE WHEN status = 'unread' THEN 'read' ELSE status END AS status FROM {contacts} WHERE status <> 'replied'")
+def read_after_write(spark, d):
+    """Contacts are published, changed and published again; a change that breaks a rule of the table isn't."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    rows = site.contacts(spark, d).where("status <> 'replied'").withColumn("id", F.col("event_id").cast("string"))
+    kept = store.publish("contacts", rows, TABLES["contacts"])
+    kept = store.publish("contacts", M.update(kept, F.col("status") == "unread", {"status": F.lit("read")}, AS_OF, "contacts"), TABLES["contacts"])
+    try:
+        store.publish("contacts", kept.withColumn("status", F.lit("replied")), TABLES["contacts"])
+    except ConstraintError:
+        pass  # as meant
+    return store.read("contacts").select(F.col("event_id").alias("id"), "status")
+
+
+@query("""SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 3 = 0 THEN 5 WHEN id % 3 = 1 THEN NULL ELSE rating END AS rating, CASE WHEN id % 3 = 0 THEN false ELSE featured END AS featured, 'none' AS source FROM {testimonials}""")
+def catalog_defaults(spark, d):
+    """Testimonials inserted by SQL into a table of the catalog: rating and featured omitted, given as null, given; then a column is added."""
+    database = f"site_{uuid.uuid4().hex}"
+    site.testimonials(spark, d).createOrReplaceTempView("given_testimonials")
+    ddl.create_tables(spark, database)
+    try:
+        same = "CAST(id AS STRING), name, '', '', ''"
+        into = f"INSERT INTO {database}.testimonials (id, name, position, company, content"
+        spark.sql(f"{into}) SELECT {same} FROM given_testimonials WHERE id % 3 = 0")
+        spark.sql(f"{into}, rating, featured) SELECT {same}, NULL, featured FROM given_testimonials WHERE id % 3 = 1")
+        spark.sql(f"{into}, rating, featured) SELECT {same}, rating, featured FROM given_testimonials WHERE id % 3 = 2")
+        ddl.add_column(spark, database, "testimonials", "source", "STRING", "'none'")
+        return settled(spark.table(f"{database}.testimonials").select("id", "rating", "featured", "source"))
+    finally:
+        ddl.drop_database(spark, database)
+
+
+@query("SELECT id, skills_shown AS skills FROM {resumes}")
+def resume_skills(spark, d):
+    """Skills as objects, texts of JSON, lists, other texts and nulls in one variant column, stored and read again."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    kept = store.publish("resume", site.resumes(spark, d), TABLES["resume"])
+    v = kept.select("id", S.tolerant(F.col("skills")).alias("v"))
+    return v.select("id", F.array_join(S.resume_skills(F.col("v")), "|").alias("skills"))
+
+
+# Reads of whole rows and forms.
+
+
+@query("""SELECT id, title, slug, excerpt, content, featured_image, published, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, author_id, array_to_string(tags, '|') AS tags, array_to_string(categories, '|') AS categories,
+    CASE WHEN content = '' THEN 1 ELSE CAST(greatest(ceil(len(string_split(trim(content, ' '), ' ')) / 200.0), 1) AS INTEGER) END AS reading_time, meta_description FROM {blog_posts} WHERE published""")
+def post_pages(spark, d):
+    """The thirteen columns of a post's page, for all that are published."""
+    columns = "id, title, slug, excerpt, content, featured_image, published, created_at, author_id, tags, categories, reading_time, meta_description"
+    posts = site.blog_posts(spark, d).withColumn("reading_time", S.reading_time(F.col("content")))
+    page = R.Relation(posts).select(columns).eq("published", True).frame()
+    return page.withColumns({"created_at": F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), "tags": F.array_join("tags", "|"), "categories": F.array_join("categories", "|")})
+
+
+@query(f"SELECT id, CASE WHEN id % 4 = 0 OR slug IS NULL THEN {site._SLUG.format(t="coalesce(name, '')")} ELSE slug END AS slug FROM {{tags}}")
+def slug_or_made(spark, d):
+    """The slug that a form gives, else one made from the name."""
+    t = site.tags(spark, d)
+    return t.select("id", S.first_truthy(F.when(F.col("id") % 4 > 0, F.col("slug")).otherwise(""), S.slugify(F.coalesce("name", F.lit("")))).alias("slug"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '1/1/1970' ELSE strftime(created_at, '%-m/%-d/%Y') END AS short, CASE WHEN event_id % 3 = 0 THEN 'Invalid Date' ELSE strftime(created_at, '%B %-d, %Y at %I:%M %p') END AS timed,
+    (1717200000000 - epoch_us(created_at) // 1000) / 3600000.0 AS hours FROM {contacts}""")
+def dates_missing(spark, d):
+    """Dates where every third is missing, and hours since."""
+    t = F.when(F.col("event_id") % 3 > 0, F.col("created_at"))
+    return site.contacts(spark, d).select("event_id", S.date_short(t).alias("short"), S.date_time_long(t).alias("timed"), S.hours_since(F.col("created_at"), F.lit(AS_OF).cast("timestamp")).alias("hours"))
