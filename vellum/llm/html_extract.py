@@ -5,29 +5,42 @@ boilerplate: the capacities of its edges to the two terminals. Neighbours in pag
 tree are joined by smoothness edges. The minimum cut, found by max-flow, parts content from boilerplate with the least
 total cost. Blocks on the content side are joined in page order.
 
-Cases: null or empty html gives an empty text; a page without blocks too; unclosed and stray tags are tolerated; a page
-of any length is read whole; ties in the cut go to boilerplate; repeated rows get one result each; extra columns are ignored.
+A name or tag counts by what its element holds, once the page is read: not if it wraps the page or its main part, and a name for
+something short not if it holds prose.
+
+Cases: null or empty html gives an empty text; a page without blocks too, and an empty table no rows; unclosed and stray tags
+are tolerated; a page of any length is read whole, in time proportional to its length; ties in the cut go to boilerplate;
+repeated rows get one result each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+_NAME = r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
+#: A quote opens a value only behind an equals sign. Possessive, so that a failure costs one scan.
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<{_NAME}((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?][^>]*+>", re.S)
+_OPEN = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
+#: After a tag that nothing closes: a tag ends before the next one begins, so that the rest is read in one scan.
+_PLAIN = re.compile(rf"<!--.*?(?:-->|\Z)|<{_NAME}([^<>]*+)>|<[!?][^<>]*+>", re.S)
 #: An attribute with its value consumed, so that nothing within a value is taken for a name.
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
 #: The attributes that are looked at; of a name given twice the first counts.
-_NAMES = frozenset("class id role hidden itemprop".split())
-#: Elements whose content is no text.
-SKIPPED = frozenset("script style noscript template svg textarea select option button iframe object canvas math head title audio video".split())
+_NAMES = frozenset("class id role hidden itemprop style".split())
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Elements whose content is raw: it ends at their end tag or with the page.
+RAW = frozenset("script style textarea template".split())
+#: Elements whose content is no text. One that isn't closed, or only behind another of its kind, is empty.
+SKIPPED = RAW | frozenset("noscript svg select option button iframe object canvas head title audio video annotation annotation-xml".split())
 #: Elements that run within a line of text; all others part blocks.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace semantics mfenced mpadded".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the key ends where one of these begins.
 ENDS = {k: frozenset(v.split()) for k, v in {
@@ -43,8 +56,14 @@ _BAD_PART = frozenset(
     " cookie cookies consent gdpr popup modal comment comments disqus respond reply replies share sharing newsletter subscribe signup pagination pager toolbar".split()
 )
 #: Parts that mark it where they are the whole name, or all but a word for a container.
-_BAD_WHOLE = frozenset("header foot side promo promotion banner notice alert overlay discussion social related recommend recommended recommendations more login search copyright legal disclaimer skip tag tags meta".split())
+_BAD_WHOLE = frozenset("header foot side promo promotion banner notice alert overlay discussion thread threads responses social related recommend recommended recommendations more login search copyright legal disclaimer skip tag tags meta".split())
 _CONTAINER = frozenset("site page main top bottom left right posts post articles article items item links link list bar box block section container wrapper wrap area inner content widget panel group buttons icons nav row".split())
+#: Parts that mark what readers wrote. It may be long; all else that a name marks is short or made of links.
+_READERS = frozenset("comment comments disqus respond reply replies discussion thread threads responses".split())
+#: Parts that say how an element is laid out, so that the name tells nothing of what it holds.
+_LAYOUT = frozenset("no not has with without is are hide hidden show open opened close closed collapsed expanded active enabled disabled toggle toggled sticky fixed left right full wide".split())
+#: Parts of a phrase: a title made into a name.
+_PHRASE = frozenset("a an and are as at by for from how in into is it its of on or our that the their this to vs what when where which who why with your".split())
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|body|text|main|prose|article-?body|post-?content|entry-?content)(?:$|[\s_-])", re.I)
 _BAD_ROLE = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"])
 _NOTICE = re.compile(r"^(?:©|\(c\) |copyright\b|all rights reserved|we use cookies|this (?:site|website) uses cookies|accept (?:all )?cookies|subscribe|sign up|advertisement|sponsored|share this|read more|skip to)", re.I)
@@ -64,35 +83,50 @@ class Weights:
     notice: float = 3.0
     #: What a block with no sign of its own leans to.
     outside: float = 0.3
-
-
-def bad_name(value: str, in_article: bool, w: Weights) -> float:
-    """What the names in a class or id attribute cost. Within an article a name that may mean other things counts far less."""
-    worst = 0.0
+    #: An element with more than this share of the page's text wraps the page, if no main part stands outside it.
+    wrapper: float = 0.6
+    #: Characters of unlinked prose, and of its longest block, from which a name for something short isn't believed; links it may have.
+    prose: int = 250
+    paragraph: int = 150
+    prose_links: float = 0.2
+
+
+def bad_name(value: str, in_article: bool, w: Weights) -> tuple[float, bool]:
+    """What the names in a class or id attribute cost at most, and whether they speak of readers. Within an article a name that may mean
+    other things counts far less; a name of layout, or a phrase, counts nothing."""
+    worst, readers = 0.0, False
     for token in value.lower().split():
         parts = [p for p in re.split(r"[-_]+", token) if p]
-        if not _BAD_PART.isdisjoint(parts):
-            return w.bad_name
-        if not _BAD_WHOLE.isdisjoint(parts) and all(p in _BAD_WHOLE or p in _CONTAINER for p in parts):
-            worst = max(worst, w.bad_name * (w.in_article if in_article else 1.0))
-    return worst
+        bad = _BAD_PART.intersection(parts)
+        whole = not _BAD_WHOLE.isdisjoint(parts) and all(p in _BAD_WHOLE or p in _CONTAINER for p in parts)
+        if not bad and not whole:
+            continue
+        if len(parts) > 1 and not _LAYOUT.isdisjoint(parts) and not (set(parts) <= bad | _CONTAINER):
+            continue
+        if len(parts) > 2 and not _PHRASE.isdisjoint(parts):
+            continue
+        worst = max(worst, w.bad_name if bad else w.bad_name * (w.in_article if in_article else 1.0))
+        readers = readers or not _READERS.isdisjoint(parts)
+    return worst, readers
 
 
 class _Node:
-    __slots__ = ("tag", "bad", "good", "depth", "parent", "gone")
+    __slots__ = ("tag", "bad", "good", "parent", "gone", "in_article", "named", "readers", "told", "praised", "is_main", "text", "linked", "longest", "mains")
 
     def __init__(self, tag: str, attrs: str, parent: _Node | None, w: Weights):
         self.tag, self.parent = tag, parent
-        self.depth = parent.depth + 1 if parent else 0
-        self.bad, self.good = (parent.bad, parent.good) if parent else (0.0, 0.0)
         self.gone = parent is not None and parent.gone
-        in_article = parent is not None and parent.good >= _GOOD_TAG["article"]
+        #: What the tag and the role cost, what the name costs at most, what speaks for content.
+        self.told, self.named, self.readers, self.praised = 0.0, 0.0, False, 0.0
+        self.text = self.linked = self.longest = self.mains = 0
+        self.in_article = parent is not None and (parent.in_article or parent.tag == "article")
         if tag in _BAD_TAG:
             # A header of the article itself holds its title.
-            self.bad += 0.0 if tag == "header" and in_article else _BAD_TAG[tag]
-        elif tag in _GOOD_TAG:
+            self.told += 0.0 if tag == "header" and self.in_article else _BAD_TAG[tag]
+        elif tag in _GOOD_TAG and (not self.in_article or tag == "main"):
             # An article within another, or within a comment list, is a comment or a teaser, not the main text.
-            self.good = max(self.good, _GOOD_TAG[tag]) if not in_article or tag == "main" else self.good
+            self.praised = _GOOD_TAG[tag]
+        self.is_main = tag in ("main", "h1") or (tag == "article" and not self.in_article)
         if attrs:
             seen = set()
             for name, a, b, c in _ATTR.findall(attrs):
@@ -101,14 +135,35 @@ class _Node:
                 if name not in _NAMES or name in seen:
                     continue
                 seen.add(name)
-                if name == "hidden":
+                if name == "hidden" or (name == "style" and _UNSEEN.search(value)):
                     self.gone = True
                 elif name == "role":
-                    self.bad += w.bad_name if value.lower() in _BAD_ROLE else 0
-                elif tag not in ("body", "html") and (cost := bad_name(value, in_article, w)):
-                    self.bad += cost
-                elif _GOOD_NAME.search(value):
-                    self.good = max(self.good, w.good_name)
+                    self.told += w.bad_name if value.lower() in _BAD_ROLE else 0
+                    self.is_main = self.is_main or value.lower() == "main"
+                elif name != "style" and tag not in ("body", "html"):
+                    cost, readers = bad_name(value, self.in_article, w)
+                    self.named, self.readers = self.named + cost, self.readers or readers
+                    if not cost and _GOOD_NAME.search(value):
+                        self.praised = max(self.praised, w.good_name)
+                        self.is_main = self.is_main or value.lower() == "articlebody"
+        self.weigh(self.told, self.named)
+
+    def weigh(self, told: float, named: float) -> None:
+        up = self.parent
+        self.bad, self.good = (up.bad if up else 0.0) + told + named, max(up.good if up else 0.0, self.praised)
+
+    def settle(self, page: int, mains: int, w: Weights) -> None:
+        """Count the tag and the name by what the element turned out to hold."""
+        told, named = self.told, self.named
+        if told or named:
+            main_inside = self.mains > self.is_main
+            if self.text > w.wrapper * page and (main_inside or not mains) and self.linked < 0.5 * self.text:
+                told = named = 0.0  # it wraps the page
+            elif main_inside and not self.readers and self.tag in ("div", "section", "body", "form", "center", "table", "tbody", "tr", "td"):
+                told = named = 0.0
+            elif named and not self.readers and self.text - self.linked >= w.prose and self.longest >= w.paragraph and self.linked <= w.prose_links * self.text and (self.in_article or not mains):
+                named *= w.in_article * 0.5
+        self.weigh(told, named)
 
 
 @dataclass
@@ -118,30 +173,67 @@ class Block:
     linked: int
 
 
+class _Ahead:
+    """Where tags of a name come next; each is searched for once on the way through a page."""
+
+    def __init__(self, page: str):
+        self.page, self.known, self.made = page, {}, {}
+
+    def find(self, tag: str, at: int, ends: bool) -> tuple[int, int] | None:
+        """Start and end of the next tag from at on."""
+        key = tag, ends
+        if key not in self.made:
+            self.made[key] = re.compile(rf"</{tag}\s*>" if ends else rf"<{tag}(?=[\s/>])", re.I)
+        place = self.known.get(key, (-1, -1))
+        if place is not None and place[0] < at:
+            found = self.made[key].search(self.page, at)
+            place = self.known[key] = found.span() if found else None
+        return place
+
+
+def _past(ahead: _Ahead, tag: str, at: int) -> int:
+    """Where the content of an element that holds no text ends: behind its end tag."""
+    end = ahead.find(tag, at, True)
+    if end is None:
+        return len(ahead.page) if tag in RAW else at
+    if tag not in RAW and tag not in ("svg", "object") and (other := ahead.find(tag, at, False)) and other[0] < end[0]:
+        return at
+    return end[1]
+
+
 def blocks(page: str, w: Weights = Weights()) -> list[Block]:  # noqa: B008
     """The page's blocks of text in order: white space as single spaces, references decoded."""
     root = _Node("html", "", None, w)
-    stack, out, buf = [root], [], []
-    at, links, linked = 0, 0, 0
+    stack, nodes, out, buf = [root], [root], [], []
+    at, links, linked, token, ahead = 0, 0, 0, _TOKEN, _Ahead(page)
+    standing: Counter[str] = Counter()  # open elements by tag, without the root
 
     def close() -> None:
         nonlocal linked
         if buf:
             text = " ".join(html.unescape("".join(buf)).split())
             if text and not stack[-1].gone:
-                out.append(Block(text, stack[-1], linked))
+                out.append(Block(text, stack[-1], min(linked, len(text))))
             buf.clear()
         linked = 0
 
     while at < len(page):
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start()] if m else page[at:]
+        begin = page.find("<", at)
+        piece = page[at:begin] if begin >= 0 else page[at:]
         if piece:
             buf.append(piece)
             if links:
                 linked += len(piece)
-        if not m:
+        if begin < 0:
             break
+        m = token.match(page, begin)
+        if m is None and token is _TOKEN and _OPEN.match(page, begin):
+            token = _PLAIN  # nothing closes this tag
+            m = token.match(page, begin)
+        if m is None:
+            buf.append("<")
+            at = begin + 1
+            continue
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -155,24 +247,35 @@ def blocks(page: str, w: Weights = Weights()) -> list[Block]:  # noqa: B008
             buf.append(" ")
             continue
         if not m[1] and tag in SKIPPED:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if not m[3].endswith("/"):
-                at = end.end() if end else (at if tag in ("head", "title", "button", "option", "select") else len(page))
+                at = _past(ahead, tag, at)
             buf.append(" ")
             continue
         close()
         links = 0
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
+            while standing[tag]:
+                standing[stack[-1].tag] -= 1
+                if stack.pop().tag == tag:
                     break
             continue
         while len(stack) > 1 and tag in ENDS.get(stack[-1].tag, ()):
-            stack.pop()
+            standing[stack.pop().tag] -= 1
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(_Node(tag, m[3], stack[-1], w))
+            nodes.append(stack[-1])
+            standing[tag] += 1
     close()
+    for b in out:
+        b.node.text += len(b.text)
+        b.node.linked += b.linked
+        b.node.longest = max(b.node.longest, len(b.text) - b.linked)
+    for n in reversed(nodes):  # children before their parents
+        n.mains += n.is_main and n.text > 0
+        if up := n.parent:
+            up.text, up.linked, up.longest, up.mains = up.text + n.text, up.linked + n.linked, max(up.longest, n.longest), up.mains + n.mains
+    for n in nodes:
+        n.settle(root.text, root.mains, w)
     return out
 
 
