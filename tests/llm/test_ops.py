@@ -488,6 +488,97 @@ def test_quality_removes_failed_lines(spark):
     assert {r.doc_id: r.left for r in quality.quality(docs, clean_col="left").collect()}[3] is None
 
 
+GOOD_LINES = """Copyright law protects authors of original works.
+Cookie dough is best eaten raw.
+Terms of Endearment won five prizes.
+Sign in the window said closed.
+• Milk and eggs
+- bread
+Hello!
+It costs $5 and $6.
+Stop! Who goes there?
+Share this with nobody, she whispered to the wind that night.
+Subscribers were few in those days.
+Follow the river to the sea.
+Registers of the parish were lost in the fire.
+Privacy is a right that few defended.
+News travels fast in small towns.
+Home is where the heart is.
+Login shells read another file first.
+Read more books than you think you need.
+He asked for help and more time.
+The share of a & b was 40% of it all.""".split("\n")
+BAD_LINES = """© 2021 Example
+(c) 2019 Jane Doe
+Copyright 2020 The Authors
+Copyright (c) the authors
+All rights reserved.
+Released under the MIT License.
+Terms of Use
+Privacy Policy
+We use cookies to improve your visit.
+Cookie settings
+Subscribe to our newsletter
+Sign in
+Log in to comment
+Sign up now!
+Share on Facebook
+Share this post
+Follow us on Twitter
+Click here to go on
+Skip to main content
+Please enable JavaScript to view this page.
+Read more
+Back to top
+Home Products About Contact
+Previous Next
+Home | News | Sport
+WOW!!! BUY!!! NOW!!!
+### $$$ %%%""".split("\n")
+
+
+def test_quality_of_good_and_bad_lines():
+    assert [x for x in GOOD_LINES if quality.line_fault(x, quality.Rules())] == []
+    assert [x for x in BAD_LINES if not quality.line_fault(x, quality.Rules())] == []
+
+
+def test_quality_keeps_the_good_and_rejects_the_bad(spark):
+    """Labelled documents of sf0.1, and the share of their lines that is removed from the good ones."""
+    data = "/root/testdata/sf0.1"
+    label = {r.doc_id: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    got = [r for r in QUERIES["op7_quality_rules"](spark, data).collect() if r.doc_id in label and not r.base_failed]
+    good, bad = ([r.kept for r in got if label[r.doc_id] == q] for q in (1, 0))
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad), (sum(good), len(good), sum(bad), len(bad))
+    lines = [x for r in spark.read.parquet(f"{data}/documents.parquet").collect() if label.get(r.doc_id) == 1 for x in r.text.split("\n") if x]
+    gone = [x for x in lines if quality.line_fault(x, quality.Rules()) not in (None, "boilerplate")]
+    assert len(gone) <= 0.01 * len(lines)
+
+
+def test_sharding_of_the_farthest_ids(spark):
+    far = [(1 << 63) - 1, -(1 << 63), 0, 5, (1 << 62), -(1 << 62), None]
+    for ids in (far, far[:1], far[:2], [k * (1 << 59) - (1 << 62) for k in range(12)]):
+        rows = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+        got = sharding.shard(rows, 3).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i in ids)
+        assert all(0 <= r.shard < 3 for r in got) and [(a.doc_id, b.doc_id) for a in got for b in got if None not in (a.doc_id, b.doc_id) and a.doc_id < b.doc_id and a.shard > b.shard] == []
+
+
+def test_tables_of_another_thread_stay(spark):
+    import threading
+
+    from vellum.llm.shared import discard, made_so_far
+
+    since, other = made_so_far(), []
+    t = threading.Thread(target=lambda: other.append(written(spark.range(3), "other")))
+    t.start()
+    t.join()
+    own = written(spark.range(4), "own")
+    discard(spark, since)
+    assert other[0].count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|FileNotFound"):
+        spark.read.parquet(own.inputFiles()[0]).count()
+
+
 def least_capacity(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:

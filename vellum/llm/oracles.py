@@ -91,7 +91,8 @@ CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
 def rules(docs: str, columns: str = "doc_id") -> str:
     """WITH parts over docs that end in judged: the columns, the counts and verdict of the quality rules, and clean (the text without failed lines)."""
     own = quality.Rules()
-    boiler = quality.BOILERPLATE.pattern.replace("'", "''")
+    boiler, menu = (p.pattern.replace("'", "''") for p in (quality.BOILERPLATE, quality.MENU))
+    bare = f"regexp_extract(q_line, {TOKEN[:-2]}(.*{TOKEN[1:-2]})?', 0, 's')"
     size = lambda c: f"list_sum(list_transform(regexp_extract_all({c}, {TOKEN}), lambda x: length(x)))"
     marks = f"[{', '.join(repr(s) for s in sorted(quality.SEPARATORS))}]"
     real = lambda x: f"CAST({x} AS DOUBLE)"
@@ -99,10 +100,10 @@ def rules(docs: str, columns: str = "doc_id") -> str:
 q_docs AS MATERIALIZED (SELECT row_number() OVER () AS q_r, *, regexp_extract_all(coalesce(text, ''), {WORD}) AS q_w FROM {docs}),
 q_lines AS MATERIALIZED (SELECT q_r, q_k, q_line, regexp_extract_all(q_line, {TOKEN}) AS q_t FROM (SELECT q_r, unnest(string_split(text, chr(10))) AS q_line, generate_subscripts(string_split(text, chr(10)), 1) AS q_k FROM q_docs WHERE text <> '')),
 q_good AS (SELECT q_r, q_k, q_line FROM q_lines WHERE NOT (
-    regexp_matches(regexp_extract(q_line, {TOKEN[:-2]}(.*{TOKEN[1:-2]})?', 0, 's'), '{boiler}', 'i')
-    OR (regexp_matches(q_line, '[|»›•·]') AND len(list_filter(q_t, lambda x: list_contains({marks}, x))) > {real(own.max_separators)} * len(q_t))
-    OR length(regexp_replace(q_line, '[^#*$%&|<>]', '', 'g')) > {real(own.max_symbols)} * len(q_t)
-    OR length(regexp_replace(q_line, '[^!]', '', 'g')) > {real(own.max_shouts)} * len(q_t)
+    regexp_matches({bare}, '{boiler}', 'i') OR (length({bare}) < 200 AND regexp_matches({bare}, '{menu}', 'i'))
+    OR (regexp_matches(q_line, '[|»›•·]') AND len(list_filter(q_t[2:], lambda x: list_contains({marks}, x))) > {real(own.max_separators)} * len(q_t))
+    OR length(regexp_replace(q_line, '[^#*$%&|<>]', '', 'g')) > greatest({own.few}, {real(own.max_symbols)} * len(q_t))
+    OR length(regexp_replace(q_line, '[^!]', '', 'g')) > greatest({own.few}, {real(own.max_shouts)} * len(q_t))
     OR (len(q_t) >= {own.same_words} AND list_max(list_transform(list_distinct(q_t), lambda x: len(list_filter(q_t, lambda y: y = x)))) > {real(own.max_same)} * len(q_t)))),
 q_clean AS (SELECT q_r, string_agg(q_line, chr(10) ORDER BY q_k) AS clean FROM q_good GROUP BY q_r),
 q_dups AS (SELECT q_r, count(*) - count(DISTINCT q_line) AS n FROM q_lines WHERE regexp_matches(q_line, {WORD}) GROUP BY q_r),

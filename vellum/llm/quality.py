@@ -2,7 +2,7 @@
 
 quality() gives counts of the text as it came and the verdict, and on demand the text without its failed lines;
 filter_quality() gives the documents that pass with that text.
-Cases: a null or empty text has no words and is rejected by the base rule; ids aren't looked at and may be null or repeated;
+Cases: an empty table gives no rows; a null or empty text has no words and is rejected by the base rule; ids aren't looked at and may be null or repeated;
 extra columns are ignored by quality() and pass unchanged, whatever their names, through filter_quality(); repeated rows get
 one result each; no rule depends on other rows.
 """
@@ -30,6 +30,8 @@ class Rules:
     #: A line fails when its symbols make more than this share of its words, or its exclamation marks do.
     max_symbols: float = 0.3
     max_shouts: float = 0.5
+    #: So many of either are no fault in the shortest line.
+    few: int = 2
     #: A line with this many words or more fails when one word makes more than this share of it.
     same_words: int = 8
     max_same: float = 0.4
@@ -41,23 +43,36 @@ class Rules:
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SEPARATORS = frozenset(["|", "»", "›", "•", "·", "/", ">", "::", "-", "→"])
+#: A whole line that is a notice: what follows its opening must be what follows it in notices, as the same words open sentences too.
 BOILERPLATE = re.compile(
-    r"^(©|(all rights reserved|copyright|licensed under|released under|this work is licensed|terms (of|and)|privacy policy"
-    r"|cookie|subscribe|sign (in|up)|log ?in|share (this|on)|follow us|click here|skip to|please enable javascript)\b).{0,120}$",
+    r"^(©.{0,120}|\(c\) ?[0-9]{4}.{0,120}|copyright(( ?©| \(c\)| [0-9]{4}|:).{0,110}|[.]?)|all rights reserved\b.{0,80}|(licensed|released) under (the|a|an|cc|mit|gpl|apache|bsd|creative commons)\b.{0,110}"
+    r"|this work is licensed\b.{0,110}|terms (of (use|service)|and conditions)( (apply|and|of|for|[|/-]) ?.{0,80})?[.]?|privacy (policy|notice)( (and|of|for|[|/-]) ?.{0,80})?[.]?"
+    r"|(we use cookies|(this|our) (web)?site uses cookies|accept (all )?cookies|cookie (policy|settings|preferences|notice|consent))\b.{0,120}"
+    r"|subscribe( (now|today|here|to|for) ?.{0,80})?[.!]*|(sign ?(in|up|out)|log ?(in|out)|register)( (now|here|today|to|for|with|or|and|/) ?.{0,60})?[.!]*"
+    r"|share (this|on) ?(page|post|article|story|link|facebook|twitter|x|linkedin|email|whatsapp)?( (on|with|via) .{0,40})?[.!:]*|follow us\b.{0,80}|click here\b.{0,100}"
+    r"|skip to (main |the )?(content|navigation|main|search|footer)[.]?|please enable javascript\b.{0,100}"
+    r"|(read|load|show|see|view|learn) (more|all)[.…»›>]*|continue reading[.…»›>]*|back to top|(next|previous) (page|post|article)[.…»›>]*)$",
     re.I,
 )
+_MENU = "home|products?|services?|about( us)?|contacts?( us)?|blog|news|sports?|login|log in|search|menu|shop|store|cart|help|faq|previous|next|more|top|archives?|events?|careers?|support|privacy|terms|sitemap|press|team|pricing|account|gallery|downloads?"
+#: A whole line of names that menus have, two or more.
+MENU = re.compile(rf"^({_MENU})([ ,/-]+({_MENU}))+$", re.I)
 
 
 def line_fault(line: str, rules: Rules) -> str | None:
     """The first rule that a line fails: boilerplate, navigation, punctuation or repetition; None for a good line."""
-    if BOILERPLATE.match(line.strip()):
+    bare = line.strip()
+    if BOILERPLATE.match(bare):
         return "boilerplate"
     tokens = line.split()
     n = len(tokens)
     if "|" in line or "»" in line or "›" in line or "•" in line or "·" in line:
-        if sum(t in SEPARATORS for t in tokens) > rules.max_separators * n:
+        if sum(t in SEPARATORS for t in tokens[1:]) > rules.max_separators * n:  # the first one may be a bullet
             return "navigation"
-    if len(SYMBOLS.findall(line)) > rules.max_symbols * n or line.count("!") > rules.max_shouts * n:
+    if len(bare) < 200 and MENU.match(bare):
+        return "navigation"
+    symbols, shouts = len(SYMBOLS.findall(line)), line.count("!")
+    if symbols > max(rules.few, rules.max_symbols * n) or shouts > max(rules.few, rules.max_shouts * n):
         return "punctuation"
     if n >= rules.same_words and len(set(tokens)) < n * (1 - rules.max_same) + 1:
         counts: dict[str, int] = {}

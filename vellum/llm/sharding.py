@@ -156,16 +156,17 @@ def cut_points(groups: DataFrame, shards: int, bins: int = BINS) -> list[int]:
 def _totals(groups: DataFrame, ranges: list[tuple[int, int]], bins: int) -> list[Run]:
     """The runs of about bins equal parts of the ranges of ids, which stand in order."""
     each = max(2, bins // len(ranges))
-    begin, end = (np.array([r[k] for r in ranges], np.int64) for k in (0, 1))
-    width = np.array([max(1, -(-(b - a) // each)) for a, b in ranges], np.int64)
+    begin, last = np.array([a for a, _ in ranges], np.int64), np.array([b - 1 for _, b in ranges], np.int64)
+    width = np.array([max(1, -(-(b - a) // each)) for a, b in ranges], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i, size = (batch.column(k).to_numpy() for k in (0, 1))
             k = np.searchsorted(begin, i, "right") - 1
-            inside = (k >= 0) & (i < end[k])
+            inside = (k >= 0) & (i <= last[k])
             i, size, k = i[inside], size[inside], k[inside]
-            part = begin[k] + (i - begin[k]) // width[k] * width[k]
+            low, w = begin[k].astype(np.uint64), width[k]  # unsigned, as ids may be further apart than 2^63
+            part = (low + (i.astype(np.uint64) - low) // w * w).astype(np.int64)
             order = np.argsort(part, kind="stable")
             i, size, part = i[order], size[order], part[order]
             at = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
@@ -204,7 +205,7 @@ def shard(docs: DataFrame, shards: int = 8, text_col: str = "text", id_col: str
     groups = written(groups, "shard-groups")
     cuts = cut_points(groups.select("first_id", "size"), shards)
     of = F.lit(0)
-    for c in cuts:
+    for c in (c for c in cuts if c < 1 << 63):  # no id is beyond
         of = of + F.when(F.col("first_id") >= F.lit(c), 1).otherwise(0)
     placed = spread(rows, groups.select("key", of.alias("shard")), ["key"], F.struct("doc_id"), groups.select("key", "k")).select("doc_id", "size", "text_crc32", "shard")
     # Slots: rows of a shard are dealt into bins by a hash of their id, numbered in each bin, and the bins stand one after the other.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,14 @@ from pyspark.sql import functions as F
 KEY_ROWS, HOT_KEYS = 1_000, 50_000
 
 _own_dir: dict[str, str] = {}
-_made: list[str] = []
+#: The tables that a thread has written: what runs in another one is never its to remove.
+_of_thread = threading.local()
+
+
+def _made() -> list[str]:
+    if not hasattr(_of_thread, "made"):
+        _of_thread.made = []
+    return _of_thread.made
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,24 +45,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made().append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def made_so_far() -> int:
-    """How many tables written() has made, for discard()."""
-    return len(_made)
+    """How many tables written() has made in this thread, for discard()."""
+    return len(_made())
 
 
 def discard(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Remove the tables that written() has made since then, but for those that keep reads. What was computed from them must be written or done with."""
+    """Remove the tables that written() has made in this thread since then, but for those that keep reads. What was computed from them must be written or done with."""
     read = {f.rsplit("/", 1)[0] for df in keep for f in df.inputFiles()}
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in [p for p in _made[since:] if not any(r.endswith(p.rsplit("/", 1)[1]) for r in read)]:
+    for path in [p for p in _made()[since:] if not any(r.endswith(p.rsplit("/", 1)[1]) for r in read)]:
         folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(conf).delete(folder, True)
-        _made.remove(path)
+        _made().remove(path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
