@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm import kernel as K
-from vellum.llm.shared import spread, written
+from vellum.llm.shared import discard, made_so_far, spread, written
 
 WORDS = 5
 #: Similarity in per cent; the prefix and skip lengths below are those of 75.
@@ -170,7 +170,7 @@ def _prefixes(block: pa.Table) -> pa.Table:
 
 def _buckets(shingles: int) -> int:
     """Number of buckets, a power of two, for so many shingles."""
-    return max(1 << 10, 1 << max(0, shingles // BUCKET).bit_length())
+    return max(1 << 7, 1 << max(0, shingles // BUCKET).bit_length())
 
 
 def _indexed(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], limit: np.uint64 | None, shingles: int) -> DataFrame:
@@ -255,11 +255,18 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(100 * same >= LIMIT * (F.col("n_a") + F.col("n_b") - same)).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """v, comp (the smallest vertex that v reaches) for each vertex of links (a, b): labels move along links, then jump to their own labels, until none changes."""
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """v, comp (the smallest vertex that v reaches) for each vertex of links (a, b): labels move along links, then jump to their own labels, until none changes.
+
+    known: what this gave for a part of the links; labels begin with it."""
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     degrees = _counts(both, ["b"])
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("comp")), "labels")
+    labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("comp"))
+    if known is not None:
+        labels = labels.join(known.select("v", F.col("comp").alias("was")), "v", "left").select("v", F.least("comp", "was").alias("comp"))
+    labels = written(labels, "labels")
+    if labels.isEmpty():
+        return labels
     while True:
         near = spread(both, labels.select(F.col("v").alias("b"), "comp"), ["b"], F.col("a"), degrees).groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("m"))
         moved = written(labels.join(near, "v").select("v", F.col("comp").alias("was"), F.least("comp", "m").alias("to")), "labels-moved")
@@ -300,42 +307,32 @@ def _open(posts: DataFrame, comp: DataFrame) -> DataFrame:
     return spread(known, main.select("h", "main"), ["h"], F.col("sig"), main).withColumn("in_main", F.col("comp") == F.col("main")).drop("main")
 
 
-def _answers(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """For docs (doc_id, text, text_hash): rows (doc_id, text_hash, n_shingles, sig), and for each sig the first row of its
-    component: sig, least (doc_id and text_hash; rows without a doc_id come last)."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = _indexed(docs.select("doc_id", "text_hash", "text"), lambda batch: K.shingle_sets(*K.buffers(batch.column(2)), words), LOW, size // WORD_BYTES * 3 // 8)
-    found = written(found, "jaccard-index")
-    rows = found.where(F.col("h").isNull()).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "sig")
-    posts = written(found.where(F.col("h").isNotNull()).select("h", "sig").distinct(), "jaccard-posts")
-    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    reps = written(rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min(own).alias("rep"), F.count("*").alias("k")), "jaccard-reps")
-
-    # The sets still in, ordered anew among themselves by all of their shingles.
-    wanted = _listed(posts).select("sig").distinct().join(reps, "sig").select("rep.doc_id", "rep.text_hash", "sig")
-    sets = written(_sets(docs, wanted, words), "jaccard-sets")
-    none = F.lit(None).cast("long")
-    again = _indexed(sets.select(none.alias("doc_id"), none.alias("text_hash"), "set"), _from_set_column, None, sets.agg(F.sum("n")).first()[0] or 0)
-    posts = written(again.where(F.col("h").isNotNull()).select("h", "sig", "n", "pos"), "jaccard-posts")
-    posts = written(_listed(posts).withColumn("block", _size_block(F.col("n"))), "jaccard-lists")
-
+def _compared(posts: DataFrame, sets: DataFrame) -> DataFrame:
+    """components() of the linked sets. posts: lists (h) with sig, n, pos, block. Steps that find nothing to do are left out."""
     # First answers: each block's head against the others of the block.
     least = lambda rows: F.min(F.when(rows, F.struct("pos", "sig", "n")))
     heads = posts.groupBy("h", "block").agg(F.array(least(F.lit(True))).alias("heads"), F.count("*").alias("k"))
     done = written(_with_head(posts, heads, ["h", "block"]), "jaccard-pairs")
     links = written(_links(done, sets), "jaccard-links")
+    comp = components(links)
 
     # Then in lists with several components, the heads of the largest and of the others against the others.
-    open_ = written(_open(posts, components(links)), "jaccard-open")
+    open_ = written(_open(posts, comp), "jaccard-open")
+    if open_.isEmpty():
+        return comp
     minor = ~F.col("in_main")
     heads = open_.groupBy("h").agg(F.array_compact(F.array(least(F.col("in_main")), least(minor))).alias("heads"), F.count_if(minor).alias("k"))
     pairs = written(_with_head(open_.where(minor), heads, ["h"]).join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
-    links = written(links.union(_links(pairs, sets)), "jaccard-links")
+    more = written(_links(pairs, sets), "jaccard-links")
     done = done.union(pairs)
+    if not more.isEmpty():
+        links = links.union(more)
+        comp = components(links, comp)
+        open_ = written(_open(posts, comp), "jaccard-open")
+        if open_.isEmpty():
+            return comp
 
     # Then what is left open: sets of one list with different components, those outside its largest component against all.
-    comp = components(links)
-    open_ = written(_open(posts, comp), "jaccard-open")
     met = open_.withColumn("side", F.explode(_blocks_met(F.col("n"), F.col("pos"), F.col("block"))))
     # Each of the two sets must be able to meet the other's block.
     x = met.where(minor).select("h", F.col("block").alias("one"), F.col("side").alias("two"), F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("comp").alias("c_a"))
@@ -344,13 +341,35 @@ def _answers(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     cell = ["h", "one", "two"]
     rest = written(_pairs(spread(y, x, cell, F.col("b"), _counts(y, cell)).where(meet)).join(done, ["a", "b"], "left_anti"), "jaccard-rest")
     more = written(_links(rest, sets), "jaccard-links")
-    if not more.isEmpty():
-        comp = components(links.union(more))
+    return comp if more.isEmpty() else components(links.union(more), comp)
+
+
+def _answers(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """For docs (doc_id, text, text_hash): rows (doc_id, text_hash, n_shingles, sig), and for each sig the first row of its
+    component: sig, least (doc_id and text_hash; rows without a doc_id come last)."""
+    since = made_so_far()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = _indexed(docs.select("doc_id", "text_hash", "text"), lambda batch: K.shingle_sets(*K.buffers(batch.column(2)), words), LOW, size // WORD_BYTES * 3 // 8)
+    found = written(found, "jaccard-index")
+    rows = found.where(F.col("h").isNull()).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "sig")
+    posts = written(found.where(F.col("h").isNotNull()).select("h", "sig").distinct(), "jaccard-posts")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    reps = written(rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min(own).alias("rep"), F.count("*").alias("k")), "jaccard-reps")
+
+    # The sets still in, ordered anew among themselves by all of their shingles.
+    wanted = _listed(posts).select("sig").distinct().join(reps, "sig").select("rep.doc_id", "rep.text_hash", "sig")
+    sets = written(_sets(docs, wanted, words), "jaccard-sets")
+    none = F.lit(None).cast("long")
+    again = _indexed(sets.select(none.alias("doc_id"), none.alias("text_hash"), "set"), _from_set_column, None, sets.agg(F.sum("n")).first()[0] or 0)
+    posts = written(again.where(F.col("h").isNotNull()).select("h", "sig", "n", "pos"), "jaccard-posts")
+    posts = written(_listed(posts).withColumn("block", _size_block(F.col("n"))), "jaccard-lists")
 
+    comp = _compared(posts, sets)
     of = written(comp.select(F.col("v").alias("sig"), "comp").join(reps, "sig"), "jaccard-of")
     first = of.groupBy("comp").agg(F.min("rep").alias("least"))
     linked = spread(of.drop("k"), first, ["comp"], F.col("sig"), _counts(of, ["comp"])).select("sig", "least")
     answer = written(reps.join(linked, "sig", "left").select("sig", F.coalesce("least", "rep").alias("least"), "k"), "jaccard-answers")
+    discard(docs.sparkSession, since, keep=(rows, answer))
     return rows, answer
 
 
