@@ -19,11 +19,13 @@ def _minutes(n: Column) -> Column:
     return F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH)) + 60 * n)
 
 
-def blog_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as posts. Those without a label have a null published, so three-valued logic is real."""
+def blog_posts(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    """Documents as posts. Those without a label have a null published, so three-valued logic is real. Without labelled, published is null
+    and no text is shuffled to meet the labels."""
     d, q = raw(spark, sf_dir, "documents"), raw(spark, sf_dir, "labels").select("doc_id", "quality")
     title = F.substring("text", 1, 60)
-    return d.join(q, "doc_id", "left").select(
+    joined = d.join(q, "doc_id", "left") if labelled else d.withColumn("quality", F.lit(None).cast("int"))
+    return joined.select(
         F.col("doc_id").cast("string").alias("id"),
         title.alias("title"),
         F.concat(slugify(title), F.lit("-"), F.col("doc_id")).alias("slug"),
