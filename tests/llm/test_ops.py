@@ -3,17 +3,19 @@
 import collections
 import hashlib
 import html
+import math
 import random
 import re
 import textwrap
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, html_extract, jaccard, licenses, mixing, quality, secrets, sharding, tokens, toxicity
+from vellum.llm import decontaminate, html_extract, jaccard, licenses, mixing, oracles, quality, secrets, sharding, tokens, toxicity
 from vellum.llm.queries import QUERIES
 from vellum.llm.shared import written
 
@@ -414,6 +416,40 @@ def test_toxicity(spark, odd, empty):
     assert {r.score for r in toxicity.toxicity(odd, labels.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_toxicity_on_more_documents(spark):
+    """Held-out rows of sf0.1: what is marked and found, and the share of toxic and other pairs in the right order."""
+    data = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "toxic")
+    held = [(r.score, r.predicted, r.toxic) for r in QUERIES["op5_toxicity"](spark, data).where("held_out").join(labels, "doc_id").collect()]
+    hits = sum(p for _, p, t in held if t)
+    assert hits >= 0.85 * sum(t for _, _, t in held) and hits >= 0.85 * sum(p for _, p, _ in held)
+    toxic, clean = np.array([x for x, _, t in held if t]), np.array([x for x, _, t in held if not t])
+    assert ((toxic[:, None] > clean[None, :]).mean() + (toxic[:, None] == clean[None, :]).mean() / 2) >= 0.95
+
+
+@pytest.mark.parametrize("prior", [0.02, 0.3, 0.9])
+def test_risk_and_its_gradient(prior):
+    """The risk written out for each row, and its slopes by small differences; where the corrected part is negative, those of that part downwards."""
+    rnd = np.random.default_rng(4)
+    sides = set()
+    for _ in range(50):
+        z, positive = rnd.normal(rnd.normal(0, 2), 1.5, 12), np.arange(12) < 5
+
+        def parts(z):
+            plus, minus = [math.log(1 + math.exp(-x)) for x in z], [math.log(1 + math.exp(x)) for x in z]  # noqa: B023
+            mean = lambda v, of: sum(x for x, p in zip(v, positive, strict=True) if p == of) / sum(p == of for p in positive)  # noqa: B023, E731
+            return prior * mean(plus, True), mean(minus, False) - prior * mean(minus, True)
+
+        first, rest = parts(z)
+        risk, slopes = toxicity.nn_risk(z, positive, prior)
+        assert risk == pytest.approx(first + max(0, rest))
+        sides.add(rest >= 0)
+        goal = (lambda z: sum(parts(z))) if rest >= 0 else (lambda z: -parts(z)[1])  # noqa: B023
+        near = [(goal(z + 1e-5 * e) - goal(z - 1e-5 * e)) / 2e-5 for e in np.eye(12)]
+        assert slopes == pytest.approx(near, abs=1e-6)
+    assert sides == {True, False} or prior < 0.1
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -721,11 +757,50 @@ def test_added_spans_have_recall_and_precision(spark):
     word = lambda: draw(low, rnd.randint(2, 8))
     secret = [lambda: "ghp_" + draw(digits + low + up, 36), lambda: draw(digits + low + up + "+/", 40), lambda: draw(low + up, 32), lambda: draw("0123456789ABCDEF", 32), lambda: "sk-" + draw(digits + low + up, 48)]
     plain = [lambda: "/".join(word() for _ in range(6)), lambda: "".join(word().capitalize() for _ in range(5)), lambda: "_".join(word().upper() for _ in range(5)), lambda: draw(digits, 24), lambda: "-" * 40, lambda: "https/" + word() * 3 + "/2024/05/17/" + word(), lambda: (word() + "-") * 5 + "2024"]
+    name = lambda: draw(low, rnd.randint(3, 8)).capitalize()
+    plain += [lambda: "get" + "".join(name() for _ in range(5)) + draw(digits, 1), lambda: "org/apache/" + name().lower() + "3/" + "".join(name() + draw(digits, 1) for _ in range(3))]
+    plain += [lambda: f"1038/s{draw(digits, 5)}-{draw(digits, 3)}-{draw(digits, 4)}-2/full", lambda: "data:image/png;base64," + draw(digits + low + up + "+/", 60) + "=="]
     rows = [("secret", rnd.choice(secret)()) for _ in range(300)] + [("plain", rnd.choice(plain)()) for _ in range(300)]
     docs = spark.createDataFrame([(k, f"The value {v} stands here.") for k, (_, v) in enumerate(rows)], "doc_id long, text string")
     found = {r.doc_id for r in secrets.spans(docs).where(F.exists("spans", lambda s: s.kind >= 3)).collect()}  # a long number is one of the base kinds
     hits = sum(rows[k][0] == "secret" for k in found)
     assert hits >= 0.9 * 300 and hits >= 0.9 * len(found)
+    assert spans_by_sql(rows, lambda v: f"The value {v} stands here.") == [r.spans for r in secrets.spans(docs).select("doc_id", secrets.written_as("spans").alias("spans")).orderBy("doc_id").collect()]
+
+
+def spans_by_sql(rows, text):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE docs (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO docs VALUES (?, ?)", [(k, text(v)) for k, (_, v) in enumerate(rows)])
+    kind = f"{secrets.KINDS!r}[kind + 1]"
+    shown = f"string_agg({kind} || ':' || CAST(start AS BIGINT) || ':' || CAST(end_ AS BIGINT), ',' ORDER BY start, kind)"
+    return [x for _, x in con.execute(f"WITH {oracles.secret_spans('docs')} SELECT doc_id, coalesce({shown}, '') FROM x_docs LEFT JOIN x_spans USING (r) GROUP BY doc_id ORDER BY doc_id").fetchall()]
+
+
+@pytest.mark.parametrize("text", ["getElementsByClassNameAndTagName1", "org/apache/commons/lang3/StringUtils2Test4Helper9", "https://doi.org/10.1038/s41586-020-2649-2", "src='data:image/png;base64,iVBORw0KGgoAAAANSUhEUgAAAAUAAAAFCAYAAACNbyblAAAAHElEQVQI12P4'"])
+def test_code_names_and_inline_bytes_are_no_secrets(spark, text):
+    assert secrets.spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans == []
+
+
+def test_entropy_windows_match_counts_made_anew(spark):
+    """Strings of few and many letters, of both hex classes and with masked parts, against the entropy of each window on its own."""
+    rnd = random.Random(12)
+    values = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 70))) for letters in ("abcdef0123456789", "ABCDEF0123456789", "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", "abcdefghijklmnopqrstuv~", "aB1") for _ in range(40)]
+    got = [r.w for r in spark.createDataFrame(list(enumerate(values)), "k long, v string").orderBy("k").select(secrets.entropy_spans(F.col("v")).alias("w")).collect()]
+    for v, w in zip(values, got, strict=True):
+        want = []
+        for p in range(len(v) - secrets.WINDOW + 1):
+            x = v[p : p + secrets.WINDOW]
+            bits = -sum(c / len(x) * math.log2(c / len(x)) for c in collections.Counter(x).values())
+            is_hex = re.fullmatch("[0-9a-f]+|[0-9A-F]+", x)
+            least = secrets.BASE64_BITS if not is_hex else secrets.HEX_BITS if re.search("[0-9]", x) and re.search("[a-fA-F]", x) else 99
+            if "~" in x or bits < least:
+                continue
+            if want and want[-1][1] >= p:
+                want[-1][1] = p + secrets.WINDOW
+            else:
+                want.append([p, p + secrets.WINDOW])
+        assert [list(r) for r in w] == want, v
 
 
 CLASHES = "kept n_words hit items copies copy spans row sig h k score predicted law shard slot slots size taken takes target text_hash place words _row _text part base n block key bin _own _slot url2".split()

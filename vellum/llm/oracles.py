@@ -146,10 +146,10 @@ sharded AS MATERIALIZED (SELECT doc_id, size, text_crc32, shard, row_number() OV
 
 
 def _span_rows(kind: int, pattern: str, group: int) -> str:
-    """Rows r, kind, start, value, part of a pattern's matches in x_docs."""
+    """Rows r, kind, start, value, part and before (what lies between it and the match before) of a pattern's matches in x_docs."""
     quoted = pattern.replace("'", "''")
-    return f"""SELECT r, {kind} AS kind, value, part, gap_sum + value_sum AS start FROM (
-    SELECT r, unnest(m) AS value, unnest(g) AS part, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(s[1 : i], lambda x: length(x))))) AS gap_sum,
+    return f"""SELECT r, {kind} AS kind, value, part, before, gap_sum + value_sum AS start FROM (
+    SELECT r, unnest(m) AS value, unnest(g) AS part, unnest(s[1 : len(m)]) AS before, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(s[1 : i], lambda x: length(x))))) AS gap_sum,
       unnest(list_transform(range(1, len(m) + 1), lambda i: coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0))) AS value_sum
     FROM (SELECT r, regexp_extract_all(text, '{quoted}') AS m, regexp_extract_all(text, '{quoted}', {group}) AS g, string_split_regex(text, '{quoted}') AS s FROM x_docs WHERE regexp_matches(text, '{quoted}')))"""
 
@@ -164,13 +164,14 @@ def secret_spans(docs: str) -> str:
     pieces = f"list_zip(string_split_regex(v, '{part}'), list_append(list_transform(regexp_extract_all(v, '{part}'), lambda x: CASE WHEN regexp_matches(x, '{holder}') THEN repeat('~', length(x)) ELSE x END), ''))"
     #: Places of one small letter between two capitals.
     odd = "len(list_filter(range(1, length(value) - 1), lambda i: regexp_matches(substr(value, i, 3), '^[A-Z][a-z][A-Z]$')))"
-    word, number = "[A-Za-z]+", "[0-9]{1,4}"
+    word, number = "[A-Za-z]+", "[A-Za-z]{0,2}[0-9]{1,8}"
+    words = "regexp_replace(value, '([a-z][a-z][a-z])[0-9][0-9]?[0-9]?([^0-9a-z]|$)', '\\1\\2', 'g')"
     bits = f"CASE WHEN NOT regexp_matches(x, '^([0-9a-f]+|[0-9A-F]+)$') THEN {secrets.BASE64_BITS} WHEN regexp_matches(x, '[0-9]') AND regexp_matches(x, '[a-fA-F]') THEN {secrets.HEX_BITS} ELSE 99 END"
     entropy = f"log2({float(w)}) - list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: (length(x) - length(replace(x, c, ''))) * log2(length(x) - length(replace(x, c, ''))))) / {float(w)}"
     return f"""
 x_docs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, coalesce(text, '') AS text FROM {docs}),
 x_base AS MATERIALIZED (SELECT r, kind, start, start + length(value) AS end_ FROM ({_span_rows(0, secrets.ASSIGN.replace('(?i:', '((?i)'), 2)} UNION ALL {_span_rows(1, secrets.ACCESS, 0)} UNION ALL {_span_rows(2, secrets.HEX, 0)}) WHERE length(part) >= CASE kind WHEN 0 THEN 6 WHEN 1 THEN 20 ELSE 24 END),
-x_strings AS MATERIALIZED (SELECT r, start, value, row_number() OVER () AS id FROM ({_span_rows(3, secrets.CANDIDATE, 0)}) WHERE NOT (
+x_strings AS MATERIALIZED (SELECT r, start, whole AS value, row_number() OVER () AS id FROM (SELECT r, start, value AS whole, {words} AS value FROM ({_span_rows(3, secrets.CANDIDATE, 0)}) WHERE NOT ends_with(before, ';base64,')) WHERE NOT (
     regexp_matches(value, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$') OR regexp_matches(value, '^[^A-Za-z]*$')
     OR (({odd} < 2 OR NOT regexp_matches(value, '[A-Z][A-Z]')) AND (regexp_matches(value, '^[^0-9]*$') OR regexp_matches(value, '^({word}|{number})([-_/=+]({word}|{number}))+$'))))),
 x_open AS MATERIALIZED (SELECT r, start, value, id, CASE WHEN regexp_matches(v, '{holder}') THEN array_to_string(list_transform({pieces}, lambda x: x[1] || x[2]), '') ELSE v END AS v FROM (SELECT *, {masked_hex} AS v FROM x_strings)),

@@ -1,10 +1,12 @@
 """Secret scans with DataFrame functions only.
 
 Base kinds are regular expressions. The method adds strings whose characters look drawn at random: over each candidate
-string a window slides, per-character counts and the sum of c*log2(c) are kept up as a character enters and one leaves,
-and a window whose Shannon entropy reaches the threshold of its own characters' class is a find, unless an allow-list rule
-covers it: the rules for whole strings, or a placeholder word in the part between two marks that the window touches.
-Spans are in code points, end exclusive. Cases: a null or empty text has no spans; a text of any length is scanned whole;
+string a window slides, the sum of c*log2(c) over its characters is kept up by the counts of the one that enters and the one
+that leaves, and a window whose Shannon entropy reaches the threshold of its own characters' class is a find, unless an
+allow-list rule covers it: the rules for whole strings, what stands before the string, or a placeholder word in the part
+between two marks that the window touches.
+Spans are in code points, end exclusive. Cases: an empty table gives one; a null or empty text has no spans; of matches that
+start at one place the kind listed first comes first; a text of any length is scanned whole;
 ids aren't looked at and may be null or repeated; repeated rows get one result each; extra columns are ignored by spans() and
 pass unchanged, whatever their names, through redact().
 """
@@ -12,6 +14,7 @@ pass unchanged, whatever their names, through redact().
 from __future__ import annotations
 
 from functools import reduce
+from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,11 +25,13 @@ ACCESS = r"AKIA[A-Z0-9]+"
 #: Runs of fewer than 24 are dropped, and a run is one match, so the bound may stand in the pattern.
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: The same matches as ASSIGN and CANDIDATE, found in less time: most places are passed by one look.
+SCANNED = {ASSIGN: "(?=[apstAPST])" + ASSIGN, CANDIDATE: r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"}
 KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
 #: Characters in a window, and the least entropy in bits for each class.
 WINDOW, HEX_BITS, BASE64_BITS = 20, 2.9, 3.7
-#: The last stands for a character that no window may hold.
-ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-~"
+#: Stands for a character that no window may hold.
+MASK = "~"
 #: Names joined from words seldom have a single small letter between capitals, and then no capitals side by side; a string with
 #: two such places and such capitals isn't made of words.
 WORDY = r"^(?!(?=.*[A-Z]{2})(?:.*?[A-Z][a-z](?=[A-Z])){2})"
@@ -35,8 +40,12 @@ ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[^A-Za-z]*$",
     WORDY + r"[^0-9]*$",
-    WORDY + r"([A-Za-z]+|[0-9]{1,4})([-_/=+]([A-Za-z]+|[0-9]{1,4}))+$",
+    WORDY + r"([A-Za-z]{0,2}[0-9]{1,8}|[A-Za-z]+)([-_/=+]([A-Za-z]{0,2}[0-9]{1,8}|[A-Za-z]+))+$",
 ]
+#: A number at the end of a word, before a capital, a mark or nothing, belongs to the word.
+NUMBERED = r"([a-z]{3})[0-9]{1,3}([^0-9a-z]|$)"
+#: What stands right before bytes that a page or mail holds as text.
+INLINE = ";base64,"
 #: Allow-list for the parts of a string between marks: placeholders.
 PLACEHOLDER = r"(?i)example|placeholder|changeme|dummy|sample|x{6,}|0{8,}|1234567890|abcdefgh"
 PARTS = r"[=/_-]|[^=/_-]+"
@@ -46,57 +55,53 @@ HEX_PARTS = rf"{HEX}|(?:(?!{HEX}).)+"
 
 def _found(kind: int, text: Column, pattern: str) -> Column:
     """Matches of a pattern in order, each with the number of code points between it and the match before."""
+    pattern = SCANNED.get(pattern, pattern)
     m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    rows = F.transform(m, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.get(gaps, i).alias("gap"), x.alias("value")))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.struct(F.length(x).alias("n"), F.endswith(x, F.lit(INLINE)).alias("inline")))
+    rows = F.transform(m, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.get(gaps, i).n.alias("gap"), F.get(gaps, i).inline.alias("inline"), x.alias("value")))
     return F.when(F.size(m) > 0, rows)
 
 
 def _allowed(value: Column) -> Column:
-    return reduce(lambda a, b: a | b, [value.rlike(p) for p in ALLOWED])
-
-
-def _log(c: Column) -> Column:
-    return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    words = F.regexp_replace(value, F.lit(NUMBERED), F.lit("$1$2"))
+    return reduce(lambda a, b: a | b, [words.rlike(p) for p in ALLOWED])
 
 
 def _masked(value: Column, parts: str, pattern: str) -> Column:
     """value with the parts that have the pattern masked."""
-    each = F.transform(F.regexp_extract_all(value, F.lit(parts), F.lit(0)), lambda x: F.when(x.rlike(pattern), F.repeat(F.lit("~"), F.length(x))).otherwise(x))
+    each = F.transform(F.regexp_extract_all(value, F.lit(parts), F.lit(0)), lambda x: F.when(x.rlike(pattern), F.repeat(F.lit(MASK), F.length(x))).otherwise(x))
     return F.when(value.rlike(pattern), F.array_join(each, "")).otherwise(value)
 
 
 def entropy_spans(value: Column) -> Column:
     """First and last+1 places of the stretches of value covered by windows that reach their class's entropy, in order."""
-    made = F.transform(F.split(value, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
-    n_zero, none = F.lit(0), F.array().cast("array<struct<a:int,b:int>>")
-    # open, lower, upper: characters so far without a masked one, and of one hex class; letter, digit: the last place of each.
+    sums = [c * log2(c) if c else 0.0 for c in range(WINDOW + 1)]
+    # What the sum gains as a character comes to have c + 1 places in the window.
+    gains = F.lit([y - x for x, y in zip(sums, sums[1:], strict=False)])
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    # held: the window; open, lower, upper: characters so far without a masked one, and of one hex class; letter, digit: the last place of each.
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), n_zero.alias("open"), n_zero.alias("lower"), n_zero.alias("upper"), F.lit(-WINDOW).alias("letter"), F.lit(-WINDOW).alias("digit"), none.alias("w")
+        F.lit(0).alias("i"), F.lit("").alias("held"), F.lit(0.0).alias("s"), F.lit(0).alias("open"), F.lit(0).alias("lower"), F.lit(0).alias("upper"), F.lit(-WINDOW).alias("letter"), F.lit(-WINDOW).alias("digit"), none.alias("w")
     )
 
-    def step(codes: Column, st: Column, i: Column) -> Column:
-        new, old = F.get(codes, i), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(-1))
-        c_new = F.get(st.n, new)
-        c_old = F.when(old >= 0, F.get(st.n, old)).otherwise(F.lit(0))
-        grown = F.when(old == new, F.lit(0.0)).otherwise(_log(c_new + 1) - _log(c_new) + F.when(old >= 0, _log(c_old - 1) - _log(c_old)).otherwise(F.lit(0.0)))
-        s = st.s + grown
-        n = F.transform(st.n, lambda v, k: v + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
-        grows = lambda c, good: F.when(good, c + 1).otherwise(F.lit(0))
-        free = grows(st.open, new < len(ALPHABET) - 1)
-        lower, upper = grows(st.lower, new < 16), grows(st.upper, (new < 10) | ((new >= 36) & (new < 42)))
-        letter, digit = F.when(new >= 10, i).otherwise(st.letter), F.when(new < 10, i).otherwise(st.digit)
+    def step(st: Column, c: Column) -> Column:
+        i, full = st.i, F.length(st.held) >= WINDOW
+        old, rest = F.when(full, F.left(st.held, F.lit(1))), F.when(full, F.substring(st.held, 2, WINDOW)).otherwise(st.held)
+        among_rest = lambda x: F.length(rest) - F.length(F.replace(rest, x, F.lit("")))
+        s = st.s - F.when(full, F.get(gains, among_rest(old))).otherwise(F.lit(0.0)) + F.get(gains, among_rest(c))
+        grows = lambda n, good: F.when(good, n + 1).otherwise(F.lit(0))
+        is_digit = c.between("0", "9")
+        free, lower, upper = grows(st.open, c != MASK), grows(st.lower, is_digit | c.between("a", "f")), grows(st.upper, is_digit | c.between("A", "F"))
+        letter, digit = F.when(is_digit, st.letter).otherwise(i), F.when(is_digit, i).otherwise(st.digit)
         is_hex = F.greatest(lower, upper) >= WINDOW
         bits = F.when(~is_hex, F.lit(BASE64_BITS)).when(F.least(letter, digit) > i - WINDOW, F.lit(HEX_BITS)).otherwise(F.lit(99.0))
-        hit = (free >= WINDOW) & (F.log2(F.lit(float(WINDOW))) - s / WINDOW >= bits)
+        hit = (free >= WINDOW) & (log2(WINDOW) - s / WINDOW >= bits)
         last, first = F.get(st.w, F.size(st.w) - 1), i - WINDOW + 1
         joined = F.concat(F.slice(st.w, 1, F.size(st.w) - 1), F.array(F.struct(last.a.alias("a"), (i + 1).alias("b"))))
         w = F.when(~hit, st.w).when((F.size(st.w) > 0) & (last.b >= first), joined).otherwise(F.concat(st.w, F.array(F.struct(first.alias("a"), (i + 1).alias("b")))))
-        return F.struct(n.alias("n"), s.alias("s"), free.alias("open"), lower.alias("lower"), upper.alias("upper"), letter.alias("letter"), digit.alias("digit"), w.alias("w"))
+        return F.struct((i + 1).alias("i"), F.concat(rest, c).alias("held"), s.alias("s"), free.alias("open"), lower.alias("lower"), upper.alias("upper"), letter.alias("letter"), digit.alias("digit"), w.alias("w"))
 
-    # A one-element array binds the codes, so that they are made once and not at each step.
-    places = F.sequence(F.lit(0), F.length(value) - 1)
-    return F.get(F.transform(F.array(made), lambda codes: F.aggregate(places, zero, lambda st, i: step(codes, st, i), lambda st: st.w)), 0)
+    return F.aggregate(F.split(value, ""), zero, step, lambda st: st.w)
 
 
 def spans(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -111,7 +116,7 @@ def _spans(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     """kept (a struct of keep) and spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = [_found(k, text, p) for k, p in enumerate([ASSIGN, ACCESS, HEX, CANDIDATE])]
-    none = F.array().cast("array<struct<kind:int,i:int,gap:int,value:string>>")
+    none = F.array().cast("array<struct<kind:int,i:int,gap:int,inline:boolean,value:string>>")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*keep).alias("kept"), F.concat(*[F.coalesce(x, none) for x in every]).alias("found"))
     rows = rows.select("row", "kept", F.posexplode_outer("found").alias("at", "m"))
     rows = rows.select("row", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("kept")).alias("kept"), "m.*").repartition("row")  # what is kept travels once
@@ -119,7 +124,7 @@ def _spans(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(run).cast("int")).withColumn("start", F.col("end") - F.length("value"))
 
     open_value = _masked(_masked(F.col("value"), HEX_PARTS, HEX), PARTS, PLACEHOLDER)
-    random = F.when((F.col("kind") == 3) & ~_allowed(F.col("value")), entropy_spans(open_value))
+    random = F.when((F.col("kind") == 3) & ~F.col("inline") & ~_allowed(F.col("value")), entropy_spans(open_value))
     good = F.when(F.col("kind") == 0, F.length(F.regexp_extract("value", ASSIGN, 1)) >= 6).when(F.col("kind") == 1, F.length("value") >= 20).when(F.col("kind") == 2, F.lit(True)).otherwise(F.col("w.a").isNotNull())
     rows = rows.withColumn("ws", random)
     rows = rows.select("*", F.posexplode_outer("ws").alias("nth", "w")).withColumn("good", F.coalesce(good, F.lit(False)))

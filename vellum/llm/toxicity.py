@@ -94,27 +94,36 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
+def nn_risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of margins z with the logistic loss, and the step's slope for each margin.
+
+    Where the corrected part is negative, the slope is that of the part alone, turned round.
+    """
+    n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
+    s = 1 / (1 + np.exp(-z))  # d loss(-1) / dz; d loss(+1) / dz is s - 1
+    minus = np.log1p(np.exp(z))
+    rest = minus[~positive].mean() - prior * minus[positive].mean()
+    g = np.zeros(len(z))
+    if rest >= 0:
+        g[positive] = prior * (s[positive] - 1) / n_p - prior * s[positive] / n_p
+        g[~positive] = s[~positive] / n_u
+    else:
+        g[positive] = prior * s[positive] / n_p
+        g[~positive] = -s[~positive] / n_u
+    return prior * (minus[positive] - z[positive]).mean() + max(0.0, rest), g
+
+
 def fit_nnpu(edges, cols, vals, positive: np.ndarray, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Model:
     """Weights by Adam on the non-negative risk with the logistic loss."""
     n = len(positive)
     cols, vals, edges = _chosen(edges, cols, vals, positive)
     used, own = np.unique(cols, return_inverse=True)
     rows = np.repeat(np.arange(n), np.diff(edges))
-    n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
     w, b = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
         z = np.clip(_sums(edges, vals * w[own]) + b, -30, 30)
-        s = 1 / (1 + np.exp(-z))  # d loss(-1) / dz; d loss(+1) / dz is s - 1
-        minus = np.log1p(np.exp(z))
-        rest = minus[~positive].mean() - prior * minus[positive].mean()
-        g = np.zeros(n)
-        if rest >= 0:
-            g[positive] = prior * (s[positive] - 1) / n_p - prior * s[positive] / n_p
-            g[~positive] = s[~positive] / n_u
-        else:
-            g[positive] = prior * s[positive] / n_p
-            g[~positive] = -s[~positive] / n_u
+        _, g = nn_risk(z, positive, prior)
         grad = np.bincount(own, vals * g[rows], minlength=len(used)) + decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
