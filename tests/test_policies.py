@@ -1,9 +1,11 @@
 """Row-level rules as predicates of the plan, asked about rows before and after a change."""
 
 import pytest
+from compare import DATA
 from pyspark.sql import functions as F
 
 from vellum.operators import policy as P
+from vellum.plans.catalog import QUERIES
 from vellum.schema import TABLES
 
 ADMIN, USER, NOBODY = P.Principal("boss"), P.Principal("o'me\\"), P.Principal()
@@ -99,3 +101,9 @@ def test_rules_are_part_of_the_plan(spark, roles):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert "exists" in plan.lower() and "boss" in plan and "published" in plan
     assert spark.sql("SELECT has_role('boss', 'admin') AS a, has_role(NULL, 'admin') AS b, has_any_admin() AS c").first() == (True, False, True)
+
+
+def test_texts_of_posts_stay_where_only_what_is_made_of_them_is_read(spark):
+    plan = QUERIES["blog_list"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join", 1)
+    assert "text#" not in above and "AS reading_time#" in below and "content#" not in plan

@@ -51,7 +51,7 @@ def _time(c: str):
 def blog_list(spark, d):
     posts = P.secure(site.blog_posts(spark, d), "blog_posts", P.Principal(), None)
     shown = posts.select(
-        "id", "title", "slug", S.reading_time(F.col("content")).alias("reading_time"), F.array_join(S.first_items(F.col("tags"), 3), ",").alias("first_tags"), F.array_join(S.first_items(F.col("categories"), 2), ",").alias("first_categories"),
+        "id", "title", "slug", "reading_time", F.array_join(S.first_items(F.col("tags"), 3), ",").alias("first_tags"), F.array_join(S.first_items(F.col("categories"), 2), ",").alias("first_categories"),
         S.overflow(F.col("categories"), 3).alias("more"), S.date_short(F.col("created_at")).alias("shown_date"), "created_at",
     )
     return R.Relation(shown).order("created_at", ascending=False).frame().drop("created_at")
@@ -330,7 +330,7 @@ def cascade_delete(spark, d):
 
 @query("SELECT id, title, reading_time, published FROM (SELECT id, title, CASE WHEN content = '' THEN 1 ELSE CAST(greatest(ceil(len(string_split(trim(content, ' '), ' ')) / 200.0), 1) AS INTEGER) END AS reading_time, false AS published FROM {blog_posts})")
 def insert_with_trigger(spark, d):
-    new = site.blog_posts(spark, d).select("id", "title", "slug", "content").withColumn("reading_time", F.lit(99))
+    new = site.blog_posts(spark, d, labelled=False).select("id", "title", "slug", "content").withColumn("reading_time", F.lit(99))
     none = M.with_defaults(new.where(F.lit(False)), M.TABLES["blog_posts"], AS_OF)
     return M.insert(none, new, "blog_posts", AS_OF).select("id", "title", "reading_time", "published")
 
@@ -425,14 +425,20 @@ def fallback_testimonials(spark, d):
     return R.or_else(none, site.sample_testimonials(spark))
 
 
-@query("SELECT * FROM (VALUES ('Backend', 'APIs'), ('Backend', 'Databases'), ('Frontend', 'Pages'), ('Frontend', 'Forms'), ('Frontend', 'Charts')) v(category, skill)")
+@query("""SELECT id, category, skill FROM {resumes} JOIN (VALUES (0, 'Backend', 'APIs'), (0, 'Backend', 'Databases'), (1, 'Frontend', 'Pages'), (1, 'Frontend', 'Forms'), (1, 'Frontend', 'Charts')) v(k, category, skill)
+    ON k = CAST(user_id AS BIGINT) // 2 % 2""")
 def literal_nested(spark, d):
-    return site.skill_groups(spark).select("category", F.explode("skills").alias("skill"))
+    """The fixed groups of skills beside each resume, one row a skill; half of the resumes show either group."""
+    group = F.when((F.col("user_id").cast("long") / 2).cast("long") % 2 == 0, "Backend").otherwise("Frontend")
+    groups = F.broadcast(site.skill_groups(spark))  # two rows
+    return site.resumes(spark, d).select("id", group.alias("category")).join(groups, "category").select("id", "category", F.explode("skills").alias("skill"))
 
 
-@query("SELECT 'Database setup completed' AS message")
+@query("SELECT 'Database setup completed' AS message, count(*) AS users, (SELECT count(*) FROM {user_roles} WHERE role = 'admin') AS admins FROM {users}".replace("FROM {users}", "FROM (SELECT * FROM {users}) u"))
 def constant_select(spark, d):
-    return spark.sql("SELECT 'Database setup completed' AS message")
+    """The last line of a set-up: a constant, beside what is there now."""
+    admins = site.user_roles(spark, d).agg(F.count_if(F.col("role") == "admin")).scalar()
+    return site.users(spark, d).agg(F.count("*").alias("users")).select(F.lit("Database setup completed").alias("message"), "users", admins.alias("admins"))
 
 
 # Policies.
@@ -712,8 +718,7 @@ def resume_skills(spark, d):
 def post_pages(spark, d):
     """The thirteen columns of a post's page, for all that are published."""
     columns = "id, title, slug, excerpt, content, featured_image, published, created_at, author_id, tags, categories, reading_time, meta_description"
-    posts = site.blog_posts(spark, d).withColumn("reading_time", S.reading_time(F.col("content")))
-    page = R.Relation(posts).select(columns).eq("published", True).frame()
+    page = R.Relation(site.blog_posts(spark, d)).select(columns).eq("published", True).frame()
     return page.withColumns({"created_at": F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), "tags": F.array_join("tags", "|"), "categories": F.array_join("categories", "|")})
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions import slugify
+from vellum.functions import reading_time, slugify
 
 #: Minutes from here give each row its own time.
 EPOCH = "2024-01-01 00:00:00"
@@ -20,18 +20,21 @@ def _minutes(n: Column) -> Column:
 
 
 def blog_posts(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
-    """Documents as posts. Those without a label have a null published, so three-valued logic is real. Without labelled, published is null
-    and no text is shuffled to meet the labels."""
-    d, q = raw(spark, sf_dir, "documents"), raw(spark, sf_dir, "labels").select("doc_id", "quality")
+    """Documents as posts. Those without a label have a null published, so three-valued logic is real.
+
+    What is made of a text is made before posts meet their labels, so a whole text is shuffled only for those who read content.
+    Without labelled, published is null and nothing is shuffled.
+    """
+    d, q = raw(spark, sf_dir, "documents"), raw(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("published"))
     title = F.substring("text", 1, 60)
-    joined = d.join(q, "doc_id", "left") if labelled else d.withColumn("quality", F.lit(None).cast("int"))
-    return joined.select(
+    posts = d.select(
+        "doc_id",
         F.col("doc_id").cast("string").alias("id"),
         title.alias("title"),
         F.concat(slugify(title), F.lit("-"), F.col("doc_id")).alias("slug"),
         F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 2, F.substring("text", 1, 30)).alias("excerpt"),
         F.col("text").alias("content"),
-        (F.col("quality") == 1).alias("published"),
+        reading_time(F.col("text")).alias("reading_time"),
         F.array("source", "lang", F.lit("all")).alias("tags"),
         F.when(F.col("doc_id") % 5 > 0, F.array("lang", "source", F.lit("x"), F.lit("y"))).alias("categories"),
         F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 20)).otherwise("").alias("meta_description"),
@@ -39,6 +42,8 @@ def blog_posts(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataF
         F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("/images/"), "doc_id", F.lit(".png"))).alias("featured_image"),
         _minutes(F.col("doc_id")).alias("created_at"),
     )
+    met = posts.join(q, "doc_id", "left") if labelled else posts.withColumn("published", F.lit(None).cast("boolean"))
+    return met.drop("doc_id")
 
 
 def blog_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
