@@ -103,6 +103,17 @@ def test_rules_are_part_of_the_plan(spark, roles):
     assert spark.sql("SELECT has_role('boss', 'admin') AS a, has_role(NULL, 'admin') AS b, has_any_admin() AS c").first() == (True, False, True)
 
 
+def test_the_users_role_is_looked_up_apart_from_the_rows(spark, roles):
+    """No join of the rows with the role table, which would ask again at each of them."""
+    for who in (ADMIN, USER, NOBODY):
+        for command in ("select", "update"):
+            counted = rows_of(spark, "contacts").agg(F.count_if(P.lets_through("contacts", command, who.user_id)).alias("n"))
+            assert "Join" not in counted._jdf.queryExecution().executedPlan().toString()
+            assert counted.first().n == (3 if who is ADMIN else 0)
+        changed = P.secured_update(rows_of(spark, "contacts"), F.lit(True), {"id": F.lit("z")}, "contacts", who)
+        assert "Join" not in changed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_texts_of_posts_stay_where_only_what_is_made_of_them_is_read(spark):
     plan = QUERIES["blog_list"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Join", 1)

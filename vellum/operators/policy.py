@@ -36,7 +36,8 @@ def install_functions(spark: SparkSession, roles: DataFrame) -> None:
 @dataclass(frozen=True)
 class Policy:
     """A rule for a command (select, insert, update, delete or all): the rows it lets through, and what a new row must be (using by
-    default). SQL over the table's columns; :me is the user, and the functions of install_functions() may be called."""
+    default). SQL over the table's columns; :me is the user, and the functions of install_functions() may be called. A lookup that asks about
+    the user alone is best a scalar subquery, as _IS_ADMIN is; has_role() is for a user that a column names."""
 
     name: str
     command: str
@@ -44,7 +45,9 @@ class Policy:
     check: str | None = None
 
 
-_IS_ADMIN = "has_role(:me, 'admin')"
+#: Whether the user is an administrator, as a scalar subquery of its own: looked up once for a plan. has_role(:me, 'admin') says the same, but
+#: a function's arguments are columns to its body, so each call of it becomes a nested-loop join with every row that is asked about.
+_IS_ADMIN = f"(SELECT count(*) > 0 AS role_exists FROM {ROLE_VIEW} WHERE user_id = :me AND role = 'admin')"
 
 
 def _managed(noun: str, seen: str = "true", inserted: str = _IS_ADMIN) -> tuple[Policy, ...]:
