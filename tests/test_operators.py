@@ -221,3 +221,13 @@ def test_passes_and_doors(spark):
     assert [r.s for r in got] == ["admin", "purge", "purge", None, None, None, None, None, "admin"]
     doors = spark.createDataFrame([("u", True), ("u", False), ("u", None), (None, True)], "user string, admin boolean")
     assert [r[0] for r in doors.select(S.may_enter(F.col("user"), F.col("admin"))).collect()] == [True, False, False, False]
+
+
+def test_trim_looks_at_the_ends_alone(spark):
+    """Next line (85) is no space to JavaScript; a run of spaces within is passed once, not once from each of its characters."""
+    spaces = "\t\n\x0b\f\r \xa0        　﻿"
+    given = ["a \x85", f"{spaces}a b{spaces}", spaces, "​ a", "᠎", "", None, " \U0001f600 "]
+    assert values(spark, "string", given, S.js_trim) == ["a \x85", "a b", "", "​ a", "᠎", "", None, "\U0001f600"]
+    assert "regexp" not in spark.range(1).select(S.js_trim(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
+    long = "a" + " " * 300_000 + "b"
+    assert values(spark, "string", [long + " "], S.js_trim) == [long]

@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The characters that JavaScript counts as white space.
-JS_SPACE = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+JS_SPACE = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
+    """Looks at the ends alone: a pattern is tried at each character, goes over a run of spaces again from each of them, and its $ also
+    stands before a last \\u0085, which is no space here."""
+    return F.btrim(c, F.lit(JS_SPACE))
 
 
 def js_length(c: Column) -> Column:
