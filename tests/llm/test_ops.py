@@ -694,6 +694,32 @@ def test_tokens(spark, run, docs, odd, empty):
         tokens.Block(tokens.pack([(1, b"\1\0")], 2, b"abcdefgh", zstandard.ZstdCompressor()), b"hgfedcba")
 
 
+def test_tokens_are_remembered_from_task_to_task(spark, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def known(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            own = tokens.worker_encoder(path, 2, 2)
+            knew = b"task" in own.words
+            own.encode("from task to task")
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([knew])], names=["pid", "knew"])
+
+    seen = spark.range(0, 12, 1, 12).mapInArrow(known, "pid long, knew boolean").collect()
+    assert sum(not r.knew for r in seen) <= len({r.pid for r in seen}) < len(seen) == 12
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    monkeypatch.setattr(tokens, "REMEMBERED_PARTS", 2)
+    small, rnd = tokens.Encoder(path, 2, 2), random.Random(2)
+    for _ in range(300):
+        s = " ".join(rnd.choice(["The", "the,", "naïve", "don't", "x1y2", "été.", "(a)"]) for _ in range(6))
+        assert small.encode(s) == small._whole(s) + small.end and len(small.words) <= 3
+
+
 def test_tokens_of_every_latin_1_pair():
     """The words' own way of encoding agrees with the library wherever it is used."""
     import public_tokenizers

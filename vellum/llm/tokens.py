@@ -14,7 +14,9 @@ repeated rows are each a document; an empty table writes no block and reads as n
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 import re
 import struct
 import sys
@@ -37,8 +39,8 @@ MAGIC, VERSION = b"VTOK", 2
 BLOCK_DOCS, BLOCK_BYTES = 1024, 8 << 20
 #: The dictionary is trained on at most so many documents (those of the smallest hash of their id), on so many characters of each.
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 512, 4000, 32 << 10
-#: Words (and parts of words) whose ids a worker remembers in each of two generations.
-REMEMBERED = 500_000
+#: Words, and parts of words, whose ids a worker remembers in each of two generations.
+REMEMBERED, REMEMBERED_PARTS = 500_000, 250_000
 
 #: What the tokenizer's own splitting gives on lower-case Latin-1 text, where its normalisation only lowers and joins space.
 #: tests/llm holds it against the library on every pair of Latin-1 characters.
@@ -56,15 +58,15 @@ def _byte_letters() -> dict[int, str]:
 class _Memory(dict):
     """Remembers what find gave, in two generations: the older one goes when the newer one is full."""
 
-    def __init__(self, find):
+    def __init__(self, find, most):
         super().__init__()
-        self.find, self.old = find, {}
+        self.find, self.most, self.old = find, most, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.find(key)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -91,7 +93,7 @@ class Encoder:
                 made.byteswap()
             return made.tobytes()
 
-        parts = _Memory(part)
+        parts = _Memory(part, REMEMBERED_PARTS)
 
         def word(w: bytes) -> bytes:
             if w.isalpha():  # ASCII letters only
@@ -100,7 +102,7 @@ class Encoder:
                 return parts[w[:-1].decode("latin-1").lower()] + parts[w[-1:].decode("latin-1")]
             return b"".join([parts[p] for p in _PART.findall(w.decode("latin-1").lower())])
 
-        self.words = _Memory(word)
+        self.words = _Memory(word, REMEMBERED)
         probe = "It's 12½ naïve-No! ÀÉ«x» don't ¿Qué? [\x1c\x85a\xa0b] ß_µ"
         self.by_word = self._by_word(probe.encode("latin-1")) == self._whole(probe)
 
@@ -121,6 +123,16 @@ class Encoder:
         return self._whole(text) + self.end
 
 
+@functools.lru_cache(1)
+def _kept(path: str, changed: int, width: int, end_id: int) -> Encoder:
+    return Encoder(path, width, end_id)
+
+
+def worker_encoder(path: str, width: int, end_id: int) -> Encoder:
+    """The encoder of this Python worker: Spark hands the worker task after task, and what it remembers serves them all."""
+    return _kept(path, os.stat(path).st_mtime_ns, width, end_id)
+
+
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
     """A zstandard dictionary, or where there is too little to train on, the samples' own end as raw content."""
     import zstandard
@@ -182,7 +194,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     spark.createDataFrame([(bytearray(dictionary), width, hashlib.sha256(dictionary).hexdigest())], "dictionary binary, width int, sha256 string").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, width, end_id)
+        encoder = worker_encoder(tokenizer, width, end_id)
         compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
         part, base, held, size = TaskContext.get().partitionId(), 0, [], 0
 
